@@ -77,6 +77,30 @@ def mix(rows: DataFrame, cut: str = "word", epochs: int = EPOCHS, **how) -> Data
     return both.withColumn("taken", taken.cast("long")).withColumn("finish", finish)
 
 
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns they came with.
+
+    In a source's shuffled order the mix takes a prefix in each epoch, so a threshold for each source and epoch says it
+    all: the texts are read once, against a table with a row for each source, and aren't moved. Repeated rows share a key
+    and are taken or left together.
+    """
+    key = F.struct(shuffle_key(F.col("doc_id")).alias("shuffle"), "doc_id")
+    rows = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("shuffle")
+    )
+    epochs = how.get("epochs", EPOCHS)
+    taken = mix(written(rows, "mixing-rows"), cut="document", **how).filter("taken > 0")
+    last = [
+        F.max(F.when(F.col("taken") > F.col("size") * e, F.struct("shuffle", "doc_id"))).alias(f"__last{e}")
+        for e in range(epochs)
+    ]
+    last = written(taken.groupBy(F.col("source").alias("__source")).agg(*last), "mixing-last")
+    both = docs.join(small(last), F.col("source").eqNullSafe(F.col("__source")))
+    copies = sum((F.coalesce(key <= F.col(f"__last{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
+    both = both.withColumn("__copies", F.when(word_count(F.col("text")) > 0, copies).otherwise(0)).filter("__copies > 0")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+
+
 def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1 repeating and 150 % of all words, in order of virtual finish."""
     rows = documents(spark, sf_dir).select(

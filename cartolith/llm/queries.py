@@ -1,17 +1,29 @@
 """The queries of this subpackage and their SQL twins."""
 
 from cartolith.llm.bpe import op8_sentencepiece_byte_bpe
+from cartolith.llm.fingerprints import op2_prefix_hash_fingerprints
+from cartolith.llm.language import op6_bloom_language
 from cartolith.llm.mixing import op5_fair_queue_mix
+from cartolith.llm.near_dedup import op10_dart_minhash_classes
+from cartolith.llm.quality_classifier import op4_factorisation_machine_quality
 from cartolith.llm.quality_rules import op7_risk_controlled_rules
+from cartolith.llm.secret_scan import op1_secret_ownership
 from cartolith.llm.sharding import op9_byte_shards
+from cartolith.llm.toxicity import op3_crf_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_secret_ownership,
+        op2_prefix_hash_fingerprints,
+        op3_crf_toxicity,
+        op4_factorisation_machine_quality,
         op5_fair_queue_mix,
+        op6_bloom_language,
         op7_risk_controlled_rules,
         op8_sentencepiece_byte_bpe,
         op9_byte_shards,
+        op10_dart_minhash_classes,
     )
 }
 
