@@ -78,7 +78,7 @@ class Filters:
         """Fix the false positive rate of each language, and the table of weights by bit mask if it is small."""
         n = len(self.languages)
         self.false = np.array([(np.count_nonzero(self.bits & self.bits.dtype.type(1 << i)) / self.slots) ** HASHES for i in range(n)])
-        if n <= 8:
+        if 0 < n <= 8:
             masks = np.arange(1 << n)
             self.table = np.stack([(masks >> i) & 1 for i in range(n)], 1) / np.maximum(1, np.bitwise_count(masks))[:, None]
 
@@ -97,7 +97,7 @@ class Filters:
             return np.zeros((t.n, n))
         mask = self.holders(packed)
         doc = t.doc_of(many)
-        if n <= 8:
+        if 0 < n <= 8:
             # popcounts by mask first: few masks, so one count for each document and mask
             cells = np.bincount(doc * (1 << n) + mask, minlength=t.n << n).reshape(t.n, 1 << n)
             counts = cells @ self.table

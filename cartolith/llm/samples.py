@@ -31,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit: Column,
         if text not in seen:
             seen.add(text)
             keep.append(i)
-    return rows.take(keep)
+    return rows.take(pa.array(keep, pa.int64()))
 
 
 def as_texts(column: pa.ChunkedArray) -> K.Texts:
