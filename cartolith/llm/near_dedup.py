@@ -7,11 +7,11 @@ value, so two texts agree in a coordinate with probability equal to their weight
 step a region and one a dart: about n + k ln k, not n times k. Regions of higher rank are opened until no coordinate is
 empty.
 
-Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node throughout. In each
-bucket every node is paired with the least node; those pairs are verified on the exact weighted sets, and links of at least
-``threshold`` are joined into components. Buckets that still hold several components are joined with themselves, across
-components only, and those pairs verified as well; so no pair that shares a band is lost, and nothing is expanded inside a
-component. Banding (40 bands of 6) misses a pair of similarity 0.8 with probability 5e-6 and fewer above.
+Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node throughout. Pairs are verified on the exact weighted sets, in three
+steps, and links of at least ``threshold`` are joined into components after each: every node with the least node that it
+meets; then, in buckets that hold several components, every node with the bucket's least one; last, in buckets that still
+do, the other nodes with each other, across components only. So no class loses a pair that shares a band, and nothing is
+expanded inside a component. Banding (40 bands of 6) misses a pair of similarity 0.8 with probability 5e-6 and fewer above.
 
 Nothing but a bitmap of fixed size (which texts to read again for the exact check) reaches the driver. Tables are written
 to the shared folder between the steps. Defined results: null text counts as empty; texts without words are duplicates of
@@ -202,6 +202,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, node, label, least, least_label of the buckets that hold several components."""
+    named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    named = written(named, "near-named")
+    head = F.min(F.struct("node", "label")).alias("head")
+    mixed = named.groupBy("band").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    mixed = mixed.select("band", F.col("head.node").alias("least"), F.col("head.label").alias("least_label"))
+    return named.join(written(mixed, "near-mixed"), "band")
+
+
+def with_more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after more links were found."""
+    found = written(found, "near-links")
+    if found.isEmpty():
+        return links, labels
+    links = links.union(found)
+    return links, components(links)
+
+
 def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, label of each document: equal labels make a class of near duplicates."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -214,23 +233,24 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     buckets = written(buckets.filter("least <> most").select("band", "least"), "near-buckets")
     members = written(banded.join(buckets, "band"), "near-members")
-    stars = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sets = weighted_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "slot"))
     sets = written(sets, "near-sets")
-    links = written(linked(stars, sets, threshold), "near-links")
-    labels = components(links)
 
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named, "near-named")
-    open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rest = written(named.filter("node <> least").join(open_.select("band"), "band", "left_semi"), "near-open")
+    # one pair a node: with the least node it meets anywhere
+    first = members.filter("node <> least").groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a"))
+    links = written(linked(first, sets, threshold), "near-links")
+    labels = components(links)
+    # the least nodes of its buckets that are in other components
+    rest = apart(members, labels)
+    stars = rest.filter("label <> least_label").groupBy(F.col("node").alias("b"), "least_label").agg(F.min("least").alias("a"))
+    links, labels = with_more(links, labels, linked(stars, sets, threshold))
+    # the other nodes of its buckets that are in other components
+    rest = written(apart(members, labels).filter("node <> least").select("band", "node", "label"), "near-open")
     if not rest.isEmpty():
         one = rest.select("band", F.col("node").alias("a"), F.col("label").alias("la"))
         two = rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
         cross = one.join(two, "band").filter("a < b and la <> lb").select("a", "b").distinct()
-        more = written(linked(cross, sets, threshold), "near-links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        links, labels = with_more(links, labels, linked(cross, sets, threshold))
     return rows.select("doc_id", "node").join(labels, "node", "left").select(
         "doc_id", "node", F.coalesce("label", "node").alias("label")
     )
