@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import statistics
-from cartolith.llm.samples import as_texts, labelled_sample
+from cartolith.llm.samples import distinct_stories, labelled_sample, slices
 from cartolith.llm.shared import documents, fold
-from cartolith.llm.toxicity import distinct_stories, logistic
+from cartolith.llm.toxicity import logistic
 
-EACH = 2500
+EACH = 1500
 HASHED = 1 << 14
 RANK = 8
 BINS = 10
@@ -113,13 +113,11 @@ def fit(rows: pa.Table, epochs: int = 12, batch: int = 64, step: float = 0.02, r
         share = float(y.mean()) if len(y) else 0.5
         machine.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return machine
-    keep = distinct_stories(as_texts(rows.column("text")))
-    rows, y = rows.take(keep), y[keep]
-    # statistics of the sample a slice at a time, so that little memory is held
-    slices = [as_texts(rows.column("text").slice(i, 256)) for i in range(0, len(y), 256)]
-    stats = np.concatenate([structure(t) for t in slices])
+    rows = distinct_stories(rows)
+    y = rows.column("y").to_numpy().astype(np.float32)
+    stats = np.concatenate([structure(t) for t in slices(rows.column("text"))])
     machine = Machine(np.quantile(stats, np.arange(1, BINS) / BINS, axis=0), seed)
-    parts = [machine.features(t) for t in slices]
+    parts = [machine.features(t) for t in slices(rows.column("text"))]
     index, values, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
     begin = np.concatenate([[0], np.cumsum(counts)])
     rng = np.random.default_rng(seed)

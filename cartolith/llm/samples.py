@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,5 +35,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit: Column,
     return rows.take(pa.array(keep, pa.int64()))
 
 
+#: Documents of a sample that are worked on at a time, so that fitting holds little memory.
+SLICE = 128
+
+
+def slices(column: pa.ChunkedArray) -> list[K.Texts]:
+    """A text column as Texts, some documents each."""
+    return [as_texts(column.slice(i, SLICE)) for i in range(0, len(column), SLICE)]
+
+
+def distinct_stories(rows: pa.Table) -> pa.Table:
+    """The rows without those that share their least shingle: one of a group of near copies."""
+    least = []
+    for t in slices(rows.column("text")):
+        found, counts = K.shingles(t)
+        own = np.zeros(t.n, K.U)
+        if len(found):
+            own[counts > 0] = np.minimum.reduceat(found, (np.cumsum(counts) - counts)[counts > 0])
+        least.append(own)
+    _, first = np.unique(np.concatenate(least), return_index=True)
+    return rows.take(pa.array(np.sort(first), pa.int64()))
+
+
 def as_texts(column: pa.ChunkedArray) -> K.Texts:
     return K.texts(column.combine_chunks())

@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import UPPER
-from cartolith.llm.samples import as_texts, labelled_sample
+from cartolith.llm.samples import distinct_stories, labelled_sample, slices
 from cartolith.llm.shared import documents, fold
 
-EACH = 2500
+EACH = 1500
 TYPES = 2000
 #: A marker is in at least this share and number of the toxic sample, and this share of the documents that hold it is toxic.
 MARKER_SHARE, MARKER_LEAST, MARKER_PRECISION = 0.01, 5, 0.8
+#: Chance that any type becomes a marker by accident.
+MARKER_ERROR = 0.01
 BLOCK = 64
 FOLDS, HELD = 5, 0
 
@@ -221,14 +223,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
-def distinct_stories(t: K.Texts) -> np.ndarray:
-    """Indices of documents without those that share their least shingle: one of a group of near copies."""
-    found, counts = K.shingles(t)
-    least = np.zeros(t.n, K.U)
-    begin = np.cumsum(counts) - counts
-    least[counts > 0] = np.minimum.reduceat(found, begin[counts > 0]) if len(found) else least[counts > 0]
-    _, first = np.unique(least, return_index=True)
-    return np.sort(first)
+def surprise(hits: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Minus the log of a bound (Chernoff) of the chance that so many of n or more hit by chance."""
+    p = np.clip(hits / np.maximum(n, 1), share, 1.0)
+    rest = np.where(p < 1, (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)), 0.0)
+    return n * (p * np.log(p / share) + rest)
 
 
 def fit(rows: pa.Table, rounds: int = 60) -> Model:
@@ -237,20 +236,26 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Model(Chain(Lexicon(np.zeros(0, K.U))), np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0]))
-    t = as_texts(rows.column("text"))
-    keep = distinct_stories(t)
-    rows, y = rows.take(keep), y[keep]
-    t = as_texts(rows.column("text"))
-    starts, ends, hashes, counts = tokens(t)
-    doc = t.doc_of(counts)
-    seen = np.unique(np.stack([hashes, doc.astype(K.U)], 1), axis=0)
-    kinds, at = np.unique(seen[:, 0], return_inverse=True)
-    toxic = np.bincount(at, y[seen[:, 1].astype(np.int64)], len(kinds))
-    holds = np.bincount(at, minlength=len(kinds))
+    rows = distinct_stories(rows)
+    y = rows.column("y").to_numpy().astype(float)
+    parts, pairs_seen, at = [], [], 0
+    for t in slices(rows.column("text")):
+        starts, ends, found, many = tokens(t)
+        parts.append((found, many, capitals(t, starts, ends)))
+        own = np.unique(np.stack([found, (t.doc_of(many) + at).astype(K.U)], 1), axis=0)
+        pairs_seen.append(own)
+        at += t.n
+    hashes, counts, upper = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    upper, doc = upper.astype(float), np.repeat(np.arange(len(y)), counts)
+    seen = np.concatenate(pairs_seen)
+    kinds, where = np.unique(seen[:, 0], return_inverse=True)
+    toxic = np.bincount(where, y[seen[:, 1].astype(np.int64)], len(kinds))
+    holds = np.bincount(where, minlength=len(kinds))
     share = y.mean()
     # weight clean documents so that both labels count alike
     precision = toxic / share / (toxic / share + (holds - toxic) / (1 - share))
-    marker = (toxic >= max(MARKER_LEAST, MARKER_SHARE * y.sum())) & (precision >= MARKER_PRECISION)
+    marker = (toxic >= np.maximum(MARKER_LEAST, MARKER_SHARE * y.sum())) & (precision >= MARKER_PRECISION)
+    marker &= surprise(toxic, holds, share) >= np.log(np.count_nonzero(holds >= MARKER_LEAST) / MARKER_ERROR + 1)
     telling = np.abs(np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((holds - toxic + 0.5) / ((1 - y).sum() + 1)))
     telling = np.where(holds >= 5, telling * np.sqrt(holds), 0) + 1e6 * marker
     lexicon = Lexicon(kinds[np.argsort(-telling, kind="stable")[:TYPES]])
@@ -261,7 +266,6 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
     chain = Chain(lexicon)
     ids = lexicon.find(hashes)
     truth = (marks[ids] & (y[doc] == 1)).astype(float)
-    upper = capitals(t, starts, ends).astype(float)
     left, right = neighbours(ids, counts)
     ends_at = np.cumsum(counts)[counts > 0]
     into = np.ones(len(ids), bool)
@@ -286,7 +290,7 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
         one, two = 0.9 * one + 0.1 * slope, 0.99 * two + 0.01 * slope**2
         theta = theta + 0.25 * (one / (1 - 0.9**i)) / (np.sqrt(two / (1 - 0.99**i)) + 1e-8)
     p = chain.marginals(chain.emissions(ids, counts, upper), counts)
-    return Model(chain, fit_logistic(summary(p, counts, t.n), y))
+    return Model(chain, fit_logistic(summary(p, counts, len(y)), y))
 
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model:
