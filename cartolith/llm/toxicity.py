@@ -2,8 +2,8 @@
 
 Labels exist for documents only, so token labels are derived from the training sample: a token type is a marker if enough
 sampled documents hold it and nearly all of those are toxic (both bounds are parameters); markers inside toxic documents
-are labelled 1, all other tokens 0. The chain has two states; features of a token are its own, its left and its right
-neighbour's type (among the sample's most telling types), capitals, and the transition. It is fitted by gradient ascent on
+are labelled 1, all other tokens 0. The chain has two states; features of a token are its own types (itself and its
+beginnings), its left and its right neighbour's (among the sample's most telling types), capitals, and the transition. It is fitted by gradient ascent on
 the exact conditional likelihood. For every whole text, forward-backward gives each token's marginal; a document's score is
 a logistic function of their sum and maximum, fitted on the same sample, and the offending spans are the tokens whose
 marginal is at least 0.5.
@@ -34,17 +34,24 @@ from cartolith.llm.shared import documents, fold
 EACH = 1500
 TYPES = 2000
 #: A marker is in at least this share and number of the toxic sample, and this share of the documents that hold it is toxic.
-MARKER_SHARE, MARKER_LEAST, MARKER_PRECISION = 0.01, 5, 0.8
-#: Chance that any type becomes a marker by accident.
-MARKER_ERROR = 0.01
+MARKER_SHARE, MARKER_LEAST, MARKER_PRECISION = 0.01, 5, 0.95
+#: Types that become markers by accident, at most, on average over samples.
+MARKER_ERROR = 1.0
 BLOCK = 64
+#: Lengths, in bytes, of the beginnings of a token that count as types of their own.
+HEADS = (5, 7)
 FOLDS, HELD = 5, 0
 
 
 def tokens(t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, hash (without regard to ASCII case) of each run of letters and digits; tokens of each document."""
+    """Start, end and types of each run of letters and digits; tokens of each document.
+
+    Types, one row each: hashes of the token and of its first bytes, without regard to ASCII case.
+    """
     starts, ends, counts = t.runs(K.NOT_WORD)
-    return starts, ends, t.hashes(starts, ends, lower=True), counts
+    whole = t.hashes(starts, ends, lower=True)
+    heads = [K.mix(t.hashes(starts, np.minimum(starts + n, ends), lower=True) + K.U(n)) for n in HEADS]
+    return starts, ends, np.stack([whole, *heads]), counts
 
 
 class Lexicon:
@@ -56,12 +63,13 @@ class Lexicon:
         self.maybe[self.hashes & K.U(0xFFFF)] = True
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int32)
+        out = np.zeros(hashes.size, np.int32)
+        shape, hashes = hashes.shape, hashes.ravel()
         maybe = np.flatnonzero(self.maybe[hashes & K.U(0xFFFF)])
         if len(self.hashes) and len(maybe):
             at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
             out[maybe] = np.where(self.hashes[at] == hashes[maybe], at + 1, 0)
-        return out
+        return out.reshape(shape)
 
 
 class Chain:
@@ -75,8 +83,8 @@ class Chain:
         self.moves = np.zeros((2, 2))
 
     def emissions(self, ids: np.ndarray, counts: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        left, right = neighbours(ids, counts)
-        return self.bias + self.own[ids] + self.left[left] + self.right[right] + self.upper * upper
+        left, right = neighbours(ids[0], counts)
+        return self.bias + self.own[ids].sum(0) + self.left[left] + self.right[right] + self.upper * upper
 
     def marginals(self, emissions: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(state 1) of each token, in the laid out blocks; and the blocks' forward and backward messages."""
@@ -242,10 +250,10 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
     for t in slices(rows.column("text")):
         starts, ends, found, many = tokens(t)
         parts.append((found, many, capitals(t, starts, ends)))
-        own = np.unique(np.stack([found, (t.doc_of(many) + at).astype(K.U)], 1), axis=0)
-        pairs_seen.append(own)
+        doc = (t.doc_of(many) + at).astype(K.U)
+        pairs_seen += [np.unique(np.stack([kind, doc], 1), axis=0) for kind in found]
         at += t.n
-    hashes, counts, upper = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    hashes, counts, upper = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
     upper, doc = upper.astype(float), np.repeat(np.arange(len(y)), counts)
     seen = np.concatenate(pairs_seen)
     kinds, where = np.unique(seen[:, 0], return_inverse=True)
@@ -265,10 +273,10 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
 
     chain = Chain(lexicon)
     ids = lexicon.find(hashes)
-    truth = (marks[ids] & (y[doc] == 1)).astype(float)
-    left, right = neighbours(ids, counts)
+    truth = (marks[ids].any(0) & (y[doc] == 1)).astype(float)
+    left, right = neighbours(ids[0], counts)
     ends_at = np.cumsum(counts)[counts > 0]
-    into = np.ones(len(ids), bool)
+    into = np.ones(len(truth), bool)
     into[0] = False
     into[ends_at[:-1]] = False
     was = np.concatenate([[0.0], truth[:-1]])
@@ -285,7 +293,7 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
         chain.bias, chain.upper, chain.moves = theta[3 * size], theta[3 * size + 1], theta[3 * size + 2 :].reshape(2, 2)
         p, pairs = forward_backward(np.exp(np.clip(chain.emissions(ids, counts, upper), -30, 30)), counts, np.exp(chain.moves))
         off = truth - p
-        parts = [np.bincount(x, off, size) for x in (ids, left, right)]
+        parts = [sum(np.bincount(x, off, size) for x in ids), np.bincount(left, off, size), np.bincount(right, off, size)]
         slope = np.concatenate([*parts, [off.sum(), (off * upper).sum()], (observed - pairs).ravel()]) / scale - 1e-3 * theta
         one, two = 0.9 * one + 0.1 * slope, 0.99 * two + 0.01 * slope**2
         theta = theta + 0.25 * (one / (1 - 0.9**i)) / (np.sqrt(two / (1 - 0.99**i)) + 1e-8)
