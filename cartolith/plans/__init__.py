@@ -1,4 +1,4 @@
 """The queries of the library; importing the modules registers them."""
 
-from cartolith.plans import curation  # noqa: F401
+from cartolith.plans import curation, scores, splits  # noqa: F401
 from cartolith.plans.queries import QUERIES, SQL  # noqa: F401
