@@ -220,7 +220,7 @@ def _beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def clopper_pearson(k: Column, n: Column) -> Column:
-    """Exact 95 % interval (low, high) of k successes in n; NaN for n = 0. A few rows: one for each class."""
+    """Exact 95 % interval (low, high) of k successes in n; null for n = 0. A few rows: one for each class."""
     return F.pandas_udf(_interval, "low double, high double")(k, n)
 
 

@@ -174,12 +174,12 @@ _RECT = """SELECT asset_id, asset_type, CASE WHEN pos % 3 = 0 THEN 'point' WHEN
   2 * (pos % 40 + 1) * 1e-4 * 111320e0 AS h, 2 * (pos % 25 + 1) * 1e-4 * 111320e0 * cos(radians(lat)) AS w FROM assets_fx"""
 
 
-@query(f"""SELECT asset_id, status, CASE WHEN status = 'polygon' THEN round(round(w * h, 1), 0) END AS area, CASE WHEN status = 'polygon' THEN round(round(greatest(w, h), 1), 0) END AS extent,
-  CASE WHEN status = 'polygon' THEN round(round(least(w, 600) * least(h, 600) / 360000, 5), 4) END AS share, CASE WHEN status = 'polygon' THEN w * h - least(w, 600) * least(h, 600) > 1 END AS exceeds_tile FROM ({_RECT}) r""")
+@query(f"""SELECT asset_id, status, CASE WHEN status = 'polygon' THEN round(w * h / 1000, 0) END AS area, CASE WHEN status = 'polygon' THEN floor((greatest(w, h) + 5e-2) / 10) END AS extent,
+  CASE WHEN status = 'polygon' THEN round(least(w, 600) * least(h, 600) / 360000 * 100 + 1e-3, 0) END AS share, CASE WHEN status = 'polygon' THEN w * h - least(w, 600) * least(h, 600) > 1 END AS exceeds_tile FROM ({_RECT}) r""")
 def g3_footprints(spark, sf_dir):
-    """Area, extent and share of the tile of rectangular footprints."""
+    """Area (1000 m2), extent (10 m) and share of the tile (percent) of rectangular footprints."""
     f = _found(spark, sf_dir)
-    return f.select("asset_id", "status", F.round("area_m2", 0).alias("area"), F.round("extent_m", 0).alias("extent"), F.round("tile_share", 4).alias("share"), "exceeds_tile")
+    return f.select("asset_id", "status", F.round(F.col("area_m2") / 1000, 0).alias("area"), F.floor((F.col("extent_m") + 5e-2) / 10).cast("double").alias("extent"), F.round(F.col("tile_share") * 100 + 1e-3, 0).alias("share"), "exceeds_tile")
 
 
 @query(f"""SELECT asset_type, count(*) AS tiles, round(1e2 * avg(CASE WHEN status = 'point' THEN 1e0 ELSE 0e0 END), 1) AS point_mapped_pct, count(*) FILTER (status = 'polygon') AS with_area,
