@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents
+from cartolith.llm.shared import documents, mapped
 
 #: A character for each byte: letters without case, digits or marks, that no normalisation touches.
 BYTE_CHARS = [chr(0x4E00 + b) for b in range(256)]
@@ -140,7 +140,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool
                 yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def op8_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.kernel import mix
-from cartolith.llm.shared import documents
+from cartolith.llm.shared import documents, mapped
 
 P = (1 << 31) - 1
 BASES = (1_000_000_007, 1_234_567_891)
@@ -198,7 +198,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 arrays[0] = arrays[0].cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return paired(docs).mapInArrow(run, COLUMNS)
+    return mapped(paired(docs), run, COLUMNS)
 
 
 def op2_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = U(0x9E3779B97F4A7C15)
 _powers = np.ones(1, U)
 _inverse = np.ones(1, U)

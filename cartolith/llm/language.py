@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import LETTER
 from cartolith.llm.samples import FIT_CHARS, as_texts
-from cartolith.llm.shared import documents, fold
+from cartolith.llm.shared import documents, fold, mapped
 
 GRAM = 5
 SLOTS = 1 << 20
@@ -169,7 +169,7 @@ def predicted(docs: DataFrame, filters: Filters) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op6_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, written
+from cartolith.llm.shared import documents, mapped, written
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
@@ -146,7 +146,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "slot", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node binary, slot int, bands array<long>, sketch array<long>")
+    return mapped(docs, run, "doc_id long, node binary, slot int, bands array<long>, sketch array<long>")
 
 
 def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     [pa.array([found[i] for i in wanted], pa.binary()), pa.array(raw, pa.binary())], ["node", "elements"]
                 )
 
-    sets = docs.mapInArrow(run, "node binary, elements binary")
+    sets = mapped(docs, run, "node binary, elements binary")
     # whatever shares a slot by chance goes; repeated rows are one
     return sets.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
@@ -195,7 +195,7 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return mapped(both, run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

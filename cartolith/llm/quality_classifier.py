@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import statistics
 from cartolith.llm.samples import distinct_stories, labelled_sample, slices
-from cartolith.llm.shared import documents, fold
+from cartolith.llm.shared import documents, fold, mapped
 from cartolith.llm.toxicity import logistic
 
 EACH = 1500
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
             for part, t in K.blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine.scores(t))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
@@ -178,7 +178,7 @@ def accepted(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame
             for part, t in K.blocks(batch, columns[at]):
                 yield part.filter(pa.array(machine.scores(t) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op4_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

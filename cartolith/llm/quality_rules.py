@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, written
+from cartolith.llm.shared import documents, mapped, written
 
 #: The symbols that the contract counts.
 SYMBOLS = np.zeros(256, bool)
@@ -105,7 +105,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), run, schema)
 
 
 def upper_bound(bad: int, n: int, error: float) -> float:

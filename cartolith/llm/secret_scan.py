@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, written
+from cartolith.llm.shared import documents, mapped, written
 
 #: Fixed patterns of the base detectors.
 ASSIGN = re.compile(
@@ -123,7 +123,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 )
 
     columns = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))
-    return columns.mapInArrow(run, f"doc_id long, owner string, text_key binary, found array<{CANDIDATE}>")
+    return mapped(columns, run, f"doc_id long, owner string, text_key binary, found array<{CANDIDATE}>")
 
 
 def verdicts(rows: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
@@ -212,7 +212,7 @@ def redacted(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
                 arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    out = both.mapInArrow(run, docs.schema)
+    out = mapped(both, run, docs.schema)
     if "n_chars" in columns:
         kind = dict(docs.dtypes)["n_chars"]
         if kind in ("bigint", "int"):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import UPPER
 from cartolith.llm.samples import distinct_stories, labelled_sample, slices
-from cartolith.llm.shared import documents, fold
+from cartolith.llm.shared import documents, fold, mapped
 
 EACH = 1500
 TYPES = 2000
@@ -329,7 +329,7 @@ def scored(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     schema = "doc_id long, score double" + ", spans array<array<long>>" * with_spans
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
