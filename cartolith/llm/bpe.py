@@ -58,14 +58,14 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     """A serialised sentencepiece BPE model: piece 0 is unknown, piece i + 1 the entry with the i-th lowest rank."""
     pieces = [_field(1, b"<unk>") + _field(2, 0.0) + _field(3, 2)]
     for token in sorted(ranks, key=ranks.get):
-        pieces.append(_field(1, mapped(token).encode()) + _field(2, -float(ranks[token])) + _field(3, 1))
+        pieces.append(_field(1, spelled(token).encode()) + _field(2, -float(ranks[token])) + _field(3, 1))
     trainer = _field(3, 2) + _field(4, len(pieces)) + _field(40, 0)  # model type BPE, vocabulary size, unknown id
     trainer += b"".join(_field(n, (1 << 64) - 1) for n in (41, 42, 43))  # no begin, end and padding pieces
     normalizer = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
-def mapped(token: bytes) -> str:
+def spelled(token: bytes) -> str:
     return "".join([BYTE_CHARS[b] for b in token])
 
 
@@ -95,7 +95,7 @@ class Codec:
                 else:
                     self.cache[p] = (rank,)
         if hard:
-            ids = self.pieces.encode([mapped(p.encode()) for p in hard], num_threads=1)
+            ids = self.pieces.encode([spelled(p.encode()) for p in hard], num_threads=1)
             name = self.by_piece
             self.cache.update((p, tuple([name[i] for i in x])) for p, x in zip(hard, ids, strict=True))
 
