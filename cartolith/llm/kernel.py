@@ -130,6 +130,15 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK) -> I
         at = to
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (a[i], b[i])."""
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of ``width`` words inside a document, each window's first word, windows of each document."""
     many = np.maximum(counts - width + 1, 0)

@@ -121,8 +121,8 @@ def fit(samples: dict[str, pa.ChunkedArray]) -> Filters:
         for at in range(0, len(texts), 128):
             t = as_texts(texts.slice(at, 128))
             packed, many = grams(t)
-            key = np.unique(np.stack([packed, t.doc_of(many).astype(K.U)], 1), axis=0) if len(packed) else np.zeros((0, 2), K.U)
-            found.append(np.unique(key[:, 0], return_counts=True))
+            own, _ = K.distinct_pairs(packed, t.doc_of(many))
+            found.append(np.unique(own, return_counts=True))
         kinds, where = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
         holds = np.bincount(where, np.concatenate([x[1] for x in found]), len(kinds))
         filters.add(i, kinds[holds >= max(min(LEAST_DOCS, len(texts)), LEAST_SHARE * len(texts))])

@@ -27,4 +27,19 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only the mix is within SQL: the others hash with state, train models or need crc32 and sha256 of ids and offsets.
+ORACLE_SQL: dict[str, str] = {
+    "op5_fair_queue_mix": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM s),
+r AS (SELECT *, cap / weight AS ratio, sum(cap) OVER low - cap AS below, sum(weight) OVER () - sum(weight) OVER low + weight AS rest, row_number() OVER low AS i
+    FROM w WINDOW low AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+rate AS (SELECT min_by(x, i) AS rate FROM (SELECT i, ratio, (1.5e0 * (SELECT sum(source_size) FROM s) - below) / rest AS x FROM r) q WHERE ratio >= x),
+t AS (SELECT source, source_size, CASE WHEN cap < weight * rate THEN CAST(cap AS DOUBLE) ELSE weight * rate END AS target FROM w, rate),
+p AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, source, CASE WHEN target > 0 THEN (before + size) / target END AS finish,
+    CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken FROM p""",
+}

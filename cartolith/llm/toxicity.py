@@ -250,14 +250,14 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
     for t in slices(rows.column("text")):
         starts, ends, found, many = tokens(t)
         parts.append((found, many, capitals(t, starts, ends)))
-        doc = (t.doc_of(many) + at).astype(K.U)
-        pairs_seen += [np.unique(np.stack([kind, doc], 1), axis=0) for kind in found]
+        doc = t.doc_of(many) + at
+        pairs_seen += [K.distinct_pairs(kind, doc) for kind in found]
         at += t.n
     hashes, counts, upper = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
     upper, doc = upper.astype(float), np.repeat(np.arange(len(y)), counts)
-    seen = np.concatenate(pairs_seen)
-    kinds, where = np.unique(seen[:, 0], return_inverse=True)
-    toxic = np.bincount(where, y[seen[:, 1].astype(np.int64)], len(kinds))
+    seen, holder = (np.concatenate(x) for x in zip(*pairs_seen, strict=True))
+    kinds, where = np.unique(seen, return_inverse=True)
+    toxic = np.bincount(where, y[holder], len(kinds))
     holds = np.bincount(where, minlength=len(kinds))
     share = y.mean()
     # weight clean documents so that both labels count alike
