@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from cartolith.session import written as written
 
 
+#: Bytes of a table that is dealt anew if it comes in fewer files than there are cores.
+SMALL_BYTES = 256 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table. A small one in few files, whose row groups would occupy few cores, is dealt to all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < cores:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < SMALL_BYTES:
+            docs = docs.repartition(cores)
+    return docs
 
 
 #: Rows of a record batch: whole texts are handed to Python so many at a time.
