@@ -134,13 +134,13 @@ def auc(pairs):
 
 
 def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # the smaller ones hold out six toxic documents or fewer, two of them mislabelled
     labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     quality = [(labels[r.doc_id].quality, r.score) for r in op(4)(spark, d).collect() if r.held_out and r.doc_id in labels]
     toxic = [(labels[r.doc_id].toxic, r.score) for r in op(3)(spark, d).collect() if r.held_out and r.doc_id in labels]
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     hits = [r.lang_pred == langs[r.doc_id] for r in op(6)(spark, d).collect() if r.held_out]
-    assert auc(quality) > 0.97 and auc(toxic) > 0.75 and np.mean(hits) > 0.98
+    assert auc(quality) > 0.99 and auc(toxic) > 0.95 and np.mean(hits) > 0.995
 
 
 def test_forward_backward_equals_enumeration():
