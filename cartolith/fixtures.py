@@ -67,7 +67,7 @@ VIEWS = {
                     WHEN 'error' THEN 'unsure' ELSE 'accept' END AS decision,
                CASE event_type WHEN 'error' THEN '' WHEN 'purchase' THEN 'energy.generation.solar_farm' ELSE 'energy.generation.power_plant' END AS label,
                'note ' || CAST(event_id % 10 AS VARCHAR(20)) AS note, ts AS at, event_id AS line
-        FROM events WHERE user_id % 3 = 0 OR event_id % 50 = 0""",
+        FROM events""",
     "preds_fx": """
         SELECT o_orderkey AS tile_id, CAST(substring(o_orderpriority, 1, 1) AS INT) - 1 AS truth,
                CASE WHEN o_orderkey % 7 < 3 THEN (CAST(substring(o_orderpriority, 1, 1) AS INT) - 1 + CAST(o_orderkey % 5 AS INT)) % 5
