@@ -259,10 +259,10 @@ def g14_status_two_reviewers(spark, sf_dir):
 
 
 @query(f"""SELECT q.asset_id, CASE WHEN status IS NULL THEN 'first' WHEN NOT list_contains(string_split(reviewers, ','), 'r1') AND status IN ('needs_second', 'disputed') THEN 'second' ELSE '' END AS pass
-  FROM (SELECT DISTINCT 'osm_way_' || CAST(c_custkey AS VARCHAR) AS asset_id FROM customer WHERE c_custkey < 200) q LEFT JOIN ({_TWO}) s ON s.asset_id = q.asset_id""")
+  FROM (SELECT DISTINCT 'osm_way_' || CAST(c_custkey AS VARCHAR) AS asset_id FROM customer) q LEFT JOIN ({_TWO}) s ON s.asset_id = q.asset_id""")
 def g14_passes(spark, sf_dir):
     """Which pass each of the queue's assets belongs to for one reviewer."""
-    queue = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 200").select(F.concat(F.lit("osm_way_"), F.col("c_custkey").cast("string")).alias("asset_id"))
+    queue, _ = _queue(spark, sf_dir)
     states = review.status(review.latest(log(spark, sf_dir), ("line",)), second_opinion=True)
     return review.wants(queue, states, "r1", second_opinion=True)
 

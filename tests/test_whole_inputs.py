@@ -1,5 +1,7 @@
 """Queries see every row of their tables; wanted values come from plain Python, not from the SQL twins."""
 
+from pyspark.sql import functions as F
+
 from cartolith import plans
 from cartolith.fixtures import view
 
@@ -19,3 +21,23 @@ def test_every_event_is_a_decision(spark, sf):
     assert view(spark, sf, "decisions_fx").count() == spark.read.parquet(f"{sf}/events.parquet").count()
     got = {(r.asset_id, r.reviewer): (r.decision, r.label) for r in plans.QUERIES["e14_latest_decisions"](spark, sf).collect()}
     assert got == latest_by_hand(spark, sf)
+
+
+def test_every_customer_gets_a_pass(spark, sf, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1, 451)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.col("event_id") % 400).write.parquet(f"{tmp_path}/events.parquet")
+    entries = {}
+    for (asset, reviewer), said in latest_by_hand(spark, tmp_path).items():
+        entries.setdefault(asset, {})[reviewer] = said
+
+    def wanted(asset):
+        own = entries.get(asset)
+        if not own:
+            return "first"
+        labels = [label for decision, label in own.values() if decision != "unsure"]
+        done = [d for d, _ in own.values()] == ["accept"] or len(labels) >= 2 and len(set(labels)) == 1
+        return "second" if not done and "r1" not in own else ""
+
+    got = plans.QUERIES["g14_passes"](spark, str(tmp_path)).collect()
+    assert sorted((r.asset_id, r["pass"]) for r in got) == sorted((f"osm_way_{k}", wanted(f"osm_way_{k}")) for k in range(1, 451))
+    assert {r["pass"] for r in got} == {"first", "second", ""}
