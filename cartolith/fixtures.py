@@ -75,12 +75,15 @@ VIEWS = {
                CAST(o_orderkey % 3 AS INT) AS seed, lower(r_name) AS region
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
-    # learning curves: three seeds of different length
+    # learning curves: three seeds, whose lengths are as 3 to 2 to 1; every part is an epoch of one
     "epochs_fx": """
         SELECT CASE p_partkey % 4 WHEN 0 THEN 'm0' WHEN 1 THEN 'm1' WHEN 2 THEN 'm2' ELSE 'm3' END AS model,
-               CASE WHEN p_partkey % 8 < 4 THEN 'LP' ELSE 'FT' END AS protocol, CAST(floor(p_partkey / 8) AS BIGINT) % 3 AS seed,
-               CAST(floor(p_partkey / 24) AS BIGINT) AS epoch, (p_size * 7 % 50) / 5e1 AS val_f1, p_retailprice / 1e2 AS time_s
-        FROM part WHERE floor(p_partkey / 24) < 12 + floor(p_partkey / 8) % 3""",
+               CASE WHEN p_partkey % 8 < 4 THEN 'LP' ELSE 'FT' END AS protocol,
+               CASE WHEN step % 6 < 3 THEN 0 WHEN step % 6 < 5 THEN 1 ELSE 2 END AS seed,
+               CAST(floor(step / 6) AS BIGINT) * CASE WHEN step % 6 < 3 THEN 3 WHEN step % 6 < 5 THEN 2 ELSE 1 END
+               + CASE WHEN step % 6 < 3 THEN step % 6 WHEN step % 6 < 5 THEN step % 6 - 3 ELSE 0 END AS epoch,
+               (p_size * 7 % 50) / 5e1 AS val_f1, p_retailprice / 1e2 AS time_s
+        FROM (SELECT *, CAST(floor(p_partkey / 8) AS BIGINT) AS step FROM part) p""",
     "names_fx": """
         SELECT doc_id, lang,
                CASE doc_id % 11 WHEN 0 THEN 'Solar Park ' WHEN 1 THEN 'Old power station ' WHEN 2 THEN 'Umspannwerk ' WHEN 3 THEN 'Kläranlage '

@@ -41,3 +41,18 @@ def test_every_customer_gets_a_pass(spark, sf, tmp_path):
     got = plans.QUERIES["g14_passes"](spark, str(tmp_path)).collect()
     assert sorted((r.asset_id, r["pass"]) for r in got) == sorted((f"osm_way_{k}", wanted(f"osm_way_{k}")) for k in range(1, 451))
     assert {r["pass"] for r in got} == {"first", "second", ""}
+
+
+def test_every_part_is_an_epoch(spark, sf):
+    e = view(spark, sf, "epochs_fx")
+    assert e.count() == spark.read.parquet(f"{sf}/part.parquet").count() == e.select("model", "protocol", "seed", "epoch").distinct().count()
+    runs = {}
+    for r in e.collect():
+        runs.setdefault((r.model, r.protocol), {}).setdefault(r.seed, []).append(r.epoch)
+    assert len(runs) == 8
+    for seeds in runs.values():
+        assert all(sorted(x) in (list(range(len(x))), list(range(1, len(x) + 1))) for x in seeds.values())
+        assert len(seeds[0]) > len(seeds[1]) > len(seeds[2])
+    last = {run: min(max(x) for x in seeds.values()) for run, seeds in runs.items()}
+    got = {(r.model, r.protocol): r["n"] for r in plans.QUERIES["e23_curves"](spark, sf).groupBy("model", "protocol").agg(F.count("*").alias("n")).collect()}
+    assert got == {run: len({x for own in seeds.values() for x in own if x <= last[run]}) for run, seeds in runs.items()}
