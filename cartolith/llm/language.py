@@ -1,13 +1,15 @@
 """Language by bit-sliced Bloom filters of n-grams (operator 6).
 
-A filter has one word of bits for each slot: bit l belongs to language l, so one lookup, the conjunction of the slots of a
-few hash functions, returns all languages that hold an n-gram. Each language's filter holds the n-grams that are frequent in
+A filter has as many words of up to 64 bits for each slot as its languages need, each word in a plane of its own: bit l of
+plane p belongs to language 64 p + l, so one lookup, the conjunction of the slots of a few hash functions, returns all
+languages that hold an n-gram. Each language's filter holds the n-grams that are frequent in
 its part of a bounded sample. For a text the bits are counted by language; counts are corrected for the false positives
 that the filter's share of set bits makes likely, and weighed by how few languages hold the n-gram (an n-gram of all
 languages says nothing). The largest corrected count decides, its share of all is the score.
 
 n-grams are five bytes of the UTF-8 text in lower case (ASCII), so one of white space counts as a word edge. The sample is
-at most ``each`` documents of each of the ``most`` most frequent languages, of at most samples.FIT_CHARS characters.
+at most ``each`` documents of every language, of at most samples.FIT_CHARS characters; it is read for one plane's languages
+at a time, so the driver holds the texts of 64 languages at most.
 
 Defined results: null texts and texts without a letter are `und` with score 0; texts whose n-grams no filter knows get the
 most frequent language with score 0; ties go to the more frequent language; without labelled documents all are `und`;
@@ -34,7 +36,8 @@ GRAM = 5
 SLOTS = 1 << 20
 HASHES = 2
 EACH = 1200
-MOST = 64
+#: Languages of a plane: bits of the widest word.
+PLANE = 64
 #: An n-gram belongs to a language if at least this many of its sampled documents hold it, and this share of them.
 LEAST_DOCS, LEAST_SHARE = 3, 0.004
 FOLDS, HELD = 4, 2
@@ -58,12 +61,12 @@ def grams(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """Bloom filters of up to 64 languages in one array of slots."""
+    """Bloom filters of any number of languages in planes of slots."""
 
     def __init__(self, languages: list[str], slots: int = SLOTS):
         self.languages, self.slots = languages, slots
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * k().itemsize)
-        self.bits = np.zeros(slots, kind)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), PLANE) <= 8 * k().itemsize)
+        self.bits = np.zeros((max(1, -(-len(languages) // PLANE)), slots), kind)
 
     def places(self, packed: np.ndarray) -> Iterator[np.ndarray]:
         h = K.mix(packed)
@@ -71,22 +74,23 @@ class Filters:
             yield (h >> K.U(24 * i)) & K.U(self.slots - 1)
 
     def add(self, language: int, packed: np.ndarray) -> None:
+        plane = self.bits[language // PLANE]
         for at in self.places(packed):
-            self.bits[at] |= self.bits.dtype.type(1 << language)
+            plane[at] |= self.bits.dtype.type(1 << language % PLANE)
 
     def close(self) -> None:
         """Fix the false positive rate of each language, and the table of weights by bit mask if it is small."""
         n = len(self.languages)
-        self.false = np.array([(np.count_nonzero(self.bits & self.bits.dtype.type(1 << i)) / self.slots) ** HASHES for i in range(n)])
+        self.false = np.array([(np.count_nonzero(self.bits[i // PLANE] & self.bits.dtype.type(1 << i % PLANE)) / self.slots) ** HASHES for i in range(n)])
         if 0 < n <= 8:
             masks = np.arange(1 << n)
             self.table = np.stack([(masks >> i) & 1 for i in range(n)], 1) / np.maximum(1, np.bitwise_count(masks))[:, None]
 
-    def holders(self, packed: np.ndarray) -> np.ndarray:
-        """A mask of the languages that hold each n-gram."""
+    def holders(self, packed: np.ndarray, plane: int = 0) -> np.ndarray:
+        """A mask of the plane's languages that hold each n-gram."""
         found = None
         for at in self.places(packed):
-            found = self.bits[at] if found is None else found & self.bits[at]
+            found = self.bits[plane, at] if found is None else found & self.bits[plane, at]
         return found
 
     def counts(self, t: K.Texts) -> np.ndarray:
@@ -95,15 +99,16 @@ class Filters:
         n = len(self.languages)
         if not len(packed):
             return np.zeros((t.n, n))
-        mask = self.holders(packed)
+        masks = [self.holders(packed, p) for p in range(len(self.bits))]
         doc = t.doc_of(many)
         if 0 < n <= 8:
             # popcounts by mask first: few masks, so one count for each document and mask
-            cells = np.bincount(doc * (1 << n) + mask, minlength=t.n << n).reshape(t.n, 1 << n)
+            cells = np.bincount(doc * (1 << n) + masks[0], minlength=t.n << n).reshape(t.n, 1 << n)
             counts = cells @ self.table
         else:
-            shared = np.maximum(1, np.bitwise_count(mask))
-            counts = np.stack([np.bincount(doc, ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)) / shared, t.n) for i in range(n)], 1)
+            shared = np.maximum(1, sum(np.bitwise_count(m).astype(np.int32) for m in masks))
+            bit = lambda i: (masks[i // PLANE] >> self.bits.dtype.type(i % PLANE)) & self.bits.dtype.type(1)
+            counts = np.stack([np.bincount(doc, bit(i) / shared, t.n) for i in range(n)], 1)
         return np.maximum(0, (counts - many[:, None] * self.false) / (1 - self.false))
 
     def predict(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -113,40 +118,46 @@ class Filters:
         return counts.argmax(1), counts.max(1) / np.where(total > 0, total, 1)
 
 
-def fit(samples: dict[str, pa.ChunkedArray]) -> Filters:
-    """Filters from the sampled texts of each language; the order of the languages decides ties."""
-    filters = Filters(list(samples))
-    for i, texts in enumerate(samples.values()):
-        found = []
-        for at in range(0, len(texts), 128):
-            t = as_texts(texts.slice(at, 128))
-            packed, many = grams(t)
-            own, _ = K.distinct_pairs(packed, t.doc_of(many))
-            found.append(np.unique(own, return_counts=True))
-        kinds, where = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-        holds = np.bincount(where, np.concatenate([x[1] for x in found]), len(kinds))
-        filters.add(i, kinds[holds >= max(min(LEAST_DOCS, len(texts)), LEAST_SHARE * len(texts))])
+def frequent(texts: pa.ChunkedArray) -> np.ndarray:
+    """The n-grams that enough of a language's sampled texts hold."""
+    found = []
+    for at in range(0, len(texts), 128):
+        t = as_texts(texts.slice(at, 128))
+        packed, many = grams(t)
+        own, _ = K.distinct_pairs(packed, t.doc_of(many))
+        found.append(np.unique(own, return_counts=True))
+    kinds, where = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+    holds = np.bincount(where, np.concatenate([x[1] for x in found]), len(kinds))
+    return kinds[holds >= max(min(LEAST_DOCS, len(texts)), LEAST_SHARE * len(texts))]
+
+
+def fit(kinds: dict[str, np.ndarray]) -> Filters:
+    """Filters from the n-grams of each language; the order of the languages decides ties."""
+    filters = Filters(list(kinds))
+    for i, own in enumerate(kinds.values()):
+        filters.add(i, own)
     filters.close()
     return filters
 
 
-def trained(docs: DataFrame, each: int = EACH, most: int = MOST) -> Filters:
-    """docs: doc_id, text, lang. Rows of a language are chosen by a hash of the id; at most most * each texts are read."""
+def trained(docs: DataFrame, each: int = EACH) -> Filters:
+    """docs: doc_id, text, lang. Rows of a language are chosen by a hash of the id; one scan for each plane of languages."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    if not top:
-        return fit({})
-    share = F.lit(0.0)
-    for r in top:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["count"]))).otherwise(share)
-    dice = (F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)) < share
-    chosen = usable.filter(dice).filter(F.length("text") <= FIT_CHARS).select("lang", "doc_id", "text")
-    rows = chosen.limit(2 * each * len(top)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    by = {}
-    for r in top:
-        own = rows.filter(pc.equal(rows.column("lang"), r["lang"])).column("text")
-        by[r["lang"]] = own.unique().slice(0, each)
-    return fit({k: pa.chunked_array([v]) for k, v in by.items() if len(v)})
+    languages = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    kinds = {}
+    for at in range(0, len(languages), PLANE):
+        part = languages[at : at + PLANE]
+        share = F.lit(0.0)
+        for r in part:
+            share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["count"]))).otherwise(share)
+        dice = (F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)) < share
+        chosen = usable.filter(dice).filter(F.length("text") <= FIT_CHARS).select("lang", "doc_id", "text")
+        rows = chosen.limit(2 * each * len(part)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        for r in part:
+            own = rows.filter(pc.equal(rows.column("lang"), r["lang"])).column("text").unique().slice(0, each)
+            if len(own):
+                kinds[r["lang"]] = frequent(pa.chunked_array([own]))
+    return fit(kinds)
 
 
 def predicted(docs: DataFrame, filters: Filters) -> DataFrame:

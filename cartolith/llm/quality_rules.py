@@ -10,8 +10,8 @@ gains anything, the rule is off in that stratum.
 All labelled rows count: they are reduced to a histogram of (stratum, rule, bin, label), whose size is bounded by
 strata, rules and bins, before anything reaches the driver.
 
-Defined results: null or empty text has no words and fails the base rules; strata are the values of lang among the
-``max_strata`` most frequent labelled ones, all others (null too) form one more; an empty table gives no rows; without
+Defined results: null or empty text has no words and fails the base rules; strata are all values of lang
+that have a labelled row, all others (null too) form one more; an empty table gives no rows; without
 labels no rule is on; repeated rows get the same verdict.
 """
 
@@ -149,7 +149,7 @@ def cutoffs(histogram: list, risk: float = RISK, confidence: float = CONFIDENCE,
     return chosen
 
 
-def judged(docs: DataFrame, labels: DataFrame, max_strata: int = 64) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics, base_failed and kept of every document. docs: doc_id, text, lang; labels: doc_id, quality."""
     stats = written(measured(docs), "rules-stats")
     ratio = lambda c: F.coalesce(c, F.lit(0.0))
@@ -160,19 +160,25 @@ def judged(docs: DataFrame, labels: DataFrame, max_strata: int = 64) -> DataFram
     labels = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__good"))
     known = stats.join(labels, "doc_id")
     # rows: strata x rules x bins x 2 at most, after the partial sums
-    top = [r[0] for r in known.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_strata).collect()]
-    stratum = F.when(F.col("lang").isin(top), F.col("lang")).otherwise(F.lit("")) if top else F.lit("")
     long = known.select(
-        stratum.alias("stratum"),
+        F.coalesce("lang", F.lit("")).alias("stratum"),
         (F.col("__good") > 0).cast("int").alias("good"),
         F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), b.alias("bin")) for k, b in bins.items()))).alias("x"),
     )
     counted = long.groupBy("stratum", "x.rule", "x.bin", "good").agg(F.count(F.lit(1)).alias("n")).collect()
+    chosen = cutoffs(counted)
+    # a row for each stratum; the cutoffs of rules that are off there are null
+    rows = [(s, *(chosen.get((s, k)) for k in RULES)) for s in sorted({r["stratum"] for r in counted})]
+    table = stats.sparkSession.createDataFrame(rows, "__lang string, " + ", ".join(f"__{k} int" for k in RULES))
+    stats = stats.join(F.broadcast(table), F.col("lang") == F.col("__lang"), "left")
     rejects = F.lit(False)
-    for (group, rule), least in sorted(cutoffs(counted).items()):
-        rejects = rejects | ((stratum == group) & (bins[rule] >= least))
+    for k in RULES:
+        other = F.lit(chosen.get(("", k))).cast("int")
+        least = F.when(F.col("__lang").isNull(), other).otherwise(F.col(f"__{k}"))
+        rejects = rejects | F.coalesce(bins[k] >= least, F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("base_failed", base).withColumn("kept", ~base & ~rejects)
+    out = stats.withColumn("base_failed", base).withColumn("kept", ~base & ~rejects)
+    return out.drop("__lang", *(f"__{k}" for k in RULES))
 
 
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
