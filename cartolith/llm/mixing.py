@@ -2,10 +2,11 @@
 
 Each source is a queue of its documents in a seeded shuffle, repeated up to ``epochs`` times. A document's virtual start
 and finish are the words of its source before and up to it, divided by the source's target: every source is served in
-proportion to its target, and the sum of what is served by virtual time 1 is the total budget. Documents are sorted
-globally by virtual finish and the mix is cut where the budget is used up: those that finish by then are taken whole, the
-one of each source that is in service is taken in part (``cut='word'``) or as a whole if at least half of it was served
-(``cut='document'``).
+proportion to its target, and the sum of what is served by virtual time 1 is the total budget. With ``cut='document'`` a
+row for each document and epoch is sorted globally by virtual finish and taken whole until the budget is used up: the total
+is within half a document of it. With ``cut='word'`` the mix stops at virtual time 1: what finishes by then is taken whole
+and the document of each source that is in service in part, so each source has its target to the word; a threshold for
+each source and epoch gives that without a sort.
 
 Running totals come from range-partitioned narrow rows (shared.running_totals), so one source may hold any share of the
 rows. Defined results: null source is a source of its own, last; null text has size 0; a document of size 0 is never
@@ -66,15 +67,29 @@ def mix(rows: DataFrame, cut: str = "word", epochs: int = EPOCHS, **how) -> Data
     placed = running_totals(rows, ["shuffle", "doc_id"], "size", ["source"])
     wanted = wanted.withColumnRenamed("source", "__source")
     both = placed.join(small(wanted), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    words = F.floor("target")
+    if cut == "document":
+        whole = small(served(both, wanted.agg(F.sum("target")).first()[0] or 0.0, epochs).withColumnRenamed("source", "__source"))
+        both = both.join(whole, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        words = F.coalesce("served", F.lit(0))
     taken = F.lit(0).cast("long")
     for epoch in range(epochs):
-        served = F.floor("target") - F.col("source_size") * epoch - F.col("before")
-        part = F.greatest(F.lit(0), F.least(F.col("size"), served))
-        if cut == "document":
-            part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
-        taken = taken + part
+        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("source_size") * epoch - F.col("before")))
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return both.withColumn("taken", taken.cast("long")).withColumn("finish", finish)
+    return both.withColumn("taken", taken.cast("long")).withColumn("finish", finish).drop("served")
+
+
+def served(both: DataFrame, budget: float, epochs: int) -> DataFrame:
+    """source, served: words of the whole documents that the budget takes in the order of virtual finish.
+
+    A row is taken if half of it at least fits; no row after one that is left is taken. In a source the order of virtual
+    finish is that of its queue, so the words say which documents they are.
+    """
+    queue = both.filter("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("size")) / F.col("target")
+    queue = written(queue.select("source", "epoch", "shuffle", "doc_id", "size", finish.alias("finish")), "mixing-queue")
+    placed = running_totals(queue, ["finish", "source", "epoch", "shuffle", "doc_id"], "size")
+    return written(placed.filter(2 * F.col("before") + F.col("size") <= 2 * budget).groupBy("source").agg(F.sum("size").alias("served")), "mixing-served")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
