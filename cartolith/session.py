@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,53 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a new local folder; a cluster raises, since its machines share no local one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Paths written inside each call of a ``settled`` function that is running, innermost last.
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Writes the function's result as a table and removes every table that was written on the way to it."""
+
+    @functools.wraps(run)
+    def wrapper(*args, **kwargs) -> DataFrame:
+        _scopes.append([])
+        try:
+            out = run(*args, **kwargs)
+        finally:
+            paths = _scopes.pop()
+        out = written(out, run.__name__)
+        remove(out.sparkSession, paths)
+        return out
+
+    return wrapper
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
