@@ -7,17 +7,26 @@ value, so two texts agree in a coordinate with probability equal to their weight
 step a region and one a dart: about n + k ln k, not n times k. Regions of higher rank are opened until no coordinate is
 empty.
 
-Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node throughout. Pairs are verified on the exact weighted sets, in three
-steps, and links of at least ``threshold`` are joined into components after each: every node with the least node that it
-meets; then, in buckets that hold several components, every node with the bucket's least one; last, in buckets that still
-do, all nodes with each other, in groups of bounded size that compare signatures first and give back links only. So no pair
-that shares a band is lost to the classes, pairs are never rows of a table there, and nothing is expanded inside a component. Banding (40 bands of 6) misses a pair of similarity 0.8 with probability 5e-6 and fewer above.
-
-Nothing but a bitmap of fixed size (which texts to read again for the exact check) reaches the driver. Tables are written
-to the shared folder between the steps. Defined results: null text counts as empty; texts without words are duplicates of
-equal texts only; texts of one to four words are one shingle; repeated rows and equal ids fall in the same class if their
-texts do; class_id is the least id of the class, null only if it has none; an empty table gives no rows; only doc_id and
-text are read.
+Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node throughout. Pairs are
+verified on the exact weighted sets, and links of at least ``threshold`` are joined into components after each step:
+
+1. every node with the least node that it meets anywhere;
+2. in buckets that hold several components, every node with the bucket's least one;
+3. in buckets of up to ``block`` nodes that still do, all nodes with each other, by one product of matrices a group;
+4. the nodes of larger such buckets get a longer signature and bands of ``DEEP_ROWS`` coordinates, which part texts that are
+   merely alike; groups of these that hold several components are compared as in step 3. A group that is still larger than
+   ``block`` is cut: the nodes outside its most frequent component meet each other and all the rest, part by part.
+
+Pairs are never rows of a table in steps 3 and 4, nothing is expanded inside a component, and groups with the same nodes
+are compared once. Every pair that shares a band is verified unless it is joined already, or unless all the buckets that it
+shares are larger than ``block`` and no deep band is shared. Banding (40 bands of 6) misses a pair of similarity 0.8 with
+probability 5e-6, deep banding (128 of 12) with 1e-4, and both far less above.
+
+Nothing but a bitmap of fixed size (which texts to read again for the exact check) and the fewer than 1000 heaviest keys of
+a join reach the driver. Tables are written to the shared folder between the steps and removed at the end. Defined results:
+null text counts as empty; texts without words are duplicates of equal texts only; texts of one to four words are one
+shingle; repeated rows and equal ids fall in the same class if their texts do; class_id is the least id of the class, null
+only if it has none; an empty table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,17 +41,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, mapped, written
+from cartolith.llm.shared import documents, free_names, mapped, settled, skew_join, written
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 THRESHOLD = 0.8
 WORDS = 5
-#: Of 240 coordinates, cut to four bits, a pair of similarity 0.8 differs in 45 on average with a deviation of 6; pairs
-#: that differ in more than this many (4.8 deviations: a chance of 1e-6) aren't verified in the last step.
-MOST_DIFFERENT = 74
-#: Nodes of a bucket that are compared in one group.
-BLOCK = 1500
+#: Nodes that are compared in one group.
+BLOCK = 256
+#: Bands and rows of the longer signatures of nodes in larger buckets.
+DEEP_BANDS, DEEP_ROWS = 128, 12
+#: A node that many others are compared with is copied to so many groups at least.
+SALTS = 64
 #: Bits of the map of texts to read again. More texts than bits only make it less selective.
 MAP_BITS = 24
 _A, _B, _C, _D = (K.U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -101,21 +111,6 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Four bits of every coordinate, sixteen to a 64-bit word."""
-    n, k = signature.shape
-    bits = (signature & 15).astype(K.U).reshape(n, k // 16, 16) << (K.U(4) * np.arange(16, dtype=K.U))
-    return bits.sum(2, dtype=K.U).view(np.int64)
-
-
-def different(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Coordinates in which sketches differ from one."""
-    x = others ^ one
-    x |= x >> K.U(2)
-    x |= x >> K.U(1)
-    return np.bitwise_count(x & K.U(0x1111111111111111)).sum(1)
-
-
 def digests(t: K.Texts) -> list[bytes]:
     raw, at = t.data.tobytes(), t.offsets
     return [hashlib.md5(raw[at[i] : at[i + 1]]).digest() for i in range(t.n)]
@@ -127,26 +122,24 @@ def slot(digest: bytes, doc_id: int | None) -> int:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the text), slot, bands and sketch of each document."""
+    """doc_id, node (digest of the text), slot and bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in K.blocks(batch):
                 found, counts = elements(t)
                 signature = signatures(found, counts)
-                listed = lambda x: pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum((counts > 0) * x.shape[1])]), pa.int32()),
-                    pa.array(x[counts > 0].reshape(-1), pa.int64()),
-                )
+                keys = band_keys(signature)[counts > 0]
+                ends = np.concatenate([[0], np.cumsum((counts > 0) * BANDS)])
                 nodes = digests(t)
                 slots = [slot(d, i) for d, i in zip(nodes, part.column(0).to_pylist(), strict=True)]
-                lists = [listed(band_keys(signature)), listed(sketches(signature))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(slots, pa.int32()), *lists],
-                    ["doc_id", "node", "slot", "bands", "sketch"],
+                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(slots, pa.int32()), lists],
+                    ["doc_id", "node", "slot", "bands"],
                 )
 
-    return mapped(docs, run, "doc_id long, node binary, slot int, bands array<long>, sketch array<long>")
+    return mapped(docs, run, "doc_id long, node binary, slot int, bands array<long>")
 
 
 def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,38 +175,49 @@ def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least the threshold."""
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    """The pairs (a, b) whose weighted Jaccard similarity is at least the threshold.
+
+    The sets of the b that share an a follow that of a in a task; an a of many b is dealt over many such groups by salts,
+    and no key has more rows than a group.
+    """
+    salts = max(SALTS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    side = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"), F.col("b").alias("node"), F.lit(1).alias("turn"))
+    hubs = side.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("turn")).distinct()
+    rows = side.union(hubs).join(sets, "node").select("a", "salt", "turn", "node", "elements")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, K.U)
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                if overlap(*(np.frombuffer(v.as_buffer(), K.U) for v in (x, y)), threshold):
+            for i, (turn, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4), strict=True)):
+                own = np.frombuffer(own.as_buffer(), K.U)
+                if not turn:
+                    hub = own.copy()
+                elif overlap(hub, own, threshold):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return mapped(both, run, "a binary, b binary")
+    return mapped(rows, run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (least node of its component) for the nodes of the links (a, b).
 
-    Each round takes the least label among a node and its neighbours, then the label of that label; both are plain joins
-    of written tables, which the engine may split if a node has many links.
+    Each round takes the least label among a node and its neighbours, then the label of that label. Nodes of many links and
+    labels of many nodes are joined as heavy keys (shared.skew_join).
     """
     both = written(links.select("a", "b").union(links.select("b", "a")), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     labels = written(labels.select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+        near = skew_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
         near = near.agg(F.min("label").alias("m"))
         stepped = labels.join(near, "node").select("node", F.least("label", "m").alias("step"), "label")
         stepped = written(stepped, "labels-step")
         of = stepped.select(F.col("node").alias("step"), F.col("step").alias("up"))
-        jumped = written(stepped.join(of, "step").select("node", F.col("up").alias("label"), F.col("label").alias("was")), "labels")
+        jumped = skew_join(stepped, of, "step").select("node", F.col("up").alias("label"), F.col("label").alias("was"))
+        jumped = written(jumped, "labels")
         labels = jumped.select("node", "label")
         if jumped.filter("label <> was").isEmpty():
             return labels
@@ -229,6 +233,18 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(written(mixed, "near-mixed"), "band")
 
 
+def several(rows: DataFrame, name: str) -> DataFrame:
+    """band, node, label, n of the groups (band) that hold several components; of groups with the same nodes one is kept.
+
+    n: nodes of the group. rows: band, node, label.
+    """
+    rows = written(rows, name)
+    same = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % (1 << 31)).alias("y"))
+    groups = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), same.alias("same")).filter("lo <> hi")
+    groups = groups.groupBy("same").agg(F.min("band").alias("band")).select("band", "same.n")
+    return rows.join(written(groups, name + "-groups"), "band")
+
+
 def with_more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and labels after more links were found."""
     found = written(found, "near-links")
@@ -247,58 +263,144 @@ def overlap(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(x) + len(y) - common)
 
 
-def compared(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components inside the buckets of ``rest`` (band, node, label).
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every two sets, exactly.
 
-    A group holds ``BLOCK`` nodes of a bucket, or of two such parts of a larger bucket. In it, two nodes of different
-    components are verified if their sketches allow for the threshold and the bucket is the first that they share; a link
-    joins their components there and then, so a group returns fewer links than it has nodes.
+    Elements with the same holders are one column that counts as often as there are such elements; elements of one holder
+    are none. Then a matrix times its transpose, some columns at a time.
     """
-    sizes = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    side = rest.join(sizes, "band").join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
-    side = side.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    side = side.withColumn("other", other).select(
-        "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "bands", "sketch", "elements"
-    )
+    n = len(sets)
+    out = np.zeros((n, n))
+    if not n:
+        return out
+    element = np.concatenate(sets)
+    holder = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(element, kind="stable")
+    element, holder = element[order], holder[order]
+    begin = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([begin, [len(element)]]))
+    begin, many = begin[many > 1], many[many > 1]
+    if not len(begin):
+        return out
+    marks = K.mix(np.arange(1, n + 1, dtype=K.U) * _B)
+    total = np.concatenate([np.zeros(1, K.U), np.cumsum(marks[holder])])
+    _, first, weight = np.unique(total[begin + many] - total[begin], return_index=True, return_counts=True)
+    begin, many = begin[first], many[first]
+    width = max(1, (1 << 22) // n)
+    for at in range(0, len(begin), width):
+        b, m = begin[at : at + width], many[at : at + width]
+        column = np.repeat(np.arange(len(b)), m)
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(b, m)
+        has = np.zeros((n, len(b)), np.float32)
+        has[holder[place], column] = 1
+        out += (has * weight[at : at + width].astype(np.float32)) @ has.T
+    return out
+
+
+def joins(sets: list[np.ndarray], group: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join all sets of different groups that are similar enough: a tree of links, not all of them."""
+    size = np.array([len(x) for x in sets])
+    total = size[:, None] + size[None, :]
+    common = intersections(sets)
+    near = (common >= threshold * (total - common)) & (group[:, None] != group[None, :])
+    one, two, unseen = [], [], np.ones(len(sets), bool)
+    for root in np.flatnonzero(near.any(1)):
+        front = [root] if unseen[root] else []
+        unseen[root] = False
+        while front:
+            i = front.pop()
+            for j in np.flatnonzero(near[i] & unseen):
+                unseen[j] = False
+                one.append(i)
+                two.append(j)
+                front.append(j)
+    return one, two
+
+
+def compared(groups: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) between components inside the groups of ``several`` (band, node, label, n).
+
+    A group of up to ``block`` nodes is compared whole. A larger one is cut into parts of half as many, those of the most
+    frequent component apart from all others; each part of the others meets every part, and only these are copied.
+    """
+    half = max(1, block // 2)
+    small = groups.filter(F.col("n") <= block).select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "label")
+    large = groups.filter(F.col("n") > block)
+    kinds = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = kinds.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"))
+    most = most.select("band", F.col("most.label").alias("top"), F.ceil(F.col("most.k") / half).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("most.k")) / half).cast("int").alias("others"))
+    large = large.join(most, "band")
+    own = F.when(F.col("label") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("node"), "tops")).otherwise(F.pmod(F.xxhash64("node"), "others"))
+    large = large.withColumn("part", own.cast("int"))
+    last = F.when(F.col("part") < F.col("others"), F.col("others") + F.col("tops")).otherwise(F.col("others")) - 1
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), last))).filter("part <> other")
+    large = large.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label")
+    rows = small.union(large).join(sets, "node").select("band", "i", "j", "label", "node", "elements")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(table: pa.Table) -> pa.RecordBatch:
+            """The links of the whole groups of a table."""
+            keys = np.stack([table.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            label = table.column(3).combine_chunks().dictionary_encode().indices.to_numpy()
+            node, raw = table.column(4).combine_chunks(), table.column(5)
+            one, two = [], []
+            for at, to in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+                sets_ = [np.frombuffer(x.as_buffer(), K.U) for x in raw.slice(at, to - at)]
+                a, b = joins(sets_, label[at:to], threshold)
+                one += [x + at for x in a]
+                two += [x + at for x in b]
+            return pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())) for x in (one, two)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in range(3)]
+            ends = batch.num_rows - 1
+            begin = ends
+            while begin and all(k[begin - 1] == k[ends] for k in keys):
+                begin -= 1
+            # the last group of a batch may go on in the next one
+            if begin or (held and any(held[-1].column(c)[0] != keys[c][0] for c in range(3))):
+                whole = [*held, batch.slice(0, begin)]
+                yield links(pa.Table.from_batches(whole))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return mapped(rows, run, "a binary, b binary")
+
+
+def deep_bands(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """band, node, label of the nodes of the groups under longer signatures; a row for each deep band."""
+    nodes = written(groups.select("node", "label").distinct(), "near-crowded").join(sets, "node").select("node", "label", "elements")
 
-    def compare(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        column = lambda c: table.column(c).combine_chunks()
-        band, i, j = (column(c)[0].as_py() for c in ("band", "i", "j"))
-        part = column("part").to_numpy()
-        bands = column("bands").flatten().to_numpy().reshape(n, -1)
-        sketch = column("sketch").flatten().to_numpy().view(K.U).reshape(n, -1)
-        sets = [np.frombuffer(x.as_buffer(), K.U) for x in column("elements")]
-        size = np.array([len(x) for x in sets])
-        group = np.unique(np.array(column("label").to_pylist(), object), return_inverse=True)[1]
-        found: tuple[list, list] = ([], [])
-        for a in range(n):
-            rest_ = np.arange(a + 1, n)
-            rest_ = rest_[(group[rest_] != group[a]) & ((i == j) | (part[rest_] != part[a]))]
-            fits = np.minimum(size[rest_], size[a]) >= threshold * np.maximum(size[rest_], size[a])
-            rest_ = rest_[fits]
-            rest_ = rest_[different(sketch[a], sketch[rest_]) <= MOST_DIFFERENT]
-            shared = bands[rest_] == bands[a]
-            rest_ = rest_[bands[a][shared.argmax(1)] == band] if len(rest_) else rest_
-            for b in rest_:
-                if group[a] != group[b] and overlap(sets[a], sets[b], threshold):
-                    found[0].append(a)
-                    found[1].append(b)
-                    group[group == group[b]] = group[a]
-        node = column("node")
-        return pa.table({k: node.take(pa.array(x, pa.int64())) for k, x in zip("ab", found, strict=True)})
-
-    return side.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
-
-
-def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                own = [np.frombuffer(x.as_buffer(), K.U) for x in part.column(2)]
+                signature = signatures(np.concatenate(own), np.array([len(x) for x in own]), DEEP_BANDS * DEEP_ROWS)
+                keys = band_keys(signature, DEEP_BANDS)
+                ends = pa.array(np.arange(len(keys) + 1) * DEEP_BANDS, pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["node", "label", "bands"])
+
+    return mapped(nodes, run, "node binary, label binary, bands array<long>").select(F.explode("bands").alias("band"), "node", "label")
+
+
+@settled
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, node, label of each document: equal labels make a class of near duplicates."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(signed(docs), "near-rows")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "slot")).alias("least")
-    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(least, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select("node", "least.slot", "bands", "sketch"), "near-nodes")
+    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(least, F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", "least.slot", "bands"), "near-nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
@@ -315,34 +417,44 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = apart(members, labels)
     stars = rest.filter("label <> least_label").groupBy(F.col("node").alias("b"), "least_label").agg(F.min("least").alias("a"))
     links, labels = with_more(links, labels, linked(stars, sets, threshold))
-    # the other nodes of its buckets that are in other components
-    rest = written(apart(members, labels).select("band", "node", "label"), "near-open")
-    if not rest.isEmpty():
-        links, labels = with_more(links, labels, compared(rest, nodes, sets, threshold))
-    return rows.select("doc_id", "node").join(labels, "node", "left").select(
+    # the other nodes of its buckets; the least one has met them all, or is in their component
+    groups = several(apart(members, labels).filter("node <> least").select("band", "node", "label"), "near-open")
+    groups = written(groups, "near-groups")
+    links, labels = with_more(links, labels, compared(groups.filter(F.col("n") <= block), sets, threshold, block))
+    crowded = groups.filter(F.col("n") > block).select("band", "node")
+    if not crowded.isEmpty():
+        named = crowded.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        crowded = several(named, "near-crowded-open")
+        deep = written(several(deep_bands(crowded, sets), "near-deep"), "near-deep-groups")
+        links, labels = with_more(links, labels, compared(deep, sets, threshold, block))
+    return skew_join(rows.select("doc_id", "node"), labels, "node", "left").select(
         "doc_id", "node", F.coalesce("label", "node").alias("label")
     )
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+@settled
+def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, node, class_id, class_node (text of the representative) and class_size of each document."""
-    rows = written(labelled(docs, threshold), "near-labelled")
+    rows = labelled(docs, threshold, block)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best")
     groups = rows.groupBy("label").agg(best, F.count(F.lit(1)).alias("class_size"))
     groups = groups.select("label", F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("class_node"), "class_size")
-    return rows.join(written(groups, "near-classes"), "label").select("doc_id", "node", "class_id", "class_node", "class_size")
+    out = skew_join(rows, written(groups, "near-classes"), "label")
+    return out.select("doc_id", "node", "class_id", "class_node", "class_size")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near duplicates: of each class the row with the least id (nulls last) stays."""
-    kept = classes(docs, threshold).filter("doc_id <=> class_id and node = class_node").select(
-        F.col("doc_id").alias("__id"), F.col("node").alias("__node")
-    ).distinct()
-    # repeated rows stay together up to here: one of them is numbered 1
-    own = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__node"))
-    first = F.row_number().over(Window.partitionBy("__key", F.col("doc_id").cast("long")).orderBy(F.lit(0)))
-    return own.join(kept, same, "left_semi").withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    """The documents without near duplicates: of each class the row with the least id (nulls last) stays.
+
+    Texts are shuffled once, by the digest of id and text that both the join and the numbering of repeated rows use (one of
+    them stays). All columns stay as they came, whatever their names; null ids and texts as in the module's docstring.
+    """
+    key, first = free_names(docs.columns, "key", "first")
+    spelled = lambda node: F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.hex(node)).cast("binary"))
+    kept = classes(docs, threshold).filter("doc_id <=> class_id and node = class_node").select(spelled(F.col("node")).alias(key)).distinct()
+    own = docs.withColumn(key, spelled(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    return own.join(kept, key, "left_semi").withColumn(first, number).filter(F.col(first) == 1).select(*docs.columns)
 
 
 def op10_dart_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,31 +8,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartolith.session import settled as settled
 from cartolith.session import written as written
 
 
-#: Bytes of a table that is dealt anew if it comes in fewer files than there are cores.
-SMALL_BYTES = 256 << 20
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table. A small one in few files, whose row groups would occupy few cores, is dealt to all of them."""
+    """The documents table. If the reader makes fewer splits than there are cores, its rows are dealt to all of them.
+
+    Spark cuts files of any size into at least a split a core, down to spark.sql.files.openCostInBytes (4 MB); only a
+    table below that a core is moved.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) < cores:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < SMALL_BYTES:
-            docs = docs.repartition(cores)
-    return docs
-
-
-#: Rows of a record batch: whole texts are handed to Python so many at a time.
-BATCH_ROWS = 500
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow in small batches, giving memory back between them."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow, giving memory back between batches.
+
+    Batches are bounded by the session's limits of rows and of bytes (spark.sql.execution.arrow.maxRecordsPerBatch and
+    maxBytesPerBatch, 64 MB), whatever the texts' length; ``run`` works on blocks of some 256 KB of them.
+    """
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.default_memory_pool()
@@ -43,6 +39,17 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none of the taken ones, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
@@ -106,3 +113,25 @@ BROADCAST_ROWS = 100_000
 def small(df: DataFrame) -> DataFrame:
     """Ask for a broadcast if the table has few rows; else leave the join to the optimizer and its skew handling."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: A key is heavy if it has more than this share of the rows, so that fewer than 1 / HEAVY_SHARE keys are.
+HEAVY_SHARE = 0.001
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a column that few values may dominate on the left; on the right its values are distinct.
+
+    Rows of heavy keys meet their fewer than 1000 partners by broadcast, where they are; all others are shuffled. ``left``
+    is read three times: pass a written table. how: inner or left; null keys match nothing.
+    """
+    total = left.count()
+    heavy = left.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > total * HEAVY_SHARE)).select(key)
+    found = heavy.collect()  # fewer than 1 / HEAVY_SHARE rows
+    if not found:
+        return left.join(right, key, how)
+    heavy = left.sparkSession.createDataFrame(found, heavy.schema)
+    few = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
+    hot = left.join(F.broadcast(heavy), key, "left_semi").join(few, key, how)
+    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    return hot.unionByName(rest)
