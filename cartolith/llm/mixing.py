@@ -1,24 +1,27 @@
 """Source mixing by weighted fair queueing (operator 5).
 
-Each source is a queue of its documents in a seeded shuffle, repeated up to ``epochs`` times. A document's virtual start
-and finish are the words of its source before and up to it, divided by the source's target: every source is served in
-proportion to its target, and the sum of what is served by virtual time 1 is the total budget. With ``cut='document'`` a
-row for each document and epoch is sorted globally by virtual finish and taken whole until the budget is used up: the total
-is within half a document of it. With ``cut='word'`` the mix stops at virtual time 1: what finishes by then is taken whole
-and the document of each source that is in service in part, so each source has its target to the word; a threshold for
-each source and epoch gives that without a sort.
-
-Running totals come from range-partitioned narrow rows (shared.running_totals), so one source may hold any share of the
-rows. Defined results: null source is a source of its own, last; null text has size 0; a document of size 0 is never
-taken; an empty table gives no rows; repeated rows are documents of their own.
+Each source is a queue of its documents in a seeded shuffle, repeated up to ``epochs`` times. A row for each document and
+epoch has a virtual finish time, the words of its source up to its end divided by the source's target. All rows are sorted
+globally by virtual finish (range partitions, shared.running_totals) and taken in that order until the total budget is used
+up. With ``cut='document'`` rows are taken whole, so the total is within half a document of the budget. With ``cut='word'``
+a document that is in service at virtual time 1, when every source has its target, counts as two rows, the part up to that
+time and the rest, and the row at the budget is taken in part: then the truncated order meets each source's target to the
+word, but for the rounding of targets to whole words (less than a word a source in all).
+
+In a source the global order is that of its queue, so the words that the cut leaves to each source say which documents they
+are. One source may hold any share of the rows. Defined results: null source is a source of its own, last; null text has
+size 0; a document of size 0 is never taken; an empty table gives no rows; repeated rows are documents of their own; rows
+that tie in finish go by source (null first), epoch, shuffle and id; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import documents, running_totals, small, word_count, written
+from cartolith.llm.shared import documents, free_names, running_totals, settled, small, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,6 +33,7 @@ def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), doc_id.cast("string")).cast("binary"))
 
 
+@settled
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, target: the budget shared by weight, capped at epochs times a source's size.
 
@@ -61,35 +65,52 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     )
 
 
+@settled
 def mix(rows: DataFrame, cut: str = "word", epochs: int = EPOCHS, **how) -> DataFrame:
     """Words that the mix takes of each document. rows: written table with doc_id, source, size and shuffle (order)."""
     wanted = targets(rows, epochs=epochs, **how)
+    budget = wanted.agg(F.sum("target")).first()[0] or 0.0
     placed = running_totals(rows, ["shuffle", "doc_id"], "size", ["source"])
-    wanted = wanted.withColumnRenamed("source", "__source")
-    both = placed.join(small(wanted), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    words = F.floor("target")
-    if cut == "document":
-        whole = small(served(both, wanted.agg(F.sum("target")).first()[0] or 0.0, epochs).withColumnRenamed("source", "__source"))
-        both = both.join(whole, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        words = F.coalesce("served", F.lit(0))
-    taken = F.lit(0).cast("long")
+    to = F.col("source").eqNullSafe(F.col("to_source"))
+    both = written(placed.join(small(wanted.withColumnsRenamed({"source": "to_source"})), to).drop("to_source"), "mixing-placed")
+    whole = served(queued(both, cut, epochs), budget, cut).withColumnRenamed("source", "to_source")
+    both = both.join(small(whole), to, "left").drop("to_source")
+    words, taken = F.coalesce("served", F.lit(0)), F.lit(0).cast("long")
     for epoch in range(epochs):
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("source_size") * epoch - F.col("before")))
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
     return both.withColumn("taken", taken.cast("long")).withColumn("finish", finish).drop("served")
 
 
-def served(both: DataFrame, budget: float, epochs: int) -> DataFrame:
-    """source, served: words of the whole documents that the budget takes in the order of virtual finish.
-
-    A row is taken if half of it at least fits; no row after one that is left is taken. In a source the order of virtual
-    finish is that of its queue, so the words say which documents they are.
-    """
+def queued(both: DataFrame, cut: str, epochs: int) -> DataFrame:
+    """source, epoch, shuffle, doc_id, words, finish: the rows that the global order sorts."""
     queue = both.filter("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("size")) / F.col("target")
-    queue = written(queue.select("source", "epoch", "shuffle", "doc_id", "size", finish.alias("finish")), "mixing-queue")
-    placed = running_totals(queue, ["finish", "source", "epoch", "shuffle", "doc_id"], "size")
-    return written(placed.filter(2 * F.col("before") + F.col("size") <= 2 * budget).groupBy("source").agg(F.sum("size").alias("served")), "mixing-served")
+    queue = queue.withColumn("start", F.col("source_size") * F.col("epoch") + F.col("before"))
+    end, goal = F.col("start") + F.col("size"), F.floor("target")
+    whole = F.struct(F.col("size").cast("long").alias("words"), (end / F.col("target")).alias("finish"))
+    parts = F.array(whole)
+    if cut == "word":
+        first = F.struct((goal - F.col("start")).cast("long").alias("words"), F.lit(1.0).alias("finish"))
+        rest = F.struct((end - goal).cast("long").alias("words"), (end / F.col("target")).alias("finish"))
+        parts = F.when((F.col("start") < goal) & (end > F.col("target")), F.array(first, rest)).otherwise(parts)
+    queue = queue.select("source", "epoch", "shuffle", "doc_id", F.explode(parts).alias("part"))
+    return written(queue.select("source", "epoch", "shuffle", "doc_id", "part.words", "part.finish"), "mixing-queue")
+
+
+def served(queue: DataFrame, budget: float, cut: str) -> DataFrame:
+    """source, served: words of each source that the budget takes in the global order of virtual finish.
+
+    Whole rows: one is taken if half of it at least fits, and no row after one that is left. Else the last one in part.
+    """
+    placed = running_totals(queue, ["finish", "source", "epoch", "shuffle", "doc_id"], "words")
+    own = F.col("words")
+    if cut == "document":
+        placed = placed.filter(2 * F.col("before") + F.col("words") <= 2 * budget)
+    else:
+        limit = F.lit(math.floor(budget + 1e-6))
+        placed = placed.filter(F.col("before") < limit)
+        own = F.least(F.col("words"), limit - F.col("before"))
+    return written(placed.groupBy("source").agg(F.sum(own).alias("served")), "mixing-served")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
@@ -105,15 +126,13 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     )
     epochs = how.get("epochs", EPOCHS)
     taken = mix(written(rows, "mixing-rows"), cut="document", **how).filter("taken > 0")
-    last = [
-        F.max(F.when(F.col("taken") > F.col("size") * e, F.struct("shuffle", "doc_id"))).alias(f"__last{e}")
-        for e in range(epochs)
-    ]
-    last = written(taken.groupBy(F.col("source").alias("__source")).agg(*last), "mixing-last")
-    both = docs.join(small(last), F.col("source").eqNullSafe(F.col("__source")))
-    copies = sum((F.coalesce(key <= F.col(f"__last{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
-    both = both.withColumn("__copies", F.when(word_count(F.col("text")) > 0, copies).otherwise(0)).filter("__copies > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    to_source, copies, copy, *ends = free_names(docs.columns, "to_source", "copies", "copy", *(f"last{e}" for e in range(epochs)))
+    last = [F.max(F.when(F.col("taken") > F.col("size") * e, F.struct("shuffle", "doc_id"))).alias(ends[e]) for e in range(epochs)]
+    last = written(taken.groupBy(F.col("source").alias(to_source)).agg(*last), "mixing-last")
+    both = docs.join(small(last), F.col("source").eqNullSafe(F.col(to_source)))
+    many = sum((F.coalesce(key <= F.col(end), F.lit(False)).cast("int") for end in ends), F.lit(0))
+    both = both.withColumn(copies, F.when(word_count(F.col("text")) > 0, many).otherwise(0)).filter(F.col(copies) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

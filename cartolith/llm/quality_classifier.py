@@ -4,11 +4,12 @@ Features of a text: its hashed words (log counts, scaled to unit length), struct
 and lines, capitals, list bars, line and word lengths, punctuation, variety), each as one of ten quantile bins, and the
 length of the text as metadata. The machine adds a low-rank interaction to every pair of features and scores in time linear
 in the features, since the sum over pairs is half of (sum of v x) squared minus the sum of (v x) squared. It is fitted by
-mini-batch Adam on a bounded sample (``each`` documents of each label, of at most samples.FIT_CHARS characters).
+mini-batch Adam on a bounded sample, ``each`` documents of each label. Their features are taken from the whole texts, of any
+length, in the cluster; the driver gets those only.
 
 Defined results: null and empty texts have no words and the statistics 0, and are scored from those; without labels of both
 kinds the score is the sample's share of good documents (0.5 without any); repeated rows score alike; an empty table gives
-no rows; only doc_id and text are read for scores, labels only where ``fit`` allows.
+no rows; only doc_id and text are read for scores, labels only where ``fit`` allows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import statistics
-from cartolith.llm.samples import distinct_stories, labelled_sample, slices
+from cartolith.llm.samples import labelled_sample, stories
 from cartolith.llm.shared import documents, fold, mapped
 from cartolith.llm.toxicity import logistic
 
@@ -62,6 +63,16 @@ def structure(t: K.Texts) -> np.ndarray:
     return np.stack(columns, 1)
 
 
+def hashed_words(t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted sparse rows of a text's words: hashed numbers, log counts of unit length, numbers of each document."""
+    starts, ends, counts = t.runs(K.SPACE)
+    bucket = (t.hashes(starts, ends, lower=True) >> K.U(40)).astype(np.int64) & (HASHED - 1)
+    key, many = np.unique(t.doc_of(counts) * HASHED + bucket, return_counts=True)
+    doc, value = key // HASHED, np.log1p(many)
+    norm = np.sqrt(np.bincount(doc, value**2, t.n))
+    return key % HASHED, value / norm[doc], np.bincount(doc, minlength=t.n)
+
+
 class Machine:
     """w0 + sum of w x + half of (sum of v x)^2 - sum of (v x)^2 over hashed words and binned statistics."""
 
@@ -74,20 +85,18 @@ class Machine:
 
     def features(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted sparse rows: feature numbers, values, features of each document."""
-        starts, ends, counts = t.runs(K.SPACE)
-        bucket = (t.hashes(starts, ends, lower=True) >> K.U(40)).astype(np.int64) & (HASHED - 1)
-        key, many = np.unique(t.doc_of(counts) * HASHED + bucket, return_counts=True)
-        doc, value = key // HASHED, np.log1p(many)
-        norm = np.sqrt(np.bincount(doc, value**2, t.n))
-        value = value / norm[doc]
-        stats = structure(t)
+        return self.joined(*hashed_words(t), structure(t))
+
+    def joined(self, index: np.ndarray, value: np.ndarray, counts: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of hashed words and the statistics' bins."""
+        n = len(counts)
         bins = np.stack([np.searchsorted(self.edges[:, j], stats[:, j], "right") for j in range(STATISTICS)], 1)
         extra = HASHED + np.arange(STATISTICS) * (BINS + 1) + bins
-        at = np.concatenate([doc, np.repeat(np.arange(t.n), STATISTICS)])
+        at = np.concatenate([np.repeat(np.arange(n), counts), np.repeat(np.arange(n), STATISTICS)])
         order = np.argsort(at, kind="stable")
-        index = np.concatenate([key % HASHED, extra.reshape(-1)])[order]
+        index = np.concatenate([index, extra.reshape(-1)])[order]
         values = np.concatenate([value, np.ones(extra.size)])[order]
-        return index, values.astype(np.float32), np.bincount(at, minlength=t.n)
+        return index, values.astype(np.float32), np.bincount(at, minlength=n)
 
     def raw(self, index: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the logistic function, and the sums of v x. Every document has its statistics, so no row is empty."""
@@ -104,8 +113,37 @@ class Machine:
         return logistic(self.raw(*self.features(t))[0].astype(float))
 
 
+def described(rows: DataFrame) -> pa.Table:
+    """y, story, stats, index and value of a sample (doc_id, text, y), on the driver, in order of ids.
+
+    At most HASHED features a row, whatever the text's length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, t in K.blocks(batch):
+                index, value, counts = hashed_words(t)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                stats = pa.array(structure(t).reshape(-1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array(stories(t).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1) * STATISTICS, pa.int32()), stats),
+                        pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32))),
+                        pa.ListArray.from_arrays(ends, pa.array(value)),
+                    ],
+                    ["doc_id", "y", "story", "stats", "index", "value"],
+                )
+
+    schema = "doc_id long, y int, story long, stats array<double>, index array<int>, value array<double>"
+    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"))
+    return mapped(rows, run, schema).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+
+
 def fit(rows: pa.Table, epochs: int = 12, batch: int = 64, step: float = 0.02, ridge: float = 3e-3, seed: int = 7) -> Machine:
-    """Learn a machine from (text, y)."""
+    """Learn a machine from what ``described`` gives."""
     y = rows.column("y").to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         machine = Machine(np.zeros((BINS - 1, STATISTICS)))
@@ -113,12 +151,14 @@ def fit(rows: pa.Table, epochs: int = 12, batch: int = 64, step: float = 0.02, r
         share = float(y.mean()) if len(y) else 0.5
         machine.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return machine
-    rows = distinct_stories(rows)
+    # one of a group of near copies
+    rows = rows.take(pa.array(np.sort(np.unique(rows.column("story").to_numpy(), return_index=True)[1]), pa.int64())).combine_chunks()
     y = rows.column("y").to_numpy().astype(np.float32)
-    stats = np.concatenate([structure(t) for t in slices(rows.column("text"))])
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
+    stats = flat("stats").reshape(-1, STATISTICS)
     machine = Machine(np.quantile(stats, np.arange(1, BINS) / BINS, axis=0), seed)
-    parts = [machine.features(t) for t in slices(rows.column("text"))]
-    index, values, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    many = np.array([len(x) for x in rows.column("index").to_pylist()])
+    index, values, counts = machine.joined(flat("index").astype(np.int64), flat("value"), many, stats)
     begin = np.concatenate([[0], np.cumsum(counts)])
     rng = np.random.default_rng(seed)
     wm, wv, vm, vv = (np.zeros_like(x) for x in (machine.w, machine.w, machine.v, machine.v))
@@ -155,7 +195,7 @@ def fit(rows: pa.Table, epochs: int = 12, batch: int = 64, step: float = 0.02, r
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Machine:
     rows = labelled_sample(docs.select("doc_id", "text"), labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, each)
-    return fit(rows)
+    return fit(described(rows))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -39,7 +39,13 @@ r AS (SELECT *, cap / weight AS ratio, sum(cap) OVER low - cap AS below, sum(wei
 rate AS (SELECT min_by(x, i) AS rate FROM (SELECT i, ratio, (1.5e0 * (SELECT sum(source_size) FROM s) - below) / rest AS x FROM r) q WHERE ratio >= x),
 t AS (SELECT source, source_size, CASE WHEN cap < weight * rate THEN CAST(cap AS DOUBLE) ELSE weight * rate END AS target FROM w, rate),
 p AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, source, CASE WHEN target > 0 THEN (before + size) / target END AS finish,
-    CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken FROM p""",
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT doc_id, source, k, e.epoch, size, target, floor(target) AS goal, source_size * e.epoch + before AS start FROM p, (VALUES (0), (1)) e(epoch) WHERE size > 0 AND target > 0),
+f AS (SELECT *, size AS words, (start + size) / target AS finish FROM q WHERE NOT (start < goal AND start + size > target)
+    UNION ALL SELECT *, goal - start, 1e0 FROM q WHERE start < goal AND start + size > target
+    UNION ALL SELECT *, start + size - goal, (start + size) / target FROM q WHERE start < goal AND start + size > target),
+g AS (SELECT *, sum(words) OVER (ORDER BY finish, source NULLS FIRST, epoch, k, doc_id ROWS UNBOUNDED PRECEDING) - words AS ahead FROM f),
+x AS (SELECT doc_id, sum(greatest(0, least(words, (SELECT floor(sum(target) + 1e-6) FROM t) - ahead))) AS taken FROM g GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, source, CASE WHEN target > 0 THEN (before + size) / target END AS finish,
+    CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN x ON p.doc_id = x.doc_id""",
 }

@@ -1,18 +1,19 @@
 """Secret candidates judged by corpus-wide ownership (operator 1).
 
 Three detectors find the base spans; a fourth, `bare`, adds every other long token of letters and digits. Each candidate
-value is hashed, and the hashes are aggregated over the whole corpus by distinct repositories and owners. A value that many
-owners share is a widely copied example; one that few owners have and that looks random is taken to be a live credential.
-Base spans always stay; a bare token becomes a span (kind `owned`) only if it is live by that verdict.
+value is hashed, and the hashes are aggregated over the whole corpus by distinct repositories and owners. A value that
+``COPIED_OWNERS`` owners share, or that stands in ``COPIED_REPOS`` repositories whoever owns them, is a widely copied example;
+one of fewer owners and repositories that looks random is taken to be a live credential of its owner. Base spans always
+stay; a bare token becomes a span (kind `owned`) only if it is live by that verdict.
 
 Here a document is a repository and its source the owner. Counting goes from (value, owner, repository) to (value, owner)
 to value, each with partial sums, so a value that a third of all rows hold is combined before it is moved. Verdicts return
-to texts in two ways: those of the most frequent values, of which there can be ``HEAVY`` at most, by broadcast, all others by
-a join on the hash.
+to texts, and texts to documents, by joins that broadcast the fewer than 1000 heaviest keys (shared.skew_join).
 
 Defined results: null text counts as empty, null source is an owner of its own; repeated rows count as one repository if
-their ids are equal; a document of any length is scanned whole; an empty table gives no rows; only doc_id, text and source
-are read. Values never leave the tasks in clear, only their hashes do.
+their ids are equal (null ids are one repository); a document of any length is scanned whole; an empty table gives no rows;
+only doc_id, text and source are read, so other columns may have any name. Values never leave the tasks in clear, only their
+hashes do.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, mapped, written
+from cartolith.llm.shared import documents, free_names, mapped, settled, skew_join, written
 
 #: Fixed patterns of the base detectors.
 ASSIGN = re.compile(
@@ -45,10 +46,10 @@ _TOKEN = np.array([not (chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_
 
 #: A value of so many owners is a copied example.
 COPIED_OWNERS = 3
+#: A value of so many repositories is one too, even if they have one or two owners.
+COPIED_REPOS = 50
 #: Bits a character, and different characters, of a value that may be random.
 LEAST_ENTROPY, LEAST_KINDS = 2.8, 8
-#: Most values whose verdict is broadcast: each holds at least this share of all candidates.
-HEAVY = 1000
 
 
 def base_spans(text: str, low: bytes | None = None, raw: bytes | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -126,7 +127,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     return mapped(columns, run, f"doc_id long, owner string, text_key binary, found array<{CANDIDATE}>")
 
 
-def verdicts(rows: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def verdicts(rows: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """hash, n, n_repos, n_owners, copied for each candidate value. rows: what ``scanned`` gives, written."""
     each = rows.filter(F.size("found") > 0).select(
         F.explode(F.expr("transform(found, x -> x.hash)")).alias("hash"), "owner", F.coalesce("doc_id", F.lit(-1)).alias("repo")
@@ -136,38 +137,34 @@ def verdicts(rows: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     values = owners.groupBy("hash").agg(
         F.sum("n").alias("n"), F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners")
     )
-    return values.withColumn("copied", F.col("n_owners") >= copied_owners)
+    return values.withColumn("copied", (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos))
 
 
 def decided(rows: DataFrame, values: DataFrame) -> DataFrame:
     """text_key, decided: the candidates of each different text, with copied and live. Both tables are written."""
-    total = values.agg(F.sum("n")).first()[0] or 0
-    heavy = values.filter(F.col("n") * HEAVY > total).select("hash", F.col("copied").alias("heavy"))  # under HEAVY rows
     each = rows.filter(F.size("found") > 0).select("text_key", F.explode("found").alias("x")).distinct()
-    each = each.withColumn("hash", F.col("x.hash")).join(F.broadcast(heavy), "hash", "left")
-    light = each.filter("heavy is null").join(values.select("hash", "copied"), "hash")
-    each = light.select("text_key", "x", "copied").union(
-        each.filter("heavy is not null").select("text_key", "x", F.col("heavy").alias("copied"))
-    )
+    each = written(each.withColumn("hash", F.col("x.hash")), "secret-candidates")
+    each = skew_join(each, values.select("hash", "copied", "n_repos", "n_owners"), "hash")
     live = ~F.col("copied") & F.col("x.random")
     # the candidates of one text: as many as it has
     return each.groupBy("text_key").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
-                    *(F.col(f"x.{c}") for c in ("start", "kind", "end", "vstart", "vend")), "copied", live.alias("live")
+                    *(F.col(f"x.{c}") for c in ("start", "kind", "end", "vstart", "vend")), "copied", live.alias("live"), "n_repos", "n_owners"
                 )
             )
         ).alias("decided")
     )
 
 
-def scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """doc_id, text_key, base (spans of the base detectors) and decided (all candidates with verdicts, or null)."""
+@settled
+def scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """doc_id, text_key and decided (all candidates with verdicts, or null without any) of each document."""
     rows = written(scanned(docs), "secret-rows")
-    values = written(verdicts(rows, copied_owners), "secret-values")
+    values = written(verdicts(rows, copied_owners, copied_repos), "secret-values")
     by_text = written(decided(rows, values), "secret-decided")
-    some = rows.filter(F.size("found") > 0).join(by_text, "text_key", "left").select("doc_id", "text_key", "decided")
+    some = skew_join(rows.filter(F.size("found") > 0), by_text, "text_key", "left", bounded=False).select("doc_id", "text_key", "decided")
     none = rows.filter(F.size("found") == 0).select(
         "doc_id", "text_key", F.lit(None).cast(by_text.schema["decided"].dataType).alias("decided")
     )
@@ -186,18 +183,21 @@ def spell(spans: Column) -> Column:
     )
 
 
-def redacted(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """The documents with the value of each span replaced: <SECRET>, or <EXAMPLE> where many owners share it.
+def redacted(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """The documents with the value of each span replaced: <SECRET>, or <EXAMPLE> where it is widely copied.
 
-    n_chars follows the text; documents without a span are returned as they are.
+    n_chars follows the text; documents without a span are returned as they are. All columns stay, whatever their names.
     """
-    spans = scan(docs, copied_owners).filter(
+    key, marks = free_names(docs.columns, "text_key", "marks")
+    found = scan(docs, copied_owners, copied_repos).filter(
         F.exists("decided", lambda x: (x["kind"] < 3) | x["live"])
     )  # null without candidates
-    spans = spans.select("text_key", F.filter("decided", lambda x: (x["kind"] < 3) | x["live"]).alias("__spans"))
-    spans = written(spans.dropDuplicates(["text_key"]), "secret-spans")
-    own = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    both = own.join(spans.withColumnRenamed("text_key", "__key"), "__key", "left").select(*docs.columns, "__spans")
+    found = written(found, "secret-found")
+    spans = found.select("text_key", F.filter("decided", lambda x: (x["kind"] < 3) | x["live"]).alias(marks)).dropDuplicates(["text_key"])
+    spans = written(spans.withColumnRenamed("text_key", key), "secret-spans")
+    own = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    # copies of one text may be any share of the rows: they are counted on the narrow table
+    both = skew_join(own, spans, key, "left", found.select(F.col("text_key").alias(key)), bounded=False).select(*docs.columns, marks)
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,4 +251,6 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         spell(F.filter(all_, lambda x: (x["kind"] < 3) | x["live"])).alias("spans"),
         F.size(F.filter(all_, lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter(all_, lambda x: x["copied"])).cast("long").alias("n_copied"),
+        F.coalesce(F.array_max(F.transform(all_, lambda x: x["n_repos"])), F.lit(0)).cast("long").alias("most_repos"),
+        F.coalesce(F.array_max(F.transform(all_, lambda x: x["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
     )

@@ -119,19 +119,23 @@ def small(df: DataFrame) -> DataFrame:
 HEAVY_SHARE = 0.001
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, bounded: bool = True) -> DataFrame:
     """Join on a column that few values may dominate on the left; on the right its values are distinct.
 
-    Rows of heavy keys meet their fewer than 1000 partners by broadcast, where they are; all others are shuffled. ``left``
-    is read three times: pass a written table. how: inner or left; null keys match nothing.
+    Rows of heavy keys meet their fewer than 1000 partners by broadcast, where they are; all others are shuffled. If all of
+    ``right`` has BROADCAST_ROWS at most, of a bounded width, it is broadcast whole. ``left`` may be read several times;
+    ``counted`` is a narrower table with the keys that matter. how: inner or left; null keys match nothing.
     """
-    total = left.count()
-    heavy = left.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > total * HEAVY_SHARE)).select(key)
+    if bounded and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    counted = left if counted is None else counted
+    total = counted.count()
+    heavy = counted.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > total * HEAVY_SHARE)).select(key)
     found = heavy.collect()  # fewer than 1 / HEAVY_SHARE rows
     if not found:
         return left.join(right, key, how)
-    heavy = left.sparkSession.createDataFrame(found, heavy.schema)
-    few = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
-    hot = left.join(F.broadcast(heavy), key, "left_semi").join(few, key, how)
-    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(found, heavy.schema))
+    few = F.broadcast(right.join(heavy, key, "left_semi"))
+    hot = left.join(heavy, key, "left_semi").join(few, key, how)
+    rest = left.join(heavy, key, "left_anti").join(right, key, how)
     return hot.unionByName(rest)

@@ -9,12 +9,12 @@ a logistic function of their sum and maximum, fitted on the same sample, and the
 marginal is at least 0.5.
 
 The sums over a chain are exact for any length: 2x2 transfer products of blocks of tokens, a scan over the blocks, and the
-messages inside each block; all documents of a batch at once. The sample is bounded (``each`` documents of each label, of
-at most samples.FIT_CHARS characters).
+messages inside each block; all documents of a batch at once. The sample is bounded: ``each`` documents of each label; of
+those over 20 KB pieces from all over the text, chosen by hash (samples.excerpt). Scores and spans are of whole texts.
 
 Defined results: null and empty texts have no tokens and get the score of that; without usable labels of both kinds no
 type is a marker and every score is the sample's share of toxic documents (0 without any); repeated rows score alike; an
-empty table gives no rows; only doc_id and text are read for scores.
+empty table gives no rows; only doc_id and text are read for scores, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
 from cartolith.llm.quality_rules import UPPER
-from cartolith.llm.samples import distinct_stories, labelled_sample, slices
+from cartolith.llm.samples import distinct_stories, excerpts, labelled_sample, slices
 from cartolith.llm.shared import documents, fold, mapped
 
 EACH = 1500
@@ -303,7 +303,7 @@ def fit(rows: pa.Table, rounds: int = 60) -> Model:
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model:
     rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD, each)
-    return fit(rows)
+    return fit(excerpts(rows))
 
 
 def scored(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:

@@ -92,7 +92,9 @@ def test_op5_targets_and_shares(spark, folder, read):
         assert r.source_size == sizes[r.source]
         assert r.target == pytest.approx(want[r.source])
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    # targets are met to the word, but for their fractions, which together are fewer words than there are sources
+    assert all(-1 <= taken[s] - want[s] <= len(want) for s in want)
+    assert not want or sum(taken.values()) == int(sum(want.values()) + 1e-6)
     again = op(5)(spark, folder).collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 

@@ -80,9 +80,13 @@ def test_op2_edits_and_likeness(spark, folder, read):  # noqa: F811
     for r in rows:
         assert r.n_chars in {len(t) for t in texts[r.doc_id]}
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        # the likeness is a function of the two fingerprints that are returned
+        own, other = (fingerprints.read_fingerprint(x) for x in (r.fingerprint, r.edited_fingerprint))
+        assert (own.spelled(), r.near_edited) == (r.fingerprint, fingerprints.likeness(own, other))
     if len(docs) == len(texts):  # no ties: the pairs are fixed
         got = {r.doc_id: r for r in rows}
-        prints = defaultdict(set)
+        prints, nexts = defaultdict(set), {}
+        i_of = {d[0]: i for i, d in enumerate(docs)}
         for a, b in brute_pairs(docs):
             text, following = a[1] or "", b[1] or ""
             half = len(text) // 2
@@ -91,13 +95,52 @@ def test_op2_edits_and_likeness(spark, folder, read):  # noqa: F811
             assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
             assert (text != changed) or (r.fingerprint == r.edited_fingerprint and r.near_edited == 1)
             assert (text != following) or r.near_next == 1
+            same = next((k for k, (x, y) in enumerate(zip(text, following)) if x != y), min(len(text), len(following)))
+            assert r.prefix_next == same
+            same = next((k for k, (x, y) in enumerate(zip(text[::-1], following[::-1])) if x != y), min(len(text), len(following)))
+            assert r.suffix_next == same
+            nexts[i_of[a[0]]] = (r.near_next, r.fingerprint, got[b[0]].fingerprint)
             prints[text].add(r.fingerprint)
             prints[changed].add(r.edited_fingerprint)
         assert all(len(x) == 1 for x in prints.values())
         assert len({next(iter(x)) for x in prints.values()}) == len(prints)
+        read_ = fingerprints.read_fingerprint
+        assert all(near == fingerprints.likeness(read_(x), read_(y)) for near, x, y in nexts.values())
         assert not rows or np.mean([r.near_edited for r in rows]) > np.mean([r.near_next for r in rows]) + 0.2
 
 
+def test_op2_heavy_ids(spark, tmp_path):
+    # a null id and one id hold a third of all rows each, and one text a third of one of these
+    rows = [(i, prose(i, 8), "en", "a") for i in range(100)] + [(None, prose(500 + i, 8), "en", "a") for i in range(100)]
+    rows += [(50, prose(900, 8) if i % 3 else prose(1000 + i, 8), "en", "a") for i in range(100)]
+    folder_ = save(tmp_path / "d", rows)
+    out = fingerprints.fingerprinted(spark.read.parquet(f"{folder_}/documents.parquet"), heavy_rows=10).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    print_of = {t: fingerprints.Prefixes(t).fingerprint() for _, t, *_ in rows}
+    assert Counter((r.doc_id, r.fingerprint) for r in out) == Counter((i, print_of[t].spelled()) for i, t, *_ in rows)
+    # the next documents go round: in all, each text follows once
+    halves = Counter(hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest() for a, b in brute_texts(rows))
+    ordinary = {r.edited_sha256 for r in out if r.doc_id is not None and r.doc_id not in (50, 51, 0)}
+    assert ordinary <= set(halves)
+
+
+def brute_texts(rows):
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
+    return [(a[1], b[1]) for a, b in zip(order, order[1:])]
+
+
+def test_likeness_of_fingerprints_estimates_that_of_texts():
+    text, other = prose(1, 400), prose(2, 400)
+    print_ = lambda x: fingerprints.Prefixes(x).fingerprint()
+    near = lambda x, y: fingerprints.likeness(print_(x), print_(y))
+    assert near(text, text) == near("", "") == 1 and near(text, "") == 0
+    assert near(text, other) < 0.2
+    for share in (0.25, 0.5, 0.75):
+        at = int(len(text) * share)
+        assert near(text, text[:at] + other[: len(text) - at]) == pytest.approx(share, abs=0.17)
+        assert near(text, other[: len(text) - at] + text[-at:]) == pytest.approx(share, abs=0.17)
+
+
 def test_prefix_arrays_answer_spans():
     rng = random.Random(5)
     a, b = ("".join(rng.choice("aé😀 ") for _ in range(n)) for n in (300, 170))
@@ -195,18 +238,38 @@ def test_interactions_equal_the_pairwise_sum():
         assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
-def test_bloom_filters_have_no_false_negatives():
-    from cartolith.llm.language import Filters
+@pytest.mark.parametrize("many", [2, 5, 11, 67])
+def test_bloom_filters_count_and_correct(many, monkeypatch):
+    from cartolith.llm.language import Filters, grams
 
-    rng = np.random.default_rng(1)
-    kinds = rng.integers(0, 1 << 40, 30000).astype(K.U)
-    filters = Filters(["a", "b"], slots=1 << 16)
-    filters.add(0, kinds[:3000])
-    filters.add(1, kinds[2000:6000])
+    monkeypatch.setattr(Filters, "slots", 1 << 14)
+    rng = random.Random(many)
+    own = [[prose(1000 * k + i, 30) for i in range(3)] for k in range(many)]
+    filters = Filters([f"l{k}" for k in range(many)])
+    held = []
+    for k, texts in enumerate(own):
+        packed, _ = grams(K.texts(pa.array(texts)))
+        held.append(set(packed.tolist()))
+        filters.add(k, packed)
     filters.close()
-    held = filters.holders(kinds)
-    assert (held[:3000] & 1).all() and (held[2000:6000] & 2).all()
-    assert np.mean((held[6000:] & 2) > 0) == pytest.approx(filters.false[1], rel=0.3)
+    texts = [rng.choice(rng.choice(own)) + " " + prose(7, 20) for _ in range(12)] + ["", None, "no", "hola"]
+    t = K.texts(pa.array(texts))
+    packed, doc = grams(t)
+    assert set(doc.tolist()) == set(range(12)) | {14, 15}
+    raw, n = filters.raw_counts(t)
+    corrected = filters.counts(t)
+    masks = [filters.holders(packed, p) for p in range(len(filters.bits))]
+    for i in range(len(texts)):
+        mine = packed[doc == i].tolist()
+        assert n[i] == len(mine)
+        for k in range(many):
+            true = sum(g in held[k] for g in mine)
+            bits = sum(int(m) >> k % 64 & 1 for m in masks[k // 64][doc == i])
+            assert raw[i, k] == bits >= true
+            f = filters.false[k]
+            assert corrected[i, k] == pytest.approx(max(0, (bits - len(mine) * f) / (1 - f)))
+            # what all filters hold isn't corrected away, and false positives are, on average
+            assert abs(corrected[i, k] - true) <= 6 * (len(mine) * f) ** 0.5 / (1 - f) + 3
 
 
 def weighted_shingles(text):
