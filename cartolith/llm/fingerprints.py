@@ -51,11 +51,23 @@ _up = [np.ones(1, U) for _ in BASES]
 _down = [np.ones(1, U) for _ in BASES]
 
 
+def lowered(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1 in place, for x below twice that."""
+    return np.subtract(x, U(P), out=x, where=x >= U(P))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for a product of two numbers below that."""
+    y = x & U(P)
+    y += x >> U(31)
+    return lowered(y)
+
+
 def modulo(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1, for x below 2^63."""
-    x = (x & U(P)) + (x >> U(31))
-    x = (x & U(P)) + (x >> U(31))
-    return np.where(x >= U(P), x - U(P), x)
+    """x modulo 2^31 - 1, for x below 2^62."""
+    y = x & U(P)
+    y += x >> U(31)
+    return reduced(y)
 
 
 def powers(n: int) -> None:
@@ -64,7 +76,7 @@ def powers(n: int) -> None:
         for table, bases in ((_up, BASES), (_down, [pow(b, -1, P) for b in BASES])):
             for k, b in enumerate(bases):
                 factor = U(pow(b, len(table[k]), P))
-                table[k] = np.concatenate([table[k], modulo(table[k] * factor)])
+                table[k] = np.concatenate([table[k], reduced(table[k] * factor)])
 
 
 class Prefixes:
@@ -78,7 +90,7 @@ class Prefixes:
         self.sums = []
         for k in range(len(BASES)):
             s = np.zeros(n + 1, U)
-            np.cumsum(modulo(value * _up[k][:n]), out=s[1:])
+            np.cumsum(reduced(value * _up[k][:n]), out=s[1:])
             self.sums.append(modulo(s))
 
     def span(self, start: int, end: int) -> tuple[int, ...]:
@@ -92,7 +104,7 @@ class Prefixes:
         at = LENGTHS[: np.searchsorted(LENGTHS, self.n, "right")]
         prefix = [s[at] for s in self.sums]
         rest = self.n - at
-        suffix = [modulo(modulo(s[self.n] + U(P) - s[rest]) * _down[k][rest]) for k, s in enumerate(self.sums)]
+        suffix = [reduced(lowered(s[self.n] + U(P) - s[rest]) * _down[k][rest]) for k, s in enumerate(self.sums)]
         return tuple((mix(x[0] | x[1] << U(31)) >> U(32)).astype(np.uint32) for x in (prefix, suffix))
 
     def fingerprint(self) -> Fingerprint:
@@ -101,7 +113,7 @@ class Prefixes:
             return Fingerprint(0, whole, *(np.zeros(0, np.uint32) for _ in range(3)))
         width = min(SPAN, self.n)
         many = self.n - width + 1
-        hashes = [modulo(modulo(s[width:] + U(P) - s[:many]) * _down[k][:many]) for k, s in enumerate(self.sums)]
+        hashes = [reduced(lowered(s[width:] + U(P) - s[:many]) * _down[k][:many]) for k, s in enumerate(self.sums)]
         mixed = mix(hashes[0] | hashes[1] << U(31)) >> U(32)
         # the least ones by a cut that leaves a few times as many, then exactly
         near = mixed[mixed < U(min(1 << 32, (4 * SKETCH << 32) // many))] if many > 8 * SKETCH else mixed

@@ -17,6 +17,8 @@ import pyarrow as pa
 
 U = np.uint64
 BLOCK = 1 << 18
+#: Rows of a record batch whose texts are laid out at a time.
+SLICE = 256
 _BASE = U(0x9E3779B97F4A7C15)
 _powers = np.ones(1, U)
 _inverse = np.ones(1, U)
@@ -119,15 +121,16 @@ def texts(column: pa.Array) -> Texts:
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of a record batch with about ``limit`` bytes of text each, a document at least."""
-    if not batch.num_rows:
-        return
-    whole = texts(batch.column(batch.schema.get_field_index(column)))
-    at = 0
-    while at < whole.n:
-        to = max(at + 1, int(np.searchsorted(whole.offsets, whole.offsets[at] + limit, "right")) - 1)
-        offsets = whole.offsets[at : to + 1]
-        yield batch.slice(at, to - at), Texts(whole.data[offsets[0] : offsets[-1]], offsets - offsets[0])
-        at = to
+    number = batch.schema.get_field_index(column)
+    for begin in range(0, batch.num_rows, SLICE):
+        some = batch.slice(begin, SLICE)
+        whole = texts(some.column(number))
+        at = 0
+        while at < whole.n:
+            to = max(at + 1, int(np.searchsorted(whole.offsets, whole.offsets[at] + limit, "right")) - 1)
+            offsets = whole.offsets[at : to + 1]
+            yield some.slice(at, to - at), Texts(whole.data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            at = to
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -72,7 +72,7 @@ def mix(rows: DataFrame, cut: str = "word", epochs: int = EPOCHS, **how) -> Data
     budget = wanted.agg(F.sum("target")).first()[0] or 0.0
     placed = running_totals(rows, ["shuffle", "doc_id"], "size", ["source"])
     to = F.col("source").eqNullSafe(F.col("to_source"))
-    both = written(placed.join(small(wanted.withColumnsRenamed({"source": "to_source"})), to).drop("to_source"), "mixing-placed")
+    both = placed.join(small(wanted.withColumnRenamed("source", "to_source")), to).drop("to_source")
     whole = served(queued(both, cut, epochs), budget, cut).withColumnRenamed("source", "to_source")
     both = both.join(small(whole), to, "left").drop("to_source")
     words, taken = F.coalesce("served", F.lit(0)), F.lit(0).cast("long")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
-from cartolith.llm.shared import documents, free_names, mapped, settled, skew_join, written
+from cartolith.llm.shared import documents, free_names, is_small, mapped, settled, skew_join, written
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
@@ -204,25 +204,49 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label (least node of its component) for the nodes of the links (a, b).
 
-    Each round takes the least label among a node and its neighbours, then the label of that label. Nodes of many links and
-    labels of many nodes are joined as heavy keys (shared.skew_join).
+    Each round hooks every node to its least neighbour, follows the hooks to their ends, and goes on with the links between
+    different ends only. Nodes of many links and ends of many nodes are joined as heavy keys (shared.skew_join).
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")), "links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    labels = written(labels.select("node", F.least("node", "m").alias("label")), "labels")
+    edges = written(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = skew_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-        near = near.agg(F.min("label").alias("m"))
-        stepped = labels.join(near, "node").select("node", F.least("label", "m").alias("step"), "label")
-        stepped = written(stepped, "labels-step")
-        of = stepped.select(F.col("node").alias("step"), F.col("step").alias("up"))
-        jumped = skew_join(stepped, of, "step").select("node", F.col("up").alias("label"), F.col("label").alias("was"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.filter("label <> was").isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("m")).union(edges.select("b", "a"))
+        hooked = both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("label"))
+        ends = followed(written(hooked, "hooked"))
+        labels = ends if labels is None else relabelled(labels, ends)
+        edges = between(edges, ends)
+        if edges.isEmpty():
             return labels
 
 
+def followed(hooks: DataFrame) -> DataFrame:
+    """node, label at the end of its hooks. Every label is a node; the hooks have no cycles."""
+    while True:
+        up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        hooks = written(skew_join(hooks, up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "followed")
+        if hooks.filter("moved").isEmpty():
+            return hooks.select("node", "label")
+        hooks = hooks.select("node", "label")
+
+
+def relabelled(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, label after the labels in ``ends`` (node, label) got new ones; other nodes of ``ends`` are added."""
+    new = ends.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    moved = skew_join(labels, new, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return written(moved.union(ends.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
+
+def between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The different links (a, b) between labels that the links join; a node without a label is its own."""
+    few = is_small(labels)
+    for side, other in (("a", "b"), ("b", "a")):
+        new = labels.select(F.col("node").alias(side), F.col("label").alias("end"))
+        joined = links.join(F.broadcast(new), side, "left") if few else skew_join(links, new, side, "left", bounded=False)
+        joined = joined.select(F.coalesce("end", side).alias(side), other)
+        links = joined if few else written(joined, "between")
+    return written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+
 def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """band, node, label, least, least_label of the buckets that hold several components."""
     named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
@@ -245,13 +269,13 @@ def several(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(written(groups, name + "-groups"), "band")
 
 
-def with_more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after more links were found."""
+def with_more(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after more links were found."""
     found = written(found, "near-links")
     if found.isEmpty():
-        return links, labels
-    links = links.union(found)
-    return links, components(links)
+        return labels
+    edges = between(found, labels)
+    return labels if edges.isEmpty() else relabelled(labels, components(edges))
 
 
 def overlap(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -411,22 +435,21 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
 
     # one pair a node: with the least node it meets anywhere
     first = members.filter("node <> least").groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a"))
-    links = written(linked(first, sets, threshold), "near-links")
-    labels = components(links)
+    labels = components(linked(first, sets, threshold))
     # the least nodes of its buckets that are in other components
     rest = apart(members, labels)
     stars = rest.filter("label <> least_label").groupBy(F.col("node").alias("b"), "least_label").agg(F.min("least").alias("a"))
-    links, labels = with_more(links, labels, linked(stars, sets, threshold))
+    labels = with_more(labels, linked(stars, sets, threshold))
     # the other nodes of its buckets; the least one has met them all, or is in their component
     groups = several(apart(members, labels).filter("node <> least").select("band", "node", "label"), "near-open")
     groups = written(groups, "near-groups")
-    links, labels = with_more(links, labels, compared(groups.filter(F.col("n") <= block), sets, threshold, block))
+    labels = with_more(labels, compared(groups.filter(F.col("n") <= block), sets, threshold, block))
     crowded = groups.filter(F.col("n") > block).select("band", "node")
     if not crowded.isEmpty():
         named = crowded.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         crowded = several(named, "near-crowded-open")
         deep = written(several(deep_bands(crowded, sets), "near-deep"), "near-deep-groups")
-        links, labels = with_more(links, labels, compared(deep, sets, threshold, block))
+        labels = with_more(labels, compared(deep, sets, threshold, block))
     return skew_join(rows.select("doc_id", "node"), labels, "node", "left").select(
         "doc_id", "node", F.coalesce("label", "node").alias("label")
     )

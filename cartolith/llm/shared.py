@@ -110,9 +110,14 @@ def running_totals(df: DataFrame, order: list[str], value: str, group: list[str]
 BROADCAST_ROWS = 100_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the table, of a bounded width, has few enough rows to broadcast it."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """Ask for a broadcast if the table has few rows; else leave the join to the optimizer and its skew handling."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 #: A key is heavy if it has more than this share of the rows, so that fewer than 1 / HEAVY_SHARE keys are.
@@ -126,7 +131,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", c
     ``right`` has BROADCAST_ROWS at most, of a bounded width, it is broadcast whole. ``left`` may be read several times;
     ``counted`` is a narrower table with the keys that matter. how: inner or left; null keys match nothing.
     """
-    if bounded and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if bounded and is_small(right):
         return left.join(F.broadcast(right), key, how)
     counted = left if counted is None else counted
     total = counted.count()
