@@ -53,7 +53,7 @@ _down = [np.ones(1, U) for _ in BASES]
 
 def lowered(x: np.ndarray) -> np.ndarray:
     """x modulo 2^31 - 1 in place, for x below twice that."""
-    return np.subtract(x, U(P), out=x, where=x >= U(P))
+    return np.minimum(x, x - U(P), out=x)  # the difference wraps round if x is smaller
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
