@@ -63,9 +63,17 @@ _QP = _q(1.0)
 _RQ = _MAJOR * math.sqrt(_QP / 2)
 
 
+AUTHALIC_R = _RQ
+
+
+def authalic_sine(lat: Column) -> Column:
+    """Sine of the latitude on the sphere whose areas are those of the ellipsoid."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _q(F.sin(F.radians(lat))) / _QP))
+
+
 def equal_earth(lat: Column, lon: Column) -> tuple[Column, Column]:
     """x and y in metres of the Equal Earth projection."""
-    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _q(F.sin(F.radians(lat))) / _QP)))
+    beta = F.asin(authalic_sine(lat))
     t = F.asin(math.sqrt(3) / 2 * F.sin(beta))
     t2 = t * t
     t6 = t2 * t2 * t2

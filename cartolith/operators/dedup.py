@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions.geo import DEDUP_R, radius_join
 from cartolith.ontology import FALLBACK_RADIUS_M, registry
-from cartolith.session import written
+from cartolith.session import settled, written
 
 
 def with_radius(assets: DataFrame, fallback: float = FALLBACK_RADIUS_M) -> DataFrame:
@@ -24,54 +26,56 @@ def neighbours(assets: DataFrame) -> DataFrame:
     return pairs.select(F.col("asset_id").alias("lo"), F.col("r_asset_id").alias("hi"), "distance_m")
 
 
-def independent_set(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """asset_id, kept: the set that a walk in order keeps if each kept row suppresses its later neighbours.
+def in_fine_cells(assets: DataFrame) -> DataFrame:
+    """Adds fine_y and fine_x: cells so small that all rows of a class in one are within its radius of each other."""
+    step = F.degrees(F.col("radius_m") / DEDUP_R) * 0.7
+    y = F.floor(F.col("lat") / step)
+    # the band's edge next to the equator, where a degree of longitude is longest
+    edge = F.least(F.abs(y * step), F.abs((y + 1) * step))
+    edge = F.when(y == -1, F.lit(0.0)).otherwise(edge)
+    x = F.floor(F.col("lon") * F.cos(F.radians(edge)) / step)
+    return assets.withColumn("fine_y", y.cast("long")).withColumn("fine_x", x.cast("long"))
+
 
-    Rounds: a row without an undecided or kept earlier neighbour is kept; its later neighbours are removed. Only rows that
-    have an earlier neighbour take part, and each round's table is written. Rounds are as many as the longest chain of
-    dependent decisions.
+def survivors(assets: DataFrame) -> DataFrame:
+    """The rows that a walk in order (pos, asset_id) keeps if each kept row suppresses its later neighbours.
+
+    Rounds: the first open row of each fine cell is kept if no earlier open row is within its radius; kept rows close
+    their neighbours. A cell that keeps a row is done with, so a crowd of any density takes a few rounds and no pairs but
+    those of cells' first rows are formed. Each round's tables are written. Rounds are as many as the longest chain of
+    cells that wait for each other: a few for orders that don't follow a line on the ground.
+    assets: written table with radius_m.
     """
-    edges = written(edges.select("lo", "hi"), "dedup-edges")
-    touched = edges.select(F.col("hi").alias("asset_id")).distinct()
-    # rows without an earlier neighbour are kept at once
-    kept = edges.select(F.col("lo").alias("asset_id")).distinct().join(touched, "asset_id", "left_anti")
-    open_ = edges
-    removed = None
+    columns = ["asset_type", "radius_m", "lat", "lon", "asset_id", "pos"]
+    open_ = written(in_fine_cells(assets.select(*columns)), "dedup-open")
+    kept = []
     while True:
-        kept = written(kept, "dedup-kept")
-        gone = written(open_.join(kept.withColumnRenamed("asset_id", "lo"), "lo", "left_semi").select(F.col("hi").alias("asset_id")).distinct(), "dedup-gone")
-        removed = gone if removed is None else removed.union(gone)
-        # edges between rows that are still open
-        open_ = open_.join(gone.withColumnRenamed("asset_id", "hi"), "hi", "left_anti")
-        open_ = open_.join(kept.withColumnRenamed("asset_id", "hi"), "hi", "left_anti")
-        freed = open_.join(gone.withColumnRenamed("asset_id", "lo"), "lo", "left_semi").select("hi")
-        open_ = written(open_.join(gone.withColumnRenamed("asset_id", "lo"), "lo", "left_anti"), "dedup-open")
-        # freed rows without any edge left from an open row are kept; they and open starts carry on
-        waiting = open_.select("hi").distinct()
-        free = freed.distinct().join(waiting, "hi", "left_anti").select(F.col("hi").alias("asset_id"))
-        starts = open_.select(F.col("lo").alias("asset_id")).join(waiting.withColumnRenamed("hi", "asset_id"), "asset_id", "left_anti")
-        kept = free.union(starts).distinct()
+        first = open_.groupBy("asset_type", "fine_y", "fine_x").agg(F.min(F.struct("pos", "asset_id", "lat", "lon", "radius_m")).alias("h"))
+        heads = written(first.select("asset_type", *(f"h.{c}" for c in columns[1:])), "dedup-heads")
+        near = radius_join(heads, open_.select(*columns), F.col("radius_m"), ("asset_type",), DEDUP_R)
+        waits = near.filter(F.struct("r_pos", "r_asset_id") < F.struct("pos", "asset_id")).select("asset_id").distinct()
+        free = written(heads.join(waits, "asset_id", "left_anti"), "dedup-kept")
+        kept.append(free)
+        closed = radius_join(free, open_.select(*columns), F.col("radius_m"), ("asset_type",), DEDUP_R).select(F.col("r_asset_id").alias("asset_id"))
+        open_ = written(open_.join(closed.distinct(), "asset_id", "left_anti"), "dedup-open")
         if open_.isEmpty():
-            break
-    removed = removed.distinct().withColumn("__gone", F.lit(True))
-    return assets.select("asset_id").join(removed, "asset_id", "left").select("asset_id", F.col("__gone").isNull().alias("kept"))
+            return reduce(DataFrame.union, kept)
 
 
+@settled
 def deduplicate(assets: DataFrame) -> DataFrame:
     """The assets with kept and deduplicated_by, the nearest kept neighbour of a removed row (ties to the lesser id)."""
     rows = written(with_radius(assets), "dedup-assets")
-    edges = written(neighbours(rows), "dedup-pairs")
-    verdict = written(independent_set(rows, edges), "dedup-verdict")
-    kept = verdict.filter("kept").select(F.col("asset_id").alias("by"))
-    both = edges.select(F.col("hi").alias("asset_id"), F.col("lo").alias("by"), "distance_m").union(
-        edges.select("lo", "hi", "distance_m")
-    )
-    near = both.join(kept, "by", "left_semi").join(verdict.filter("not kept").select("asset_id"), "asset_id", "left_semi")
-    near = near.groupBy("asset_id").agg(
-        F.min(F.struct("distance_m", "by")).alias("near")
+    if rows.isEmpty():
+        return rows.select("*", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("deduplicated_by"), F.lit(None).cast("double").alias("by_distance_m"))
+    stays = survivors(rows)
+    near = radius_join(stays, rows.select("asset_type", "radius_m", "lat", "lon", "asset_id"), F.col("radius_m"), ("asset_type",), DEDUP_R)
+    near = near.groupBy(F.col("r_asset_id").alias("asset_id")).agg(
+        F.min(F.struct("distance_m", F.col("asset_id").alias("by"))).alias("near"), F.bool_or(F.col("asset_id") == F.col("r_asset_id")).alias("kept")
     )
-    out = rows.join(verdict, "asset_id").join(near, "asset_id", "left")
-    return out.select(*assets.columns, "radius_m", "kept", F.col("near.by").alias("deduplicated_by"), F.col("near.distance_m").alias("by_distance_m"))
+    by = lambda c: F.when(~F.col("kept"), F.col(f"near.{c}"))
+    out = rows.join(near, "asset_id")
+    return out.select(*assets.columns, "radius_m", "kept", by("by").alias("deduplicated_by"), by("distance_m").alias("by_distance_m"))
 
 
 def summary(deduplicated: DataFrame) -> DataFrame:

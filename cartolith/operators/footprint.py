@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.functions.geo import AUTHALIC_R, authalic_sine
+
 TILE_M, PIXEL_M, LEAST_TILE_M = 600.0, 10.0, 160.0
 
 
@@ -138,14 +140,31 @@ def proposed_tiles(found: DataFrame) -> DataFrame:
     return e.select("asset_type", "n", F.when(F.col("n") >= 10, F.bround("p75", 0)).alias("extent_p75_m"), F.when(F.col("n") >= 10, side).alias("proposed_tile_m"))
 
 
-def ring_area_m2(df: DataFrame, rings: str = "ring") -> DataFrame:
-    """Adds area_m2 (on the authalic sphere) and the planar centroid of a closed ring of lat, lon structs, by array functions."""
-    radius = 6_371_007.180918474
-    pairs = F.zip_with(F.slice(rings, 1, F.greatest(F.lit(0), F.size(rings) - 1)), F.slice(rings, 2, F.greatest(F.lit(0), F.size(rings) - 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    wedge = F.transform(pairs, lambda p: F.radians(p["b"]["lon"] - p["a"]["lon"]) * (2 + F.sin(F.radians(p["a"]["lat"])) + F.sin(F.radians(p["b"]["lat"]))))
+def area_features(df: DataFrame, rings: str = "rings") -> DataFrame:
+    """Adds area_m2 on the ellipsoid (WGS84) and the planar centroid lat, lon of polygons of outer and inner rings.
+
+    A ring is closed, an array of lat, lon structs with a role. Its area is summed over its edges on the authalic sphere,
+    whose areas are those of the ellipsoid; inner rings are taken off. Array functions only.
+    """
+    sine = lambda p: authalic_sine(p["lat"])
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    cross = lambda p: p["a"]["lon"] * p["b"]["lat"] - p["b"]["lon"] * p["a"]["lat"]
-    twice = add(F.transform(pairs, cross))
-    cx = add(F.transform(pairs, lambda p: (p["a"]["lon"] + p["b"]["lon"]) * cross(p)))
-    cy = add(F.transform(pairs, lambda p: (p["a"]["lat"] + p["b"]["lat"]) * cross(p)))
-    return df.withColumn("area_m2", F.abs(add(wedge)) * radius * radius / 2).withColumn("lon", F.try_divide(cx, 3 * twice)).withColumn("lat", F.try_divide(cy, 3 * twice))
+
+    def edges(r: Column) -> Column:
+        n = F.greatest(F.lit(0), F.size(r["pts"]) - 1)
+        return F.zip_with(F.slice(r["pts"], 1, n), F.slice(r["pts"], 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def measured(r: Column) -> Column:
+        e = edges(r)
+        first = lambda c: F.get(r["pts"], F.lit(0))[c]
+        cross = lambda p: (p["a"]["lon"] - first("lon")) * (p["b"]["lat"] - first("lat")) - (p["b"]["lon"] - first("lon")) * (p["a"]["lat"] - first("lat"))
+        mean = lambda c: add(F.transform(e, lambda p: (p["a"][c] + p["b"][c] - 2 * first(c)) * cross(p)))
+        wedge = add(F.transform(e, lambda p: F.radians(p["b"]["lon"] - p["a"]["lon"]) * (2 + sine(p["a"]) + sine(p["b"]))))
+        twice = add(F.transform(e, cross))
+        sign = F.when(r["role"] == "inner", -1.0).otherwise(1.0)
+        centre = lambda c: first(c) + F.coalesce(F.try_divide(mean(c), 3 * twice), F.lit(0.0))
+        return F.struct((sign * F.abs(wedge) * AUTHALIC_R**2 / 2).alias("area"), (sign * F.abs(twice)).alias("flat"), centre("lat").alias("lat"), centre("lon").alias("lon"))
+
+    out = df.withColumn("measured__", F.transform(rings, measured))
+    flat = add(F.transform("measured__", lambda m: m["flat"]))
+    at = lambda c: F.try_divide(add(F.transform("measured__", lambda m: m["flat"] * m[c])), flat)
+    return out.withColumns({"area_m2": add(F.transform("measured__", lambda m: m["area"])), "lat": at("lat"), "lon": at("lon")}).drop("measured__")

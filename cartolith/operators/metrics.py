@@ -94,6 +94,32 @@ def curves(epochs: DataFrame, run: tuple[str, ...]) -> DataFrame:
     return epochs.join(ends, list(run)).filter("epoch <= end").groupBy(*run, "epoch").agg(F.avg("val_f1").alias("mean"), F.stddev_pop("val_f1").alias("std"))
 
 
+def curve_tail(epochs: DataFrame, run: tuple[str, ...], last: int = 5) -> DataFrame:
+    """Mean and population deviation over the last epochs of a run's curve, all seeds together, up to the end of the shortest."""
+    ends = epochs.groupBy(*run, "seed").agg(F.max("epoch").alias("end")).groupBy(*run).agg(F.min("end").alias("end"))
+    tail = epochs.join(ends, list(run)).filter((F.col("epoch") <= F.col("end")) & (F.col("epoch") > F.col("end") - last))
+    return tail.groupBy(*run).agg(F.avg("val_f1").alias("tail_mean"), F.stddev_pop("val_f1").alias("tail_std"), F.count(F.lit(1)).alias("points"))
+
+
+def adaptation_pairs(conditions: DataFrame, baseline: str, metric: str = "f1") -> DataFrame:
+    """A row for each model: probe and fine-tuned score, what tuning adds, and its lead over the fine-tuned baseline model.
+
+    Best fine-tuned score first; a model without one comes last. conditions: model, protocol (LP, FT), the metric.
+    """
+    one = lambda p: F.max(F.when(F.col("protocol") == p, F.col(metric)))
+    pairs = conditions.groupBy("model").agg(one("LP").alias("lp"), one("FT").alias("ft"))
+    base = pairs.agg(F.max(F.when(F.col("model") == baseline, F.col("ft"))).alias("base"), F.lit(0).alias("key"))
+    out = pairs.withColumn("key", F.lit(0)).join(F.broadcast(base), "key")  # a row
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("ft"), "model"))  # a row for each model
+    return out.select("model", "lp", "ft", (F.col("ft") - F.col("lp")).alias("gain"), (F.col("ft") - F.col("base")).alias("lead"), place.alias("place"))
+
+
+def extremes(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:
+    """The k rows with the highest value and the k with the lowest, as side top or bottom."""
+    side = lambda name, order: df.orderBy(order, *ties).limit(k).withColumn("side", F.lit(name))
+    return side("top", F.col(value).desc()).union(side("bottom", F.col(value).asc()))
+
+
 def wall_clock(epochs: DataFrame, run: tuple[str, ...]) -> DataFrame:
     """Seconds by run: mean of the seeds and total; whether seeds have unequal epochs; the mean as h/m/s."""
     seeds = epochs.groupBy(*run, "seed").agg(F.sum("time_s").alias("s"), F.count(F.lit(1)).alias("e"))

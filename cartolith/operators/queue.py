@@ -60,6 +60,17 @@ def imported(annotations: DataFrame, queue: DataFrame, reviewer: str) -> DataFra
     return both.select("asset_id", F.lit(reviewer).alias("reviewer"), decision.alias("decision"), label.alias("label"), F.trim("note").alias("note")).filter("decision is not null")
 
 
+def exported(queue: DataFrame, entries: DataFrame) -> DataFrame:
+    """Annotations of a queue's tiles by one reviewer's latest decisions, the inverse of ``imported``: asset_id, verdict, cls, note.
+
+    Tiles that aren't decided have an empty verdict, as in a new project. entries: asset_id, decision, label, note.
+    """
+    both = queue.select("asset_id").join(entries.select("asset_id", "decision", "label", "note"), "asset_id", "left")
+    verdict = F.when(F.col("decision") == "accept", "true").when(F.col("decision").isin("relabel", "unsure"), "false").otherwise("")
+    cls = F.when(F.col("decision") == "relabel", F.col("label")).otherwise("")
+    return both.select("asset_id", verdict.alias("verdict"), cls.alias("cls"), F.coalesce("note", F.lit("")).alias("note"))
+
+
 def audit_agreement(audit: DataFrame, queue: DataFrame, entries: DataFrame, automatic: str = "source") -> DataFrame:
     """Audit tiles by source: reviewed, agreeing, share. audit: asset_id, source."""
     human = entries.filter(F.col("reviewer") != automatic).select("asset_id", "decision", "label")

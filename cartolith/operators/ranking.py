@@ -23,6 +23,28 @@ def dense_order(df: DataFrame, order: list, name: str = "order") -> DataFrame:
     return out.select(*df.columns, (F.col("__before") + F.col("__i") - 1).cast("long").alias(name))
 
 
+def numbered(df: DataFrame, group: list[str], order: list, rank: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds each row's number from 1 in its group, and on request the group's size, without a task that sees a whole group.
+
+    Rows are range-partitioned by group and order and written, so that a group of any share of the rows is spread over
+    many partitions; a row for each group and partition gives the offsets. ``order`` should tell all rows of a group apart.
+    """
+    part, inside, before, total = ("part__", "inside__", "before__", "total__")
+    own = [*(f"group{i}__" for i in range(len(group))), part]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *(F.col(c) for c in group), *order).withColumn(part, F.spark_partition_id())
+    ranged = written(ranged.withColumns({o: F.col(c) for o, c in zip(own, group)}), "numbered")
+    counts = ranged.groupBy(*own).agg(F.count(F.lit(1)).alias("n__"))
+    mine = Window.partitionBy(*own[:-1])
+    earlier = F.sum("n__").over(mine.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*(F.col(o).alias(f"{o}o") for o in own), F.coalesce(earlier, F.lit(0)).alias(before), F.sum("n__").over(mine).alias(total))
+    placed = ranged.withColumn(inside, F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    same = [F.col(o).eqNullSafe(F.col(f"{o}o")) for o in own[:-1]] + [F.col(part) == F.col(f"{part}o")]
+    out = placed.join(offsets, same)
+    extra = [F.col(total).cast("long").alias(size)] if size else []
+    return out.select(*df.columns, (F.col(before) + F.col(inside)).cast("long").alias(rank), *extra)
+
+
 def equal_chunks(df: DataFrame, order: list, chunks: int) -> DataFrame:
     """Adds chunk, 0 to chunks - 1: consecutive rows, sizes at most one apart, the larger ones first."""
     numbered = written(dense_order(df, order, "__at"), "chunks")
@@ -35,20 +57,19 @@ def equal_chunks(df: DataFrame, order: list, chunks: int) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", first).filter("__n = 1").drop("__n")
+    """The first row of each key: of a key with many rows each task passes one on."""
+    return top_of_each(df, keys, order, 1)
 
 
 def top_of_each(df: DataFrame, keys: list[str], order: list, n: int | Column) -> DataFrame:
-    """Up to n rows of each key."""
+    """Up to n rows of each key. A literal n is applied in each task before rows are moved (a limit of the window's groups)."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
 def batches(df: DataFrame, keys: list[str], order: list, size: int) -> DataFrame:
     """Adds batch, from 0, of ``size`` rows of each key."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("batch", F.floor((number - 1) / size).cast("long"))
+    out = numbered(df, keys, [F.col(c) if isinstance(c, str) else c for c in order], "number__")
+    return out.withColumn("batch", F.floor((F.col("number__") - 1) / size).cast("long")).drop("number__")
 
 
 def draw_key(seed: int, *columns: str) -> Column:

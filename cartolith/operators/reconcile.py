@@ -24,6 +24,24 @@ def failed(attempted: DataFrame, kept: DataFrame, cell: list[str]) -> DataFrame:
     return a.join(b, [*cell, "asset_id"], "left_anti")
 
 
+def marked_complete(results: DataFrame, cell: list[str], status: str = "status") -> DataFrame:
+    """A completion marker for each cell all of whose rows ended in some way: cell, n, n_ok."""
+    done = F.count(F.when(F.col(status).isNotNull(), 1))
+    n = F.count(F.lit(1))
+    out = results.groupBy(*cell).agg(n.alias("n"), done.alias("done"), F.count(F.when(F.col(status) == "ok", 1)).alias("n_ok"))
+    return out.filter("n = done").drop("done")
+
+
+def skip_done(cells: DataFrame, markers: DataFrame, cell: list[str]) -> DataFrame:
+    """The cells without a completion marker."""
+    return cells.join(markers.select(*cell).distinct(), cell, "left_anti")
+
+
+def with_fallback(first: DataFrame, second: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows of the first input, and of the second one those of cells that the first lacks."""
+    return first.unionByName(second.join(first.select(*cell).distinct(), cell, "left_anti"))
+
+
 def pending(assets: DataFrame, completed: DataFrame, key: str = "asset_id") -> DataFrame:
     return assets.join(completed.select(key), key, "left_anti")
 
@@ -54,7 +72,13 @@ def reconciled(table: DataFrame, tiles: DataFrame, key: str = "asset_id") -> Dat
 
 
 def run_log(entries: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each region: the latest value given for each field. entries: region, seq and fields, nulls where not given."""
+    """One row for each region: the latest value given for each field; fields that the entries lack are refused.
+
+    entries: region, seq and fields, nulls where not given; any other column is unknown and raises.
+    """
+    unknown = set(entries.columns) ^ {"region", "seq", *fields}
+    if unknown:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
     region = F.lower(F.trim("region")).alias("region")
     latest = [F.max_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields]
     return entries.groupBy(region).agg(*latest)

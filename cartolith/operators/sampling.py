@@ -1,4 +1,8 @@
-"""Stratified samples and splits. Draws order rows by a digest of seed and id, so they don't depend on partitions."""
+"""Stratified samples and splits.
+
+Draws order rows by a digest of seed and id, so they don't depend on partitions. Rows of a class are numbered over many
+range partitions (ranking.numbered): classes are few, and no task sees all rows of one.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.operators.ranking import draw_key
+from cartolith.operators.ranking import draw_key, numbered
 
 SPLITS = ("train", "val", "test")
 FRACTIONS = (0.70, 0.15, 0.15)
+#: Groups (blocks) that a sequential choice may run over in a task; it raises beyond.
+MOST_GROUPS = 1_000_000
 
 
 def proportional_sample(df: DataFrame, cell: list[str], target: int | Column, threshold: int | Column | None = None, seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
@@ -23,8 +29,7 @@ def proportional_sample(df: DataFrame, cell: list[str], target: int | Column, th
     target, threshold = (F.lit(x) if isinstance(x, int) else x for x in (target, threshold))
     counts = df.groupBy(*cell, cls).agg(F.count(F.lit(1)).alias("__c"))
     counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*cell)))
-    rank = F.row_number().over(Window.partitionBy(*cell, cls).orderBy(draw_key(seed, cls, key), key))
-    both = df.withColumn("__rank", rank).join(counts, [*cell, cls])
+    both = numbered(df, [*cell, cls], [draw_key(seed, cls, key), F.col(key)], "__rank").join(counts, [*cell, cls])
     take = F.least(F.bround(F.col("__c") / F.col("__n") * target, 0), F.col("__c"))
     return both.filter((F.col("__n") <= threshold) | (F.col("__rank") <= take)).select(*df.columns)
 
@@ -54,21 +59,16 @@ def sample_summary(df: DataFrame, cell: list[str], target: int, threshold: int |
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """Of the train rows of each class the rounded fraction, one at least; other rows stay."""
-    train = F.col("split") == "train"
-    mine = Window.partitionBy("split", cls)
-    n = F.count(F.lit(1)).over(mine)
-    rank = F.row_number().over(mine.orderBy(draw_key(seed, cls, key), key))
-    keep = ~train | (rank <= F.greatest(F.lit(1), F.bround(n * F.lit(fraction), 0)))
-    return df.withColumn("__keep", keep).filter("__keep").drop("__keep")
+    out = numbered(df, ["split", cls], [draw_key(seed, cls, key), F.col(key)], "__rank", "__n")
+    keep = (F.col("split") != "train") | (F.col("__rank") <= F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(fraction), 0)))
+    return out.filter(keep).drop("__rank", "__n")
 
 
 def class_sample(df: DataFrame, share: float = 0.10, least: int = 20, most: int = 100, seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """min(n, most, max(least, ceil(share n))) rows of each class in a fixed order of draw."""
-    mine = Window.partitionBy(cls)
-    n = F.count(F.lit(1)).over(mine)
-    draw = F.row_number().over(mine.orderBy(draw_key(seed, cls, key), key))
+    n = F.col("class_size")
     size = F.least(n, F.lit(most), F.greatest(F.lit(least), F.ceil(n * F.lit(share))))
-    return df.withColumn("class_size", n).withColumn("draw", draw).withColumn("__size", size).filter("draw <= __size").drop("__size")
+    return numbered(df, [cls], [draw_key(seed, cls, key), F.col(key)], "draw", "class_size").filter(F.col("draw") <= size)
 
 
 def persisted_sample(stored: DataFrame, fresh: DataFrame, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
@@ -84,11 +84,11 @@ def audit_holdout(candidates: DataFrame, held: DataFrame, decided: DataFrame, sh
     marks = candidates.join(held.select("asset_id", F.lit(True).alias("__held")), "asset_id", "left")
     marks = marks.join(decided.select("asset_id", F.lit(True).alias("__done")).distinct(), "asset_id", "left")
     marks = marks.fillna({"__held": False, "__done": False})
-    source = Window.partitionBy("source")
-    want = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(source) * F.lit(share), 0)) - F.sum(F.col("__held").cast("int")).over(source)
-    free = ~F.col("__held") & ~F.col("__done")
-    rank = F.row_number().over(Window.partitionBy("source", free).orderBy(draw_key(seed, "source", "asset_id"), "asset_id"))
-    return marks.withColumn("audit", F.col("__held") | (free & (rank <= want))).select(*candidates.columns, "audit")
+    marks = marks.withColumn("__free", ~F.col("__held") & ~F.col("__done"))
+    want = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(share), 0)) - F.sum(F.col("__held").cast("int"))
+    wanted = marks.groupBy("source").agg(want.alias("__want"))  # a row a source
+    out = numbered(marks, ["source", "__free"], [draw_key(seed, "source", "asset_id"), F.col("asset_id")], "__rank").join(wanted, "source")
+    return out.withColumn("audit", F.col("__held") | (F.col("__free") & (F.col("__rank") <= F.col("__want")))).select(*candidates.columns, "audit")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "asset_id") -> DataFrame:
@@ -97,22 +97,28 @@ def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "asset_id")
 
 def random_split(df: DataFrame, cell: list[str], seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """Train, val and test by class within a cell: the floors of their fractions, the rest to test."""
-    mine = Window.partitionBy(*cell, cls)
-    n = F.count(F.lit(1)).over(mine)
-    rank = F.row_number().over(mine.orderBy(draw_key(seed, cls, key), key))
-    train, val = F.floor(n * F.lit(FRACTIONS[0])), F.floor(n * F.lit(FRACTIONS[1]))
-    return df.withColumn("split", F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test"))
+    out = numbered(df, [*cell, cls], [draw_key(seed, cls, key), F.col(key)], "__rank", "__n")
+    return out.withColumn("split", by_rank(F.col("__rank"), F.col("__n"), FRACTIONS)).drop("__rank", "__n")
+
+
+def by_rank(rank: Column, n: Column, fractions: tuple) -> Column:
+    """Split of the rank-th of n rows."""
+    train, val = F.floor(n * F.lit(fractions[0])), F.floor(n * F.lit(fractions[1]))
+    return F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")
 
 
 def block_split(tiles: DataFrame, stratum: str = "region", fractions=FRACTIONS, seed: int = 42) -> DataFrame:
     """Adds split and split_protocol: blocks are given, in a drawn order, to the split that lacks most rows.
 
-    Tiles are first summed up to blocks; the sequential choice runs over the blocks of a stratum, which are few. A block
-    in two strata takes the assignment of the last stratum.
+    Tiles are first summed up to blocks; the sequential choice runs over the blocks of a stratum, a narrow row each (blocks of
+    200 km are some 13 000 over all the earth; more than ``MOST_GROUPS`` raise). A block in two strata takes the assignment of
+    the last stratum.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum to 1")
     blocks = tiles.groupBy(stratum, "block_id").agg(F.count(F.lit(1)).alias("n"))
+    if blocks.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} blocks")
     blocks = blocks.withColumn("draw", draw_key(seed, stratum, "block_id"))
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
@@ -132,11 +138,8 @@ def block_split(tiles: DataFrame, stratum: str = "region", fractions=FRACTIONS,
 
 def class_fallback(split: DataFrame, classes: list[str], fractions=FRACTIONS, seed: int = 42) -> DataFrame:
     """Rows of rare classes are split at random instead, and marked."""
-    rank = F.row_number().over(Window.partitionBy("asset_type").orderBy(draw_key(seed, "asset_type", "asset_id"), "asset_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("asset_type"))
-    train, val = F.floor(n * F.lit(fractions[0])), F.floor(n * F.lit(fractions[1]))
-    rare = split.filter(F.col("asset_type").isin(classes))
-    rare = rare.withColumn("split", F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test"))
+    rare = numbered(split.filter(F.col("asset_type").isin(classes)), ["asset_type"], [draw_key(seed, "asset_type", "asset_id"), F.col("asset_id")], "__rank", "__n")
+    rare = rare.withColumn("split", by_rank(F.col("__rank"), F.col("__n"), fractions)).drop("__rank", "__n")
     rare = rare.withColumn("split_protocol", F.lit("class_fallback"))
     return split.filter(~F.col("asset_type").isin(classes)).unionByName(rare)
 
@@ -149,9 +152,12 @@ def crosstab(df: DataFrame, row: str, column: str, values: tuple[str, ...]) -> D
 
 
 def transitions(old: DataFrame, new: DataFrame, key: str = "asset_id") -> DataFrame:
-    """old_split, new_split, n and share unchanged over all."""
+    """old_split, new_split, n, and the percentage of all rows whose split is unchanged (the same in each row)."""
     both = old.select(key, F.col("split").alias("old_split")).join(new.select(key, F.col("split").alias("new_split")), key)
-    return both.groupBy("old_split", "new_split").agg(F.count(F.lit(1)).alias("n"))
+    counts = both.groupBy("old_split", "new_split").agg(F.count(F.lit(1)).alias("n"))
+    all_ = Window.partitionBy()  # over nine rows
+    same = F.sum(F.when(F.col("old_split") == F.col("new_split"), F.col("n")).otherwise(0)).over(all_)
+    return counts.withColumn("unchanged_pct", F.round(F.lit(100.0) * same / F.sum("n").over(all_), 2))
 
 
 def split_violations(split: DataFrame, classes: list[str] | None = None, slack: float = 0.02) -> DataFrame:
@@ -168,6 +174,31 @@ def split_violations(split: DataFrame, classes: list[str] | None = None, slack:
     return reduce(DataFrame.union, out)
 
 
+def artifact_violations(shipped: DataFrame, dataset: DataFrame, embedded: DataFrame | None = None, rare: list[str] = (), most_fallback: float = 0.5) -> DataFrame:
+    """rule, subject of a shipped split against the dataset that it belongs to.
+
+    Ids that are only in one of them, columns without a value, protocols that no rule knows, rare classes that were not
+    split by class and others that were, a share of class splits above ``most_fallback``, and rows without an embedding.
+    shipped: asset_id, asset_type, split, split_protocol, block_id; dataset and embedded: asset_id.
+    """
+    row = lambda df, rule, subject="asset_id": df.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
+    ids, fallback = shipped.select("asset_id"), F.col("split_protocol") == "class_fallback"
+    columns = ("asset_type", "split", "split_protocol", "block_id")
+    empty = F.explode(F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)), lambda x: x.isNotNull()))
+    out = [
+        row(ids.join(dataset.select("asset_id"), "asset_id", "left_anti"), "not_in_dataset"),
+        row(dataset.select("asset_id").join(ids, "asset_id", "left_anti"), "not_in_split"),
+        shipped.select(empty.alias("column")).distinct().select(F.lit("empty_column").alias("rule"), F.col("column").alias("subject")),
+        row(shipped.filter(~F.col("split_protocol").isin("spatial_block", "class_fallback")).select("split_protocol").distinct(), "unknown_protocol", "split_protocol"),
+        row(shipped.filter(fallback != F.col("asset_type").isin(*rare)).select("asset_type").distinct(), "wrong_protocol", "asset_type"),
+    ]
+    share = shipped.agg((F.count(F.when(fallback, 1)) / F.count(F.lit(1))).alias("share")).filter(F.col("share") > most_fallback)
+    out.append(share.select(F.lit("fallback_share").alias("rule"), F.lit("class_fallback").alias("subject")))
+    if embedded is not None:
+        out.append(row(ids.join(embedded.select("asset_id"), "asset_id", "left_anti"), "no_embedding"))
+    return reduce(DataFrame.union, out)
+
+
 def lightest_folds(groups: pd.DataFrame, folds: int) -> pd.DataFrame:
     """Groups (group, n), largest first, each to the lightest fold."""
     load, out = [0] * folds, []
@@ -179,7 +210,13 @@ def lightest_folds(groups: pd.DataFrame, folds: int) -> pd.DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Adds fold: whole groups, largest first, to the lightest fold. One fold over the groups, which are few (blocks)."""
+    """Adds fold: whole groups, largest first, to the lightest fold.
+
+    The choice is sequential and runs in one task over the groups' sizes, a narrow row each; spatial blocks of 200 km are
+    some 13 000 over all the earth. More groups than ``MOST_GROUPS`` raise.
+    """
     sizes = df.groupBy(F.col(group).cast("string").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     given = sizes.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda p: lightest_folds(p, folds), "group string, fold int")
     return df.join(given.withColumnRenamed("group", group), group)

@@ -153,6 +153,19 @@ def normalised(data: Column, kind: str) -> Column:
     return F.transform(data, lambda x: F.least(F.lit(350.0), F.greatest(F.lit(200.0), x * 0.00341802 + 149.0)))
 
 
+def rescaled(data: Column, low: float, high: float) -> Column:
+    """Values clipped to a range and mapped to 0 to 1."""
+    return F.transform(data, lambda x: (F.least(F.lit(high), F.greatest(F.lit(low), x)) - low) / (high - low))
+
+
+def with_bands(tiles: DataFrame, bands: list[int | None]) -> DataFrame:
+    """Tiles with the given bands (from 0) in this order, None for an empty one; tiles that lack one of them go."""
+    size = (F.col("image.h") * F.col("image.w")).cast("int")
+    one = lambda b: F.array_repeat(F.lit(0.0), size) if b is None else F.slice(F.col("image.data").cast("array<double>"), size * b + 1, size)
+    image = F.struct(F.lit(len(bands)).alias("c"), F.col("image.h").alias("h"), F.col("image.w").alias("w"), F.flatten(F.array(*(one(b) for b in bands))).alias("data"))
+    return tiles.filter(F.col("image.c") > max(b for b in bands if b is not None)).withColumn("image", image)
+
+
 def resampled(tiles: DataFrame, side: int, bilinear: bool = False) -> DataFrame:
     """Every band of image at side x side, nearest or bilinear."""
 
@@ -228,15 +241,25 @@ def pins(tiles: DataFrame) -> DataFrame:
 
 
 def manifest_rollup(records: DataFrame) -> DataFrame:
-    """One row: tiles, distinct types, sources and modalities, whether any is a time series."""
-    return records.agg(
-        F.count(F.lit(1)).alias("n_tiles"),
-        F.array_sort(F.collect_set("asset_type")).alias("asset_types"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("modalities")))).alias("modalities"),
-        F.bool_or(F.col("n_timesteps") > 1).alias("has_temporal"),
-        F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"),
+    """One row: tiles, distinct types, sources, modalities and shapes, tiles of each combination of modalities, extent.
+
+    Rows are first summed up by combination, type, source and shape, which are few.
+    records: asset_type, source, modalities, n_timesteps, shape, lat, lon.
+    """
+    low, high = ({f"{p}_{c}": f(c).alias(f"{p}_{c}") for c in ("lat", "lon")} for p, f in (("min", F.min), ("max", F.max)))
+    few = records.groupBy("modalities", "asset_type", "source", "shape").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("n_timesteps") > 1).alias("temporal"), *low.values(), *high.values()
+    )
+    combos = few.groupBy(F.array_join("modalities", "+").alias("name")).agg(F.sum("n").alias("n"))
+    combos = combos.agg(F.array_sort(F.collect_list(F.format_string("%s:%d", "name", "n"))).alias("combinations"))
+    distinct = lambda c: F.array_sort(F.collect_set(c))
+    one = few.agg(
+        F.sum("n").alias("n_tiles"), distinct("asset_type").alias("asset_types"), distinct("source").alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("modalities")))).alias("modalities"), distinct("shape").alias("shapes"),
+        F.bool_or("temporal").alias("has_temporal"), *(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high),
     )
+    key = F.lit(0).alias("key")  # a row each
+    return one.select("*", key).join(combos.select("*", key), "key").select(*one.columns[:4], "combinations", *one.columns[4:])
 
 
 def windows(end: str, count: int, days: int, spark) -> DataFrame:

@@ -260,10 +260,17 @@ def d2_dedup_summary(spark, sf_dir):
     return dedup.summary(dedup.deduplicate(view(spark, sf_dir, "assets_fx")))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS asset_id, CAST(NULL AS VARCHAR) AS rule WHERE false")
+@query(f"""{GREEDY}, after AS (SELECT v.asset_id, v.ok AS kept, CASE WHEN NOT v.ok THEN CASE WHEN pos % 43 = 0 THEN 'nobody' ELSE b.deduplicated_by END END AS via FROM verdict v
+    JOIN assets_fx a ON a.asset_id = v.asset_id LEFT JOIN best b ON b.asset_id = v.asset_id AND b.n = 1 WHERE pos % 37 <> 0)
+  SELECT asset_id, 'lost' AS rule FROM assets_fx WHERE pos % 37 = 0 UNION ALL SELECT 'x' || asset_id, 'invented' FROM assets_fx WHERE pos % 41 = 0
+  UNION ALL SELECT asset_id, 'no_survivor' FROM after WHERE NOT kept AND (via IS NULL OR via NOT IN (SELECT asset_id FROM after WHERE kept))""")
 def j11_conservation(spark, sf_dir):
+    """Violations of a de-duplicated table from which rows were taken and to which some were added."""
     a = view(spark, sf_dir, "assets_fx")
-    return dedup.conservation(a, dedup.deduplicate(a))
+    out = dedup.deduplicate(a).select("asset_id", "kept", "deduplicated_by", "pos")
+    by = F.when(~F.col("kept") & (F.col("pos") % 43 == 0), "nobody").otherwise(F.col("deduplicated_by"))
+    more = a.filter("pos % 41 = 0").select(F.concat(F.lit("x"), "asset_id").alias("asset_id"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("deduplicated_by"), "pos")
+    return dedup.conservation(a, out.filter("pos % 37 <> 0").withColumn("deduplicated_by", by).unionByName(more))
 
 
 @query(f"SELECT asset_id, {RADIUS} AS radius_m FROM assets_fx")
@@ -282,13 +289,13 @@ def e13_equal_area_blocks(spark, sf_dir):
     return geo.spatial_blocks(view(spark, sf_dir, "assets_fx")).select("asset_id", "block_id_x", "block_id_y")
 
 
-@query("""SELECT name, sector, confidence FROM (VALUES """ + ", ".join(f"('{c.name}', '{c.sector}', '{c.confidence}')" for c in ontology.CLASSES) + """) t(name, sector, confidence)
-  WHERE sector = 'energy' AND confidence = 'high' AND EXISTS (SELECT 1 FROM part)""")
+@query(f"""SELECT name, count(asset_type) AS n FROM (VALUES ('energy.transmission.substation'), ('energy.distribution.substation'), ('energy.generation.solar_farm'), ('energy.generation.wind_farm'),
+  ('energy.generation.power_plant')) t(name) LEFT JOIN ({CLASSIFIED}) c ON asset_type = name GROUP BY name""")
 def b7_b9_presets(spark, sf_dir):
-    """Classes of the energy preset with high confidence, if there are elements at all."""
+    """Elements of each class of the energy preset with high confidence."""
     wanted = ontology.by_confidence("high", "energy")
-    some = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(1).alias("one")).limit(1)
-    return ontology.registry(spark).filter(F.col("name").isin(wanted)).join(some, how="cross").select("name", "sector", "confidence")
+    n = b6_best_class(spark, sf_dir).filter(F.col("asset_type").isin(wanted)).groupBy(F.col("asset_type").alias("name")).agg(F.count("*").alias("n"))
+    return ontology.registry(spark).filter(F.col("name").isin(wanted)).select("name").join(n, "name", "left").fillna({"n": 0})
 
 
 MORTON = " + ".join(f"(((CAST(la AS BIGINT) >> {i}) & 1) << {2 * i}) + (((CAST(lo AS BIGINT) >> {i}) & 1) << {2 * i + 1})" for i in range(16))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolith.fixtures import view
 from cartolith.functions.geo import EVIDENCE_R
-from cartolith.functions.names import TX
+from cartolith.functions.names import DX, TX
 from cartolith.operators import evidence
 from cartolith.plans.curation import haversine
 from cartolith.plans.queries import query
@@ -85,6 +85,38 @@ def d16_line_summary(spark, sf_dir):
     return s.withColumn("kvs", F.array_join(F.sort_array(F.array_distinct(F.filter(F.split("kvs", "/"), lambda x: x != "")), asc=False), "/"))
 
 
+# lines that run north and south of where the view's begin: some end at tiles, some pass
+_NORTH = "(SELECT *, lat1 - (line_id % 3) * 1e-2 AS la, lat1 + (line_id % 3) * 1e-2 AS lb FROM lines_fx)"
+_MEET = f"""SELECT a.asset_id, l.*, least({haversine('a', 'p', EVIDENCE_R)}, {haversine('a', 'q', EVIDENCE_R)}) <= 250 AS here,
+    abs((lon1 - a.lon) * cos(radians(a.lat)) * 111320e0) <= 300 AND (la - a.lat) * 111320e0 <= 300 AND (lb - a.lat) * 111320e0 >= -300 AS across
+  FROM assets_fx a JOIN {_NORTH} l ON abs(l.lat1 - a.lat) < 5e-2 AND abs(l.lon1 - a.lon) < 5e-2
+  JOIN (SELECT line_id, la AS lat, lon1 AS lon FROM {_NORTH} x) p ON p.line_id = l.line_id JOIN (SELECT line_id, lb AS lat, lon1 AS lon FROM {_NORTH} y) q ON q.line_id = l.line_id"""
+_REAL = "CASE WHEN {c} <> '' AND NOT regexp_matches({c}, '^(UNKNOWN|TAP|DEADEND|NOT AVAILABLE)', 'i') THEN {c} END"
+# the words of a line's end that tell which it is; 'Riverside' and numbers never are
+_DESCRIBE = """array_to_string(list_filter([
+    CASE WHEN count(kv) > 0 THEN array_to_string(list_transform(list_reverse_sort(list(DISTINCT CAST(kv AS INT)) FILTER (kv IS NOT NULL)), lambda x: CAST(x AS VARCHAR)), '/') || ' kV' END,
+    CASE WHEN count(*) FILTER (kv IS NULL) > 0 THEN count(*) FILTER (kv IS NULL) || ' unknown voltage' END,
+    CASE WHEN count(*) FILTER (traced) > 0 THEN count(*) FILTER (traced) || ' traced from OSM' END], lambda x: x IS NOT NULL), ', ')"""
+
+
+@query(f"""WITH m AS (SELECT * FROM ({_MEET}) x WHERE here OR across), e AS (SELECT *, {_REAL.format(c='sub_1')} AS r1, {_REAL.format(c='sub_2')} AS r2 FROM m WHERE here),
+  n AS (SELECT asset_id, list(name ORDER BY o) AS names FROM (SELECT asset_id, name, min(line_id * 2 + k) AS o FROM
+      (SELECT asset_id, line_id, 0 AS k, r1 AS name FROM e UNION ALL SELECT asset_id, line_id, 1, r2 FROM e) u WHERE name IS NOT NULL GROUP BY asset_id, name) v GROUP BY asset_id),
+  g AS (SELECT asset_id, count(*) AS lines_end, max(kv) FILTER (NOT traced) AS max_kv, {_DESCRIBE} AS says FROM e GROUP BY asset_id),
+  p AS (SELECT asset_id, count(*) AS across, {_DESCRIBE} AS says FROM m WHERE NOT here GROUP BY asset_id), t AS (SELECT asset_id, count(*) FILTER (traced) AS traced_lines FROM m GROUP BY asset_id)
+  SELECT a.asset_id, coalesce(lines_end, 0) AS lines_end, max_kv, coalesce(array_to_string(names, '; '), '') AS names, coalesce(traced_lines, 0) AS traced_lines, coalesce(max_kv >= 100, false) AS transmission,
+    CASE WHEN lines_end > 0 THEN 'lines: ' || lines_end || ' line(s) end here (' || g.says || ')' WHEN across > 0 THEN 'lines: no line ends here; ' || across || ' pass within 300 m (' || p.says || ')' ELSE 'lines: no transmission line within 300 m' END
+      || CASE WHEN len(names) > 0 THEN ' | lines line ends named: ' || array_to_string(names[1:4], ', ') ELSE '' END
+      || CASE WHEN traced_lines > 0 THEN ' | Caution: ' || traced_lines || ' of these lines lines were traced from OSM, so they don''t count as independent' ELSE '' END AS text
+  FROM assets_fx a LEFT JOIN g ON g.asset_id = a.asset_id LEFT JOIN n ON n.asset_id = a.asset_id LEFT JOIN p ON p.asset_id = a.asset_id LEFT JOIN t ON t.asset_id = a.asset_id""")
+def d16_traced_lines(spark, sf_dir):
+    """What the lines that end at each tile or cross it say of it."""
+    up = (F.col("line_id") % 3) * 1e-2
+    end = lambda y: F.struct((F.col("lat1") + y).alias("lat"), F.col("lon1").alias("lon"))
+    north = view(spark, sf_dir, "lines_fx").withColumn("ends", F.array(end(-up), end(up)))
+    return evidence.traced_line_evidence(tiles(spark, sf_dir).withColumn("name", F.lit("")), north, "lines").drop("name_match")
+
+
 @query(f"""WITH e AS (SELECT asset_id, count(*) AS n, bool_or(kv >= 110) AS strong FROM ({_ENDS}) e GROUP BY asset_id)
   SELECT a.asset_id, coalesce(strong, false) AND a.asset_type = '{TX}' AS corroborated, coalesce(strong, false) AND a.asset_type <> '{TX}' AS caution, coalesce(n, 0) > 0 AS ends FROM assets_fx a LEFT JOIN e ON e.asset_id = a.asset_id""")
 def g18_grid_line_evidence(spark, sf_dir):
@@ -123,3 +155,95 @@ def c7_lines_passing(spark, sf_dir):
     p = F.struct((F.col("lat1") - up).alias("lat"), (F.col("lon1") - right).alias("lon"))
     q = F.struct((F.col("lat1") + up).alias("lat"), (F.col("lon1") + right).alias("lon"))
     return evidence.passing_lines(tiles(spark, sf_dir), l.select("line_id", "kv", F.array(p, q).alias("ends")))
+
+
+def landed(spark, sf_dir):
+    """The suppliers as rows of a landed register: key, title, lat, lon, kind (0 to 6), place, all as text but the key."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    return s.select(
+        k.alias("k"), F.col("s_name").alias("title"), F.when(k % 17 != 0, -60.0 + (k * 7919 % 120000) / 1e3).alias("lat"), (-175.0 + (k * 104729 % 350000) / 1e3).alias("lon"),
+        (k % 7).cast("int").alias("kind"), F.when(k % 5 != 0, F.col("s_nationkey").cast("string")).alias("place"),
+    )
+
+
+_LANDED = """(SELECT s_suppkey AS k, s_name AS title, CASE WHEN s_suppkey % 17 <> 0 THEN -60e0 + (s_suppkey * 7919 % 120000) / 1e3 END AS lat, -175e0 + (s_suppkey * 104729 % 350000) / 1e3 AS lon,
+  s_suppkey % 7 AS kind, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS place FROM supplier)"""
+
+
+def _pointed(register: str, name: str, detail: str, implies: str = "CAST(NULL AS VARCHAR)", inactive: str = "false", keep: str = "true") -> str:
+    return f"SELECT '{register}' AS register, {name} AS name, lat, lon, {detail} AS detail, {implies} AS implies, {inactive} AS inactive FROM {_LANDED} l WHERE lat IS NOT NULL AND ({keep})"
+
+
+@query(" UNION ALL ".join((
+    _pointed("nodes", "title", "'Trafikverket ' || coalesce(place, '')"),
+    _pointed("irish", "title", "'Irish rail stop ' || CAST(k AS VARCHAR)", keep="kind = 2"),
+    _pointed("halls", "title", "'SNCF station UIC ' || coalesce(place, 'None')"),
+    _pointed("national", "title", "'GA station, ' || CASE kind WHEN 0 THEN 'abandoned' WHEN 1 THEN 'operational' ELSE '' END || ', ' || coalesce(place, '')", inactive="kind = 0", keep="kind NOT IN (3, 4)"),
+    _pointed("feed", "title", "'Digitraffic stopping point S' || CAST(k AS VARCHAR)", keep="kind < 4"),
+)))
+def a16_station_registers(spark, sf_dir):
+    """Station registers in one shape."""
+    from cartolith.sources import registers
+
+    l = landed(spark, sf_dir)
+    kind = F.col("kind")
+    tables = {
+        "nodes": registers.station_nodes(l.select(F.col("title").alias("geographicalName"), F.col("place").alias("formOfNode"), F.array("lat", "lon").alias("coordinates"))),
+        "irish": registers.irish_stops(l.select(F.when(kind == 2, "RLY").otherwise("BCT").alias("StopType"), F.col("title").alias("CommonName"), F.col("k").alias("AtcoCode"), F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"))),
+        "halls": registers.passenger_halls(l.select(F.col("title").alias("nom"), F.col("place").alias("codes_uic"), F.struct("lat", "lon").alias("position_geographique"))),
+        "national": registers.national_stations(l.select(
+            F.concat("title", F.when(kind == 1, " RAILWAY STATION").otherwise("")).alias("name"), F.when(kind == 0, "Abandoned").when(kind == 1, "Operational").alias("operationalstatus"),
+            F.when(kind == 3, "OSM").when(kind == 4, "osm").when(kind == 5, "traced from OpenStreetMap").alias("feature_source"), F.col("place").alias("state"), "lat", "lon")),
+        "feed": registers.passenger_stations(l.select(
+            F.col("title").alias("stationName"), F.concat(F.lit("S"), F.col("k").cast("string")).alias("stationShortCode"), F.lit("STOPPING_POINT").alias("type"),
+            F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), (kind < 4).alias("passengerTraffic"))),
+    }
+    return _together(tables)
+
+
+def _together(tables):
+    out = None
+    for name, df in tables.items():
+        df = df.select(F.lit(name).alias("register"), *df.columns)
+        out = df if out is None else out.union(df)
+    return out
+
+
+_VOLTS = "[33e0, 66e0, 110e0, 220e0, 400e0, 0e0, 132e0][kind + 1]"
+
+
+@query(" UNION ALL ".join((
+    _pointed("complexes", "title || [' ZONE SUBSTATION', ' TRANSMISSION SUBSTATION', ' BULK SUPPLY SUBSTATION', ' SUBSTATION', ' DEPOT', ' SUBSTATION', ' SWITCHING STATION SUBSTATION'][kind + 1]", "'NSW Features of Interest'",
+             f"CASE WHEN kind = 0 THEN '{DX}' WHEN kind IN (1, 2, 6) THEN '{TX}' END", keep="kind <> 4"),
+    _pointed("facilities", "title", "'Vicmap ' || CASE WHEN kind < 2 THEN 'power terminal station' ELSE 'power sub station' END", f"CASE WHEN kind < 2 THEN '{TX}' ELSE '{DX}' END", keep="kind < 5"),
+    _pointed("posts", "''", "'OSINERGMIN SED ' || CAST(k AS VARCHAR) || ' (' || title || ')'"),
+    _pointed("communal", "''", "'Enedis poste HTA/BT, ' || coalesce(place, '')"),
+    _pointed("labelled", "title", "'KPLC primary substation ' || title || CASE WHEN kind < 5 THEN ' ( ' || CAST(CAST(" + _VOLTS + " AS INT) AS VARCHAR) || ' / 11 KV)' ELSE '' END",
+             f"CASE WHEN kind >= 5 THEN '{DX}' WHEN {_VOLTS} < 100 THEN '{DX}' END"),
+    _pointed("typed", "title", "'ZESCO substation' || CASE WHEN " + _VOLTS + " > 0 THEN ', ' || CAST(CAST(" + _VOLTS + " AS INT) AS VARCHAR) || ' kV' ELSE '' END",
+             f"CASE WHEN {_VOLTS} >= 220 THEN '{TX}' WHEN {_VOLTS} >= 100 THEN NULL ELSE '{DX}' END"),
+    _pointed("transformers", "title", "'Secretaría de Energía ET, ' || CAST(CAST(" + _VOLTS + " AS INT) AS VARCHAR) || ' kV in, 132 kV out'", f"CASE WHEN {_VOLTS} >= 1 THEN '{TX}' END"),
+    _pointed("schematic", "title", "CASE WHEN kind < 2 THEN 'a ' || CAST(kind * 11 + 66 AS VARCHAR) || ' kV substation' ELSE 'a grid node at ' || title || ' (city)' || CASE WHEN kind > 2 THEN ' on ' || CAST(kind * 11 AS VARCHAR) || ' kV lines' ELSE '' END END"),
+)))
+def a17_grid_registers(spark, sf_dir):
+    """Operators' substations in one shape, with the type that each implies."""
+    from cartolith.sources import registers
+
+    l = landed(spark, sf_dir)
+    kind = F.col("kind")
+    volts = F.element_at(F.array(*(F.lit(v) for v in (33, 66, 110, 220, 400, 0, 132))), kind + 1)
+    words = F.element_at(F.array(*(F.lit(w) for w in (" ZONE SUBSTATION", " TRANSMISSION SUBSTATION", " BULK SUPPLY SUBSTATION", " SUBSTATION", " DEPOT", " SUBSTATION", " SWITCHING STATION SUBSTATION"))), kind + 1)
+    joined = l.select(F.array("title").alias("nodes"), F.when(kind > 2, kind * 11).alias("kv"))
+    tables = {
+        "complexes": registers.named_complexes(l.select(F.concat("title", words).alias("generalname"), F.col("lat").alias("y"), F.col("lon").alias("x"))),
+        "facilities": registers.power_facilities(l.select(F.col("title").alias("name"), F.when(kind < 2, "power terminal station").when(kind < 5, "power sub station").otherwise("power station").alias("feature_subtype"), "lat", "lon")),
+        "posts": registers.distribution_posts(l.select(F.col("title").alias("CODEMP"), F.col("k").cast("string").alias("CODSED"), "lat", "lon")),
+        "communal": registers.communal_posts(l.select(F.col("place").alias("nom_commune"), "lat", "lon")),
+        "labelled": registers.labelled_substations(l.select(F.concat("title", F.when(kind < 5, F.format_string(" ( %d / 11 KV)", volts)).otherwise("")).alias("Name_IMS11"), F.lit("x").alias("Name8"), "lat", "lon")),
+        "typed": registers.typed_by_voltage(l.select(F.col("title").alias("NAME"), F.when(volts > 0, volts.cast("string")).otherwise("n/a").alias("VOLATGELEV"), "lat", "lon")),
+        "transformers": registers.transformer_stations(l.select(F.col("title").alias("NOMBRE"), volts.cast("string").alias("TENSION_EN"), F.lit("132").alias("TENSION_SA"), "lat", "lon")),
+        "schematic": registers.schematic_points(l.select(
+            F.col("title").alias("name"), F.when(kind >= 2, "city").alias("node_type"), F.format_string("%d / 11 kV", kind * 11 + 66).alias("text"), "lat", "lon"), joined),
+    }
+    return _together(tables)

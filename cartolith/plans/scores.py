@@ -122,6 +122,36 @@ def e20_e21_best_condition(spark, sf_dir):
     return best.withColumn("place", F.rank().over(Window.orderBy(F.desc("best_f1"))))  # a row for each model
 
 
+@query("""WITH b AS (SELECT model, protocol, avg(val_f1) AS f1 FROM epochs_fx WHERE NOT (model = 'm3' AND protocol = 'FT') GROUP BY ALL), p AS (SELECT model, max(f1) FILTER (protocol = 'LP') AS lp, max(f1) FILTER (protocol = 'FT') AS ft FROM b GROUP BY model)
+  SELECT model, round(lp, 9) AS lp, round(ft, 9) AS ft, round(ft - lp, 9) AS gain, round(ft - (SELECT ft FROM p WHERE model = 'm0'), 9) AS lead, row_number() OVER (ORDER BY ft DESC NULLS LAST, model) AS place FROM p""")
+def e21_adaptation_pairs(spark, sf_dir):
+    """Probe and fine-tuned score of each model against the fine-tuned m0; one model has no fine-tuned run."""
+    runs = view(spark, sf_dir, "epochs_fx").filter("not (model = 'm3' and protocol = 'FT')")
+    pairs = metrics.adaptation_pairs(runs.groupBy(*RUN).agg(F.avg("val_f1").alias("f1")), "m0")
+    return pairs.select("model", *(F.round(c, 9).alias(c) for c in ("lp", "ft", "gain", "lead")), "place")
+
+
+_YIELDS = "SELECT floor(lat / 5) * 5 AS lat0, floor(lon / 5) * 5 AS lon0, count(*) AS attempted, round(1e2 * count(*) FILTER (passed) / count(*), 2) AS yield_pct FROM attempts_fx GROUP BY 1, 2 HAVING count(*) >= 5"
+
+
+@query(f"""(SELECT lat0, lon0, yield_pct, 'top' AS side FROM ({_YIELDS}) y ORDER BY yield_pct DESC, lat0, lon0 LIMIT 10) UNION ALL (SELECT lat0, lon0, yield_pct, 'bottom' FROM ({_YIELDS}) y ORDER BY yield_pct, lat0, lon0 LIMIT 10)""")
+def e20_extreme_cells(spark, sf_dir):
+    """The ten grid cells with the highest yield and the ten with the lowest."""
+    from cartolith.operators import reconcile
+
+    a = view(spark, sf_dir, "attempts_fx")
+    cells = reconcile.yield_grid(a, a.filter("passed"), 5.0, 5).select("lat0", "lon0", "yield_pct")
+    return metrics.extremes(cells, "yield_pct", 10, ["lat0", "lon0"])
+
+
+@query("""WITH e AS (SELECT model, protocol, min(m) AS last FROM (SELECT model, protocol, seed, max(epoch) AS m FROM epochs_fx GROUP BY ALL) s GROUP BY ALL)
+  SELECT model, protocol, round(avg(val_f1), 9) AS tail_mean, round(stddev_pop(val_f1), 9) AS tail_std, count(*) AS points FROM epochs_fx JOIN e USING (model, protocol) WHERE epoch <= last AND epoch > last - 5 GROUP BY ALL""")
+def e23_curve_tails(spark, sf_dir):
+    """The last five epochs of each curve."""
+    t = metrics.curve_tail(view(spark, sf_dir, "epochs_fx"), RUN)
+    return t.withColumn("tail_mean", F.round("tail_mean", 9)).withColumn("tail_std", F.round("tail_std", 9))
+
+
 @query("SELECT truth, n, round(total / (5 * n), 9) AS weight FROM (SELECT truth, count(*) AS n, sum(count(*)) OVER () AS total FROM preds_fx GROUP BY truth) t")
 def g13_class_weights(spark, sf_dir):
     return metrics.class_weights(preds(spark, sf_dir), "truth").withColumn("weight", F.round("weight", 9))

@@ -105,10 +105,48 @@ def e11_class_fallback(spark, sf_dir):
     return split.select("asset_id", "split", "split_protocol")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS subject WHERE false")
+_FALLBACK = f"""SELECT asset_id, asset_type, t.block_id, CASE WHEN asset_type = 'transport.train_station' THEN CASE WHEN i <= floor(c * 0.7e0) THEN 'train' WHEN i <= floor(c * 0.7e0) + floor(c * 0.15e0) THEN 'val' ELSE 'test' END
+    ELSE g.split END AS split, CASE WHEN asset_type = 'transport.train_station' THEN 'class_fallback' ELSE 'spatial_block' END AS split_protocol, pos
+  FROM (SELECT *, count(*) OVER (PARTITION BY asset_type) AS c, row_number() OVER (PARTITION BY asset_type ORDER BY {_DRAW}, asset_id) AS i FROM ({_TILES}) t) t JOIN given g ON g.block_id = t.block_id"""
+
+
+def _fallback(spark, sf_dir):
+    return sampling.class_fallback(sampling.block_split(_degree_blocks(spark, sf_dir)), ["transport.train_station"])
+
+
+@query(f"""{_GREEDY}, s AS (SELECT asset_id, asset_type, block_id, split_protocol, CASE WHEN pos % 97 = 0 THEN NULL WHEN pos % 101 = 0 THEN 'test' ELSE split END AS split FROM ({_FALLBACK}) f
+    UNION ALL SELECT asset_id, asset_type, block_id, split_protocol, 'val' FROM ({_FALLBACK}) f WHERE pos % 89 = 0)
+  SELECT 'unassigned' AS rule, asset_id AS subject FROM s WHERE split IS NULL
+  UNION ALL SELECT 'two_splits', asset_id FROM s GROUP BY asset_id HAVING count(DISTINCT split) > 1
+  UNION ALL SELECT 'block', block_id FROM s WHERE split_protocol = 'spatial_block' GROUP BY block_id HAVING count(DISTINCT split) > 1
+  UNION ALL SELECT 'class_missing', asset_type FROM s GROUP BY asset_type HAVING count(DISTINCT split) < 3
+  UNION ALL SELECT 'share', n FROM (SELECT 'train' AS n, count(*) FILTER (split = 'train') / count(*) - 0.7e0 AS off FROM s UNION ALL
+    SELECT 'val', count(*) FILTER (split = 'val') / count(*) - 0.15e0 FROM s UNION ALL SELECT 'test', count(*) FILTER (split = 'test') / count(*) - 0.15e0 FROM s) d WHERE abs(off) > 5e-2""")
 def j2_j3_split_gate(spark, sf_dir):
-    """Violations of the split: none are expected."""
-    return sampling.split_violations(sampling.block_split(_degree_blocks(spark, sf_dir)), slack=0.05)
+    """Violations of a split into which some were put: rows without a split, rows in two, rows taken out of their block."""
+    good = _fallback(spark, sf_dir)
+    put = F.when(F.col("pos") % 97 == 0, F.lit(None)).when(F.col("pos") % 101 == 0, "test").otherwise(F.col("split"))
+    again = good.filter("pos % 89 = 0").withColumn("split", F.lit("val"))
+    return sampling.split_violations(good.withColumn("split", put).unionByName(again), slack=0.05)
+
+
+@query(f"""{_GREEDY}, f AS ({_FALLBACK}), s AS (SELECT CASE WHEN pos % 79 = 0 THEN 'x' || asset_id ELSE asset_id END AS asset_id, asset_type, CASE WHEN pos % 97 = 0 THEN NULL ELSE block_id END AS block_id,
+    CASE WHEN pos % 83 = 0 THEN 'by_hand' ELSE split_protocol END AS split_protocol, pos FROM f)
+  SELECT 'not_in_dataset' AS rule, 'x' || asset_id AS subject FROM f WHERE pos % 79 = 0 UNION ALL SELECT 'not_in_split', asset_id FROM f WHERE pos % 79 = 0
+  UNION ALL SELECT 'empty_column', 'block_id' FROM s WHERE block_id IS NULL GROUP BY 2 UNION ALL SELECT DISTINCT 'unknown_protocol', split_protocol FROM s WHERE split_protocol = 'by_hand'
+  UNION ALL SELECT DISTINCT 'wrong_protocol', asset_type FROM s WHERE (split_protocol = 'class_fallback') <> (asset_type IN ('transport.train_station', 'water.wastewater.plant'))
+  UNION ALL SELECT 'fallback_share', 'class_fallback' FROM s HAVING avg(CASE WHEN split_protocol = 'class_fallback' THEN 1e0 ELSE 0e0 END) > 0.1e0
+  UNION ALL SELECT 'no_embedding', asset_id FROM s WHERE pos % 13 = 0 OR pos % 79 = 0""")
+def j3_artifact_gate(spark, sf_dir):
+    """Violations of a shipped split against its dataset, with some put in."""
+    split = _fallback(spark, sf_dir)
+    dataset = split.select("asset_id", "pos")
+    shipped = split.withColumns({
+        "asset_id": F.when(F.col("pos") % 79 == 0, F.concat(F.lit("x"), "asset_id")).otherwise(F.col("asset_id")),
+        "block_id": F.when(F.col("pos") % 97 != 0, F.col("block_id")),
+        "split_protocol": F.when(F.col("pos") % 83 == 0, "by_hand").otherwise(F.col("split_protocol")),
+    })
+    return sampling.artifact_violations(shipped, dataset, dataset.filter("pos % 13 <> 0"), ["transport.train_station", "water.wastewater.plant"], 0.1)
 
 
 _PCT = ", ".join(f"round(1e2 * count(*) FILTER (split = '{s}') / count(*), 2) AS {s}_pct" for s in sampling.SPLITS)
@@ -120,14 +158,15 @@ def d11_split_crosstab(spark, sf_dir):
     return sampling.crosstab(sampling.random_split(view(spark, sf_dir, "assets_fx"), ["region"]), "region", "split", sampling.SPLITS)
 
 
-@query(f"""{_GREEDY} SELECT asset_type, array_to_string(list_sort(list(DISTINCT CASE WHEN site % 7 = 0 THEN 'class_fallback' ELSE 'spatial_block' END)), ',') AS protocols FROM ({_TILES}) t GROUP BY asset_type""")
+@query(f"""{_GREEDY} SELECT asset_type, array_to_string(list_sort(list(DISTINCT split_protocol)), ',') AS protocols FROM ({_FALLBACK}) f GROUP BY asset_type""")
 def d12_protocols(spark, sf_dir):
-    kind = F.when(F.col("site") % 7 == 0, "class_fallback").otherwise("spatial_block")
-    return view(spark, sf_dir, "assets_fx").groupBy("asset_type").agg(F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("protocols"))
+    """How each class was split."""
+    return _fallback(spark, sf_dir).groupBy("asset_type").agg(F.array_join(F.array_sort(F.collect_set("split_protocol")), ",").alias("protocols"))
 
 
-@query(f"""{_GREEDY} SELECT r.split AS old_split, g.split AS new_split, count(*) AS n FROM ({_RANDOM}) r JOIN ({_TILES}) t ON t.asset_id = r.asset_id
-  JOIN given g ON g.block_id = t.block_id GROUP BY 1, 2""")
+@query(f"""{_GREEDY}, x AS (SELECT r.split AS old_split, g.split AS new_split, count(*) AS n FROM ({_RANDOM}) r JOIN ({_TILES}) t ON t.asset_id = r.asset_id
+  JOIN given g ON g.block_id = t.block_id GROUP BY 1, 2)
+  SELECT *, round(1e2 * (SELECT sum(n) FROM x WHERE old_split = new_split) / (SELECT sum(n) FROM x), 2) AS unchanged_pct FROM x""")
 def d13_split_transitions(spark, sf_dir):
     tiles = _degree_blocks(spark, sf_dir)
     return sampling.transitions(sampling.random_split(view(spark, sf_dir, "assets_fx"), ["region"]), sampling.block_split(tiles))
@@ -169,10 +208,18 @@ def e8_audit_holdout(spark, sf_dir):
     return sampling.audit_holdout(a.select("asset_id", "source"), a.filter("pos % 40 = 0"), a.filter("pos % 3 = 0"))
 
 
-@query()
+_LIGHTEST = "CASE WHEN a <= least(b, c, d, e) THEN 0 WHEN b <= least(c, d, e) THEN 1 WHEN c <= least(d, e) THEN 2 WHEN d <= e THEN 3 ELSE 4 END"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT block_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block_id) AS i FROM ({_TILES}) t GROUP BY block_id),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS e, CAST(NULL AS VARCHAR) AS block_id, 0 AS fold
+    UNION ALL SELECT i, a + CASE WHEN fold = 0 THEN n ELSE 0 END, b + CASE WHEN fold = 1 THEN n ELSE 0 END, c + CASE WHEN fold = 2 THEN n ELSE 0 END, d + CASE WHEN fold = 3 THEN n ELSE 0 END,
+      e + CASE WHEN fold = 4 THEN n ELSE 0 END, block_id, fold
+    FROM (SELECT g.i, g.n, g.block_id, a, b, c, d, e, {_LIGHTEST} AS fold FROM walk JOIN g ON g.i = walk.i + 1) s)
+  SELECT asset_id, t.block_id, CAST(fold AS INT) AS fold FROM ({_TILES}) t JOIN walk ON walk.block_id = t.block_id""")
 def e24_group_folds(spark, sf_dir):
-    """Five folds of whole blocks."""
-    return sampling.group_folds(_blocks(spark, sf_dir), "block_id").select("asset_id", "block_id", "fold")
+    """Five folds of whole blocks, the largest block to the lightest fold."""
+    return sampling.group_folds(_degree_blocks(spark, sf_dir), "block_id").select("asset_id", "block_id", "fold")
 
 
 @query("""SELECT a.region, s.sector, count(t.asset_id) AS n, CASE WHEN count(t.asset_id) = 0 THEN 'MISSING_INPUT' ELSE 'OK' END AS status

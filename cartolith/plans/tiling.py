@@ -24,26 +24,93 @@ _STATS = f"""SELECT vec_id, label, vec_id % 25 <> 0 AS has_image, p, list_avg(p)
   FROM (SELECT vec_id, label, {_PIX} AS p FROM embeddings) e"""
 
 
-@query(f"""SELECT CAST(vec_id AS VARCHAR) AS asset_id, CASE WHEN NOT has_image THEN 'fail_no_image' WHEN valid < 0.8e0 THEN 'fail_valid_pixels' WHEN 1e0 > 0.9e0 THEN 'fail_edge_artifacts' END AS status,
-  CASE WHEN has_image THEN round(valid, 6) END AS valid_ratio, CASE WHEN has_image THEN round(coalesce(good, 0), 6) END AS mean_value FROM ({_STATS}) s""")
+def _large(spark, sf_dir):
+    """The tiles with every pixel five times as wide and high, or twice; some without a first row, radar or optical."""
+    t = _tiles(spark, sf_dir)
+    times = F.when(F.col("vec_id") % 7 == 0, 2).otherwise(5)
+    old = F.transform("image.data", lambda x, i: F.when((F.col("vec_id") % 11 == 0) & (i < 8), 0.0).otherwise(x))
+    side = times * 8
+    data = F.transform(F.sequence(F.lit(0), side * side - 1), lambda i: F.get(old, (F.floor(i / side / times) * 8 + F.floor(i % side / times)).cast("int")))
+    image = F.when(F.col("image").isNotNull(), F.struct(F.lit(1).alias("c"), side.alias("h"), side.alias("w"), data.alias("data")))
+    return t.withColumn("modalities", F.array(F.when(F.col("vec_id") % 3 == 0, "sentinel1").otherwise("naip"))).withColumn("image", image)
+
+
+_EMPTY = "len(list_filter({x}, lambda v: v = 0)) / 8"
+_SIDES = [f"q[{8 * r + 1}:{8 * r + 8}]" for r in (0, 7)] + [f"[{', '.join(f'q[{8 * r + c + 1}]' for r in range(8))}]" for c in (0, 7)]
+_EDGE = f"greatest({', '.join(_EMPTY.format(x=x) for x in _SIDES)})"
+# a strip of five pixels is the first row of a tile that was widened five times; of one widened twice it is two and a half
+_NEXT = [[f"q[{8 * r + 1}:{8 * r + 8}]" for r in rows] for rows in ((0, 1, 2), (7, 6, 5))]
+_NEXT += [[f"[{', '.join(f'q[{8 * r + c + 1}]' for r in range(8))}]" for c in columns] for columns in ((0, 1, 2), (7, 6, 5))]
+_WIDE = f"greatest({', '.join('(' + ' + '.join(f'{w} * {_EMPTY.format(x=x)}' for w, x in zip((2, 2, 1), side)) + ') / 5' for side in _NEXT)})"
+_QC = f"""SELECT vec_id, has_image, round(valid, 6) AS valid_ratio, round(coalesce(good, 0), 6) AS mean_value, CASE WHEN NOT has_image THEN 'fail_no_image' WHEN valid < 0.8e0 THEN 'fail_valid_pixels'
+    WHEN edge > 0.9e0 THEN 'fail_edge_artifacts' WHEN vec_id % 7 = 0 THEN 'fail_min_size' WHEN coalesce(good, 0) = 0 OR CASE WHEN vec_id % 3 = 0 THEN good NOT BETWEEN -28 AND 5 ELSE good NOT BETWEEN 15 AND 220 END THEN 'fail_value_range' ELSE 'pass' END AS status
+  FROM (SELECT *, len(list_filter(q, lambda x: x <> 0)) / 64 AS valid, list_avg(list_filter(q, lambda x: x <> 0)) AS good, CASE WHEN vec_id % 7 = 0 THEN {_WIDE} ELSE {_EDGE} END AS edge
+    FROM (SELECT vec_id, has_image, list_transform(p, lambda x, i: CASE WHEN vec_id % 11 = 0 AND i <= 8 THEN 0 ELSE x END) AS q FROM ({_STATS}) s) t) u"""
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS asset_id, status, CASE WHEN has_image THEN valid_ratio END AS valid_ratio, CASE WHEN has_image THEN mean_value END AS mean_value FROM ({_QC}) q")
 def g8_quality_checks(spark, sf_dir):
-    """Status of each tile: these have eight pixels a side, too few for their margins."""
-    v = tiles.qc_verdict(tiles.measured(_tiles(spark, sf_dir)))
+    """Status of each tile."""
+    v = tiles.qc_verdict(tiles.measured(_large(spark, sf_dir)))
     return v.select("asset_id", "status", F.round("qc.valid_ratio", 6).alias("valid_ratio"), F.round("qc.mean_value", 6).alias("mean_value"))
 
 
-@query(f"""SELECT CAST(vec_id AS VARCHAR) AS asset_id, round(mean, 6) AS mean_brightness, round(valid, 6) AS valid_ratio, round(list_stddev_pop(p), 6) AS std_brightness FROM ({_STATS}) s WHERE has_image""")
+@query(f"SELECT status, count(*) AS n FROM ({_QC}) q GROUP BY status")
+def d6_b33_qc_summary(spark, sf_dir):
+    """Tiles by the outcome of the checks."""
+    return tiles.qc_verdict(tiles.measured(_large(spark, sf_dir))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# one band is all three, so both ratios are the share of pixels that aren't empty
+_STEPS = " + ".join(f"(list_sum(list_transform(range({n}), lambda i: abs(p[{at.format(x='i')} + {step}] - p[{at.format(x='i')}]))) / {n})" for n, at, step in (
+    (56, "(i // 7) * 8 + i % 7 + 1", 1), (56, "{x} + 1", 8))).replace("i // 7", "CAST(floor(i / 7) AS BIGINT)")
+_MIDDLE = "list_avg([" + ", ".join(f"p[{8 * r + c + 1}]" for r in range(2, 6) for c in range(2, 6)) + "])"
+_SIGNALS = f"""SELECT vec_id, label, has_image, mean AS mean_brightness, list_stddev_pop(p) AS std_brightness, valid AS rg_ratio, valid AS rb_ratio, {_STEPS} AS texture, valid AS valid_ratio,
+  {_MIDDLE} AS center_brightness, {_MIDDLE} / greatest(mean, 1) AS center_vs_full FROM ({_STATS}) s"""
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS asset_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in tiles.SIGNALS) + f" FROM ({_SIGNALS}) s WHERE has_image")
 def g9_triage_signals(spark, sf_dir):
     m = tiles.measured(_tiles(spark, sf_dir)).filter("has_image")
-    return m.select("asset_id", *(F.round(f"signals.{c}", 6).alias(c) for c in ("mean_brightness", "valid_ratio", "std_brightness")))
+    return m.select("asset_id", *(F.round(f"signals.{c}", 6).alias(c) for c in tiles.SIGNALS))
 
 
-@query()
+_KIND = "['energy.transmission.substation', 'energy.generation.solar_farm', 'water.wastewater.plant'][label % 3 + 1]"
+_TRIAGE = f"""SELECT *, {_KIND} AS asset_type, list_sort(list_filter(CASE label % 3
+    WHEN 0 THEN [CASE WHEN texture NOT BETWEEN 8 AND 9999 THEN printf('texture=%.2f outside [8.0, 9999.0]', round(texture, 2)) END, CASE WHEN mean_brightness NOT BETWEEN 20 AND 210 THEN printf('mean_brightness=%.2f outside [20.0, 210.0]', round(mean_brightness, 2)) END]
+    WHEN 1 THEN [CASE WHEN mean_brightness NOT BETWEEN 10 AND 180 THEN printf('mean_brightness=%.2f outside [10.0, 180.0]', round(mean_brightness, 2)) END, CASE WHEN rg_ratio NOT BETWEEN 0.5e0 AND 1.5e0 THEN printf('rg_ratio=%.2f outside [0.5, 1.5]', round(rg_ratio, 2)) END]
+    ELSE [CASE WHEN mean_brightness NOT BETWEEN 15 AND 220 THEN printf('mean_brightness=%.2f outside [15.0, 220.0]', round(mean_brightness, 2)) END, CASE WHEN valid_ratio NOT BETWEEN 0.8e0 AND 1e0 THEN printf('valid_ratio=%.2f outside [0.8, 1.0]', round(valid_ratio, 2)) END] END,
+    lambda x: x IS NOT NULL)) AS why FROM ({_SIGNALS}) s"""
+_VERDICT = f"""SELECT CAST(vec_id AS VARCHAR) AS asset_id, asset_type, CASE WHEN NOT has_image OR len(why) >= 3 THEN 'contradiction' WHEN len(why) >= 1 THEN 'low' ELSE 'high' END AS confidence,
+  CASE WHEN has_image THEN len(why) ELSE 0 END AS failures, CASE WHEN NOT has_image THEN 'No image available' WHEN len(why) = 0 THEN 'All signals within expected range' ELSE len(why) || ' signal(s): ' || array_to_string(why, '; ') END AS reason FROM ({_TRIAGE}) t"""
+
+
+@query(f"SELECT asset_id, confidence, confidence = 'low' AS flag_for_human, failures, reason FROM ({_VERDICT}) v")
 def g10_triage_verdicts(spark, sf_dir):
     """Confidence of each tile and why."""
     return tiles.triage(tiles.measured(_tiles(spark, sf_dir))).select("asset_id", "confidence", "flag_for_human", "failures", "reason")
 
 
+@query(f"SELECT asset_type, confidence, count(*) AS n FROM ({_VERDICT}) v GROUP BY ALL")
+def d7_triage_counts(spark, sf_dir):
+    """Tiles by class and confidence."""
+    return tiles.triage(tiles.measured(_tiles(spark, sf_dir))).groupBy("asset_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT vec_id, [0, 1, 2, 3] AS b, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 1e2) AS v FROM embeddings WHERE vec_id % 6 <> 0)
+  SELECT vec_id, round(list_sum(list_transform(v[49:64], lambda x: (least(0e0, greatest(-25e0, x)) + 25) / 25)), 6) AS first, round(list_sum(list_transform(v[17:32], lambda x: (least(0e0, greatest(-25e0, x)) + 25) / 25)), 6) AS third FROM d""")
+def g7_bands(spark, sf_dir):
+    """Tiles of four bands, the fourth and second of them in this order with an empty one between, clipped and rescaled; of two bands: dropped."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    few = F.col("vec_id") % 6 == 0
+    data = F.transform("embedding", lambda x: x.cast("double") * 100.0)
+    image = F.struct(F.when(few, 2).otherwise(4).alias("c"), F.lit(4).alias("h"), F.lit(4).alias("w"), F.when(few, F.slice(data, 1, 32)).otherwise(data).alias("data"))
+    t = tiles.with_bands(e.select("vec_id", image.alias("image")), [3, None, 1])
+    t = t.withColumn("scaled", tiles.rescaled(F.col("image.data"), -25.0, 0.0))
+    total = lambda at: F.round(F.aggregate(F.slice("scaled", at, 16), F.lit(0.0), lambda a, x: a + x), 6)
+    return t.select("vec_id", total(1).alias("first"), total(33).alias("third"))
+
+
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: least(10e0, greatest(-30e0, CASE WHEN x > 0 THEN 10 * log10(CAST(x AS DOUBLE)) ELSE -30e0 END)))), 4) AS sar,
   round(list_sum(list_transform(embedding, lambda x: least(350e0, greatest(200e0, CAST(x AS DOUBLE) * 0.00341802e0 + 149e0)))), 4) AS thermal FROM embeddings""")
 def g4_normalise(spark, sf_dir):
@@ -84,6 +151,27 @@ def c13_failed_assets(spark, sf_dir):
     return reconcile.failed(a, a.filter("accepted"), ["region", "sector"]).select("region", "sector", "asset_id")
 
 
+@query("""WITH c AS (SELECT region, sector, CAST(floor(asset_id / 64) AS BIGINT) AS part, count(*) AS n, count(*) FILTER (fetched OR asset_id % 9 <> 0) AS done, count(*) FILTER (fetched) AS ok FROM attempts_fx GROUP BY ALL)
+  SELECT region, sector, part, n AS tiles, CASE WHEN n = done THEN ok END AS n_ok FROM c""")
+def a14_completion(spark, sf_dir):
+    """Cells with their completion markers; cells that a next run has to do have none."""
+    a = attempts(spark, sf_dir).withColumn("part", F.floor(F.col("asset_id") / 64).cast("long"))
+    status = F.when(F.col("fetched"), "ok").when(F.col("asset_id") % 9 != 0, "failed")
+    cell = ["region", "sector", "part"]
+    markers = reconcile.marked_complete(a.select(*cell, status.alias("status")), cell)
+    cells = a.groupBy(*cell).agg(F.count("*").alias("tiles"))
+    open_ = reconcile.skip_done(cells, markers, cell).withColumn("n_ok", F.lit(None).cast("long"))
+    return cells.join(markers.drop("n"), cell).unionByName(open_)
+
+
+@query("SELECT region, sector, asset_id, sector <> 'water' AS first FROM attempts_fx WHERE sector <> 'telecom'")
+def a8_fallback_input(spark, sf_dir):
+    """Rows of cells that the first input has, and of the others from the second: the first lacks water."""
+    a = attempts(spark, sf_dir).select("region", "sector", "asset_id").filter("sector <> 'telecom'")
+    first = a.filter("sector <> 'water'").withColumn("first", F.lit(True))
+    return reconcile.with_fallback(first, a.withColumn("first", F.lit(False)), ["region", "sector"])
+
+
 @query("SELECT asset_id FROM attempts_fx WHERE NOT fetched")
 def c14_pending(spark, sf_dir):
     a = attempts(spark, sf_dir)
@@ -140,11 +228,15 @@ def c18_best_scenes(spark, sf_dir):
     return tiles.best_scenes(a, view(spark, sf_dir, "scenes_fx"), "1996-01-01", "1998-01-01", "landsat-8")
 
 
-@query("""SELECT count(*) AS n_tiles, list_sort(list(DISTINCT asset_type)) AS asset_types, list_sort(list(DISTINCT sector)) AS sources, ['naip', 'sentinel2_ms'] AS modalities, true AS has_temporal,
-  round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon FROM assets_fx""")
+@query("""WITH r AS (SELECT *, CASE WHEN pos % 6 = 0 THEN ['naip'] WHEN pos % 6 < 4 THEN ['sentinel2_ms', 'naip'] ELSE ['sentinel1'] END AS m, pos % 3 AS t, CASE WHEN pos % 5 = 0 THEN '4x600x600' ELSE '7x60x60' END AS shape FROM assets_fx)
+  SELECT count(*) AS n_tiles, list_sort(list(DISTINCT asset_type)) AS asset_types, list_sort(list(DISTINCT sector)) AS sources, (SELECT list_sort(list(DISTINCT x)) FROM (SELECT unnest(m) AS x FROM r) u) AS modalities,
+  (SELECT list(c ORDER BY c) FROM (SELECT array_to_string(m, '+') || ':' || count(*) AS c FROM r GROUP BY array_to_string(m, '+')) v) AS combinations, list_sort(list(DISTINCT shape)) AS shapes, bool_or(t > 1) AS has_temporal,
+  round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon FROM r""")
 def d3_d4_manifest_rollup(spark, sf_dir):
-    names = F.when(F.col("pos") % 2 == 0, F.array(F.lit("naip"))).otherwise(F.array(F.lit("sentinel2_ms"), F.lit("naip")))
-    a = view(spark, sf_dir, "assets_fx").select("asset_type", F.col("sector").alias("source"), names.alias("modalities"), (F.col("pos") % 3).alias("n_timesteps"), "lat", "lon")
+    part = F.col("pos") % 6
+    names = F.when(part == 0, F.array(F.lit("naip"))).when(part < 4, F.array(F.lit("sentinel2_ms"), F.lit("naip"))).otherwise(F.array(F.lit("sentinel1")))
+    shape = F.when(F.col("pos") % 5 == 0, "4x600x600").otherwise("7x60x60")
+    a = view(spark, sf_dir, "assets_fx").select("asset_type", F.col("sector").alias("source"), names.alias("modalities"), (F.col("pos") % 3).alias("n_timesteps"), shape.alias("shape"), "lat", "lon")
     r = tiles.manifest_rollup(a)
     return r.select(*(F.round(c, 6).alias(c) if c[:4] in ("min_", "max_") else c for c in r.columns))
 
@@ -197,14 +289,24 @@ def d28_proposed_tiles(spark, sf_dir):
     return footprint.proposed_tiles(_found(spark, sf_dir)).select("asset_type", "n", "proposed_tile_m")
 
 
-@query()
+_SINE = """(1 - 0.0066943799901413165e0) * (s / (1 - 0.0066943799901413165e0 * s * s) - ln((1 - 0.08181919084262149e0 * s) / (1 + 0.08181919084262149e0 * s)) / (2 * 0.08181919084262149e0)) / 1.995531087388263e0"""
+_CORNERS = {k: f"({_SINE.replace('s ', f'sin(radians(lat + {dy})) ').replace('* s)', f'* sin(radians(lat + {dy})))')})" for k, dy in (("a", "0"), ("b", "1e-2"), ("c", "2e-3"), ("d", "6e-3"))}
+
+
+@query(f"""SELECT asset_id, round(6371007.180918474e0 * 6371007.180918474e0 * radians(1e-2) * ({_CORNERS['b']} - {_CORNERS['a']}) - CASE WHEN pos % 2 = 0 THEN 6371007.180918474e0 * 6371007.180918474e0 * radians(3e-3) * ({_CORNERS['d']} - {_CORNERS['c']}) ELSE 0 END, 0) AS area_m2,
+  round(CASE WHEN pos % 2 = 0 THEN (1e-4 * (lat + 5e-3) - 1.2e-5 * (lat + 4e-3)) / 8.8e-5 ELSE lat + 5e-3 END, 5) AS lat, round(CASE WHEN pos % 2 = 0 THEN (1e-4 * (lon + 5e-3) - 1.2e-5 * (lon + 2.5e-3)) / 8.8e-5 ELSE lon + 5e-3 END, 5) AS lon FROM assets_fx""")
 def b13_ring_areas(spark, sf_dir):
-    """Area and centroid of rings on the sphere."""
+    """Area on the ellipsoid and planar centroid of squares, half of them with a hole."""
     from cartolith.operators import footprint
 
-    a = view(spark, sf_dir, "assets_fx").select("asset_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    a = view(spark, sf_dir, "assets_fx").select("asset_id", "pos", F.col("lat").alias("y"), F.col("lon").alias("x"))
     at = lambda dy, dx: F.struct((F.col("y") + dy).alias("lat"), (F.col("x") + dx).alias("lon"))
-    return footprint.ring_area_m2(a.withColumn("ring", F.array(at(0, 0), at(0, 0.01), at(0.01, 0.01), at(0.01, 0), at(0, 0)))).select("asset_id", "area_m2", "lat", "lon")
+    ring = lambda y0, x0, y1, x1: F.array(at(y0, x0), at(y0, x1), at(y1, x1), at(y1, x0), at(y0, x0))
+    part = lambda role, pts: F.struct(F.lit(role).alias("role"), pts.alias("pts"))
+    outer, inner = part("outer", ring(0.0, 0.0, 0.01, 0.01)), part("inner", ring(0.002, 0.001, 0.006, 0.004))
+    rings = F.when(F.col("pos") % 2 == 0, F.array(outer, inner)).otherwise(F.array(outer))
+    out = footprint.area_features(a.withColumn("rings", rings))
+    return out.select("asset_id", F.round("area_m2", 0).alias("area_m2"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 def _labelled(spark, sf_dir):
@@ -231,17 +333,26 @@ def h2_linear_probe(spark, sf_dir):
 
 
 @query()
+def h2_probe_three_tenths(spark, sf_dir):
+    """Test predictions of the best probe that learns from 0.3 of each class's train rows."""
+    from cartolith.operators import probes, sampling
+
+    rows = _labelled(spark, sf_dir)
+    return probes.probe(sampling.fraction_sample(rows, 0.3, cls="label", key="id"), 10)
+
+
+@query("""WITH l AS (SELECT asset_id, reviewer, max_by(decision, struct_pack(a := "at", b := line)) AS decision, max_by(label, struct_pack(a := "at", b := line)) AS label FROM decisions_fx GROUP BY asset_id, reviewer),
+  s AS (SELECT asset_id, count(*) FILTER (decision <> 'unsure') AS labels, count(DISTINCT label) FILTER (decision <> 'unsure') AS kinds, max(label) FILTER (decision <> 'unsure') AS label, array_to_string(list_sort(list(reviewer)), ',') AS reviewers FROM l GROUP BY asset_id)
+  SELECT asset_id, CASE WHEN labels = 0 THEN 'unsure' WHEN kinds = 1 THEN 'done' ELSE 'disputed' END AS status, CASE WHEN labels > 0 AND kinds = 1 THEN label ELSE '' END AS final_label, reviewers FROM s""")
 def i1_i2_decision_stream(spark, sf_dir):
-    """Status of each asset after the decision log has gone through the stream in files."""
+    """Status of each asset after the decision log has gone through the stream in files, a file a batch."""
     import uuid
 
     from cartolith.session import shared_folder
     from cartolith.streaming import decisions
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    log = view(spark, sf_dir, "decisions_fx")
-    log.repartition(3).write.json(f"{base}/log")
-    run = decisions.keep_status(decisions.read_log(spark, f"{base}/log"), f"{base}/entries", f"{base}/status", f"{base}/checkpoint")
+    view(spark, sf_dir, "decisions_fx").repartition(3).write.json(f"{base}/log")
+    run = decisions.keep_status(decisions.read_log(spark, f"{base}/log"), f"{base}/status", f"{base}/checkpoint")
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{base}/status/v={last}").withColumn("reviewers", F.array_join("reviewers", ","))
+    return decisions.current_status(spark, f"{base}/status").withColumn("reviewers", F.array_join("reviewers", ","))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +129,25 @@ def load_arrays(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, shape array<int>, data array<float>")
 
 
+def save_arrays(df: DataFrame, folder: str) -> None:
+    """Arrays (shape, data) as .npy files, one a row, named by a hash of their path. The folder is one that executors can write to.
+
+    A file is written under another name and renamed, so that a task that runs again leaves no broken one.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, shape, data in zip(batch.path, batch["shape"], batch.data, strict=True):
+                name = f"{folder}/{hashlib.md5(path.encode()).hexdigest()}"
+                with open(f"{name}.{uuid.uuid4().hex}.part", "wb") as f:
+                    np.save(f, np.asarray(data, "float32").reshape([int(n) for n in shape]), allow_pickle=False)
+                os.replace(f.name, f"{name}.npy")
+            yield batch[["path"]]
+
+    df.select("path", "shape", "data").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def tolerant_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of documents with a byte order mark or trailing text; features without coordinates go."""
     text = spark.read.text(path, wholetext=True)

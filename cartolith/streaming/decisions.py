@@ -1,18 +1,29 @@
-"""The decision log as a stream: latest decisions and their status kept current."""
+"""The decision log as a stream: latest decisions and their status kept current.
+
+The state of an asset is the latest decision of each of its reviewers, kept in the engine's state store by asset; a batch
+touches the assets that it brings decisions for, and only their new statuses are written.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cartolith.operators.review import latest, status
+from cartolith.operators.review import status
 
 LOG_SCHEMA = "asset_id string, reviewer string, decision string, label string, note string, at timestamp, line long"
+#: Latest decisions of an asset: one entry for each reviewer, in parallel arrays.
+STATE = "reviewer array<string>, decision array<string>, label array<string>, at array<long>, line array<long>"
+ENTRY = "asset_id string, reviewer string, decision string, label string, version long"
 
 
-def read_log(spark: SparkSession, folder: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    """JSON-lines files as they arrive."""
-    return spark.readStream.schema(schema).json(folder)
+def read_log(spark: SparkSession, folder: str, schema: str = LOG_SCHEMA, files: int = 1) -> DataFrame:
+    """JSON-lines files as they arrive, so many a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
 def latest_stream(log: DataFrame) -> DataFrame:
@@ -21,22 +32,45 @@ def latest_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("asset_id", "reviewer").agg(last).select("asset_id", "reviewer", "e.*")
 
 
-def keep_status(log: DataFrame, entries_path: str, status_path: str, checkpoint: str):
-    """Starts a query that keeps two tables current: latest decisions and status by asset.
+def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Takes an asset's new decisions into its state and returns all its latest ones."""
+    held = {}
+    if state.exists:
+        held = {r: (at, line, d, label) for r, d, label, at, line in zip(*state.get, strict=True)}
+    for part in parts:
+        times = part["at"].astype("int64")
+        for reviewer, decision, label, at, line in zip(part.reviewer, part.decision, part.label, times, part.line, strict=True):
+            new = (int(at), int(line), decision, label)
+            if reviewer not in held or new[:2] > held[reviewer][:2]:
+                held[reviewer] = new
+    names = sorted(held)
+    columns = [[held[n][i] for n in names] for i in (2, 3, 0, 1)]
+    state.update((names, *columns))
+    yield pd.DataFrame({"asset_id": key[0], "reviewer": names, "decision": columns[0], "label": columns[1], "version": max(columns[3])})
+
+
+def keep_status(log: DataFrame, status_path: str, checkpoint: str):
+    """Starts a query that appends the status of the assets that each batch changes under the batch's number.
 
-    Each batch is merged into the latest decisions under a version of its own, so a batch that is run again after a failure
-    writes the same tables again.
+    A batch that is run again after a failure overwrites its own folder. ``current_status`` reads the latest of each asset.
     """
-    spark = log.sparkSession
+    rows = log.select("asset_id", "reviewer", "decision", "label", "at", "line").groupBy("asset_id")
+    latest = rows.applyInPandasWithState(fold, ENTRY, STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def put(batch: DataFrame, number: int) -> None:
+        status(batch).write.mode("overwrite").parquet(f"{status_path}/batch={number}")
+
+    return latest.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STATUS = "asset_id string, status string, final_label string, reviewers array<string>, batch long"
 
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch.select("asset_id", "reviewer", "decision", "label", "note", "at", "line"), ("at", "line"))
-        if number > 0:
-            fresh = latest(spark.read.parquet(f"{entries_path}/v={number - 1}").unionByName(fresh), ("at", "line"))
-        fresh.write.mode("overwrite").parquet(f"{entries_path}/v={number}")
-        status(spark.read.parquet(f"{entries_path}/v={number}")).write.mode("overwrite").parquet(f"{status_path}/v={number}")
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_status(spark: SparkSession, status_path: str) -> DataFrame:
+    """The latest status of each asset; none before the first batch."""
+    rows = spark.read.schema(STATUS).option("basePath", status_path).parquet(f"{status_path}/batch=*")
+    last = F.max_by(F.struct("status", "final_label", "reviewers"), "batch").alias("s")
+    return rows.groupBy("asset_id").agg(last).select("asset_id", "s.*")
 
 
 def pending_stream(assets: DataFrame, completed: DataFrame, key: str = "asset_id") -> DataFrame:

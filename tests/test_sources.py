@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions.names import DX, TX
-from cartolith.operators import evidence, tiles
+from cartolith.functions import tags
+from cartolith.operators import evidence, queue, reconcile, sampling, tiles
 from cartolith.sources import registers, tables
 from cartolith.streaming import decisions
 
@@ -65,6 +66,98 @@ def test_decision_logs_in_batch_and_stream(spark, tmp_path):
     assert [r.decision for r in spark.table("latest").collect()] == ["relabel"]
 
 
+def test_status_stream_resumes_and_takes_late_lines(spark, tmp_path):
+    def put(name, lines):
+        os.makedirs(f"{tmp_path}/log", exist_ok=True)
+        with open(f"{tmp_path}/log/{name}.json", "w") as f:
+            f.writelines(json.dumps(dict(zip(("asset_id", "reviewer", "decision", "label", "at", "line"), x, strict=True))) + "\n" for x in lines)
+
+    def run():
+        q = decisions.keep_status(decisions.read_log(spark, f"{tmp_path}/log"), f"{tmp_path}/status", f"{tmp_path}/checkpoint")
+        q.awaitTermination()
+        return {r.asset_id: (r.status, r.final_label, list(r.reviewers)) for r in decisions.current_status(spark, f"{tmp_path}/status").collect()}
+
+    day = lambda d: f"2026-01-0{d}T00:00:00"
+    put("one", [("a", "r", "accept", "x", day(1), 1), ("b", "r", "unsure", "", day(1), 2), ("c", "r", "accept", "x", day(1), 3)])
+    assert run() == {"a": ("done", "x", ["r"]), "b": ("unsure", "", ["r"]), "c": ("done", "x", ["r"])}
+    # a second run knows the first one's state: another reviewer, a later word, and a line older than what is known
+    put("two", [("a", "s", "relabel", "y", day(2), 4), ("b", "r", "accept", "z", day(2), 5), ("c", "r", "unsure", "", "2025-12-31T00:00:00", 6)])
+    assert run() == {"a": ("disputed", "", ["r", "s"]), "b": ("done", "z", ["r"]), "c": ("done", "x", ["r"])}
+    assert run()["a"][0] == "disputed"
+
+
+def test_pending_tiles_of_a_stream_are_not_done_twice(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in")
+    (tmp_path / "in" / "a.json").write_text('{"asset_id": "a"}\n{"asset_id": "b"}\n')
+    done = spark.createDataFrame([("b",)], "asset_id string")
+
+    def run():
+        rows = decisions.pending_stream(spark.readStream.schema("asset_id string").json(f"{tmp_path}/in"), done)
+        rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.asset_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == ["a"]
+    (tmp_path / "in" / "b.json").write_text('{"asset_id": "c"}\n')
+    assert run() == ["a", "c"]
+
+
+def test_writers_and_batches(spark, tmp_path):
+    nodes = spark.createDataFrame([("node", 1, {"power": "plant"}), ("node", 2, {}), ("node", 3, {"x": "y"})], "osm_type string, osm_id long, tags map<string,string>")
+    ways = spark.createDataFrame([("way", 9, [2, 4])], "osm_type string, osm_id long, refs array<long>")
+    relations = spark.createDataFrame([([("node", 3), ("way", 9)],)], "members array<struct<type string, ref long>>")
+    assert sorted(r.osm_id for r in tags.needed_nodes(nodes, ways, relations).collect()) == [1, 2, 3]
+    assert tables.candidates(nodes, ways, ways.withColumn("area_m2", F.lit(1.0))).count() == 5
+
+    records = spark.createDataFrame([("asia", "energy", "a", ["naip", "sentinel1"], [1.0])], "region string, sector string, asset_id string, modalities array<string>, box array<double>")
+    tables.save_dataset(records, f"{tmp_path}/set")
+    assert spark.read.csv(f"{tmp_path}/set/summary", header=True).first().modalities == "naip+sentinel1"
+    assert spark.read.json(f"{tmp_path}/set/records").first().region == "asia"
+
+    entry = spark.createDataFrame([("a", "r", "accept", "x", "", "2026-01-01")], "asset_id string, reviewer string, decision string, label string, note string, at string")
+    for _ in range(2):
+        tables.append_decisions(entry, f"{tmp_path}/decisions")
+    assert spark.read.json(f"{tmp_path}/decisions").count() == 2
+    tables.save_results(spark.createDataFrame([("m", 0.5), ("n", 0.25)], "model string, f1 double"), f"{tmp_path}/results")
+    assert json.loads(spark.read.text(f"{tmp_path}/results").first().value)["n"] == 2
+
+    for batch, rows in (("batch_1", [{"id": "a"}]), ("batch_2", [{"id": "b"}, {"id": "c"}])):
+        os.makedirs(f"{tmp_path}/agents/{batch}")
+        with open(f"{tmp_path}/agents/{batch}/decisions.json", "w") as f:
+            json.dump(rows, f)
+    made = tables.load_batches(spark, f"{tmp_path}/agents", "id string")
+    assert sorted((r.batch, r.id) for r in made.collect()) == [("batch_1", "a"), ("batch_2", "b"), ("batch_2", "c")]
+    packets = spark.createDataFrame([("batch_1",), ("batch_3",)], "batch string")
+    assert [r.batch for r in tables.missing_batches(spark, packets, made).collect()] == ["batch_3"]
+    some = spark.createDataFrame([("1", "P", "solar", "2.5", "10", "20"), ("2", "Q", "wind", None, "0", "20")], "Plant_Code string, Plant_Name string, PrimSource string, Total_MW string, Latitude string, Longitude string")
+    assert [tuple(r) for r in registers.plants(some).collect()] == [(1, "P", "solar", 2.5, 10.0, 20.0)]
+
+    image = spark.createDataFrame([("p", [1, 2, 3], [float(x) for x in range(6)])], "path string, shape array<int>, data array<double>")
+    tables.save_arrays(image, f"{tmp_path}/arrays")
+    back = tables.load_arrays(spark, f"{tmp_path}/arrays/*.npy").first()
+    assert list(back.shape) == [1, 2, 3] and list(back.data) == [float(x) for x in range(6)]
+
+
+def test_small_rules(spark):
+    stored = spark.createDataFrame([("a", "x", 1)], "asset_id string, asset_type string, draw long")
+    fresh = spark.createDataFrame([("b", "x", 1), ("c", "y", 1)], "asset_id string, asset_type string, draw long")
+    assert sorted(r.asset_id for r in sampling.persisted_sample(stored, fresh).collect()) == ["a", "c"]
+    pins = spark.createDataFrame([("a", {"naip": "s"}), ("b", {})], "asset_id string, pinned map<string,string>")
+    queue.require_pins(pins, allow_partial=True)
+    queue.require_pins(pins.filter("asset_id = 'a'"))
+    with pytest.raises(ValueError):
+        queue.require_pins(pins)
+    frames = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "asset_id string, taken long")
+    assert sorted(map(tuple, tiles.numbered_windows(frames, ["asset_id"], "taken").collect())) == [("a", 1, 0), ("a", 3, 1), ("b", 2, 0)]
+    with pytest.raises(ValueError):
+        reconcile.run_log(spark.createDataFrame([("r", 1, 2)], "region string, seq long, surprise long"), [])
+    rows = spark.createDataFrame([("a", "accept", "x", " n "), ("b", "relabel", "y", ""), ("c", "unsure", "", "")], "asset_id string, decision string, label string, note string")
+    known = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")], "asset_id string, asset_type string")
+    sent = queue.exported(known, rows)
+    assert {r.asset_id: (r.verdict, r.cls) for r in sent.collect()} == {"a": ("true", ""), "b": ("false", "y"), "c": ("false", ""), "d": ("", "")}
+    back = queue.imported(sent, known, "r").select("asset_id", "decision", "label")
+    assert sorted(map(tuple, back.collect())) == [("a", "accept", "x"), ("b", "relabel", "y"), ("c", "unsure", "")]
+
+
 def test_arrays_and_geojson(spark, tmp_path):
     np.save(f"{tmp_path}/t.npy", np.arange(6, dtype="uint8").reshape(1, 2, 3))
     row = tables.load_arrays(spark, f"{tmp_path}/*.npy").first()
@@ -86,6 +179,41 @@ def test_registers(spark):
     assert [[(e.lat, e.lon) for e in r.ends] for r in registers.lines_from_paths(paths, 100, None, ("B",)).collect()] == [[(1.0, 0.0), (5.0, 4.0)]]
 
 
+def test_registers_that_copy_the_map_do_not_confirm_it(spark):
+    rows = [("Alpha RAILWAY STATION", "Operational", "OSM", "VIC"), ("Beta  RAILWAY STATION", "Abandoned", "state survey", None), ("Gamma", None, None, "NSW")]
+    df = spark.createDataFrame([(*r, 1.0, 2.0) for r in rows], "name string, operationalstatus string, feature_source string, state string, lat double, lon double")
+    got = [(r.name, r.detail, r.inactive) for r in registers.national_stations(df).collect()]
+    assert got == [("Beta", "GA station, abandoned, ", True), ("Gamma", "GA station, , NSW", False)]
+
+
+def test_schematic_nodes_have_the_voltages_of_their_lines(spark):
+    points = spark.createDataFrame([("Fes", "city", None, 34.0, -5.0), ("", "plant", None, 1.0, 1.0), ("Sub", None, "220/110 kV", 2.0, 2.0), ("Bare", None, "", 3.0, 3.0)], "name string, node_type string, text string, lat double, lon double")
+    lines = spark.createDataFrame([(400.0, ["Fes", "Meknes"]), (225.0, ["Fes"]), (None, ["Fes"])], "kv double, nodes array<string>")
+    got = [r.detail for r in registers.schematic_points(points, lines).orderBy("lat", ascending=False).collect()]
+    assert got == ["a grid node at Fes (city) on 400/225 kV lines", "a substation", "a 220 kV substation", "a grid node at an unnamed place (plant)"]
+    lines = spark.createDataFrame([(1, [[[0.0, 1.0], [2.0, 3.0]]])], "line_id long, paths array<array<array<double>>>")
+    assert [(r.kv, [tuple(e) for e in r.ends]) for r in registers.feeder_lines(lines).collect()] == [(20.0, [(1.0, 0.0), (3.0, 2.0)])]
+
+
+def test_line_texts(spark):
+    tile = spark.createDataFrame([("t", "Riverside substation", 0.0, 0.0), ("p", "x", 0.5, 0.0), ("far", "x", 10.0, 0.0)], "asset_id string, name string, lat double, lon double")
+    at = lambda lat, lon: {"lat": lat, "lon": lon}
+    rows = [
+        (1, 345.0, False, "RIVERSIDE", "UNKNOWN7", [at(0.001, 0.0), at(0.2, 0.0)]), (2, 138.0, True, "TAP 9", "Elm", [at(0.0, 0.001), at(0.0, 0.2)]),
+        (3, None, False, "RIVERSIDE", None, [at(0.0, 0.0), at(-0.2, 0.0)]), (4, 69.0, False, "a", "b", [at(0.5, -0.2), at(0.5, 0.2)]),
+    ]
+    lines = spark.createDataFrame(rows, "line_id long, kv double, traced boolean, sub_1 string, sub_2 string, ends array<struct<lat double, lon double>>")
+    got = {r.asset_id: r for r in evidence.traced_line_evidence(tile, lines, "HIFLD").collect()}
+    t = got["t"]
+    assert (t.lines_end, t.max_kv, t.names, t.name_match, t.traced_lines, t.transmission) == (3, 345.0, "RIVERSIDE; Elm", True, 1, True)
+    assert t.text == (
+        "HIFLD: 3 line(s) end here (345/138 kV, 1 unknown voltage, 1 traced from OSM) | HIFLD line ends named: RIVERSIDE, Elm (matches OSM name)"
+        " | Caution: 1 of these HIFLD lines were traced from OSM, so they don't count as independent"
+    )
+    assert got["p"].text == "HIFLD: no line ends here; 1 pass within 300 m (69 kV)" and not got["p"].transmission
+    assert (got["far"].text, got["far"].max_kv) == ("HIFLD: no transmission line within 300 m", None)
+
+
 def test_evidence_texts(spark):
     tile = spark.createDataFrame([("t", TX, "Riverside", 0.0, 0.0), ("u", evidence.UNTYPED, "x", 0.0, 0.0), ("far", TX, "x", 10.0, 0.0)], "asset_id string, asset_type string, name string, lat double, lon double")
     point = spark.createDataFrame([(1, "Riverside yard", 0.001, 0.0, "66 kV", DX, False)], "point_id long, name string, lat double, lon double, detail string, implies string, inactive boolean")
