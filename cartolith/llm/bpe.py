@@ -3,11 +3,14 @@
 Each byte is mapped to one printable character, each vocabulary entry to the string of its bytes' characters; entry of
 rank r becomes a piece with score -r, after the unknown piece at id 0, under identity normalisation. Merging the best
 scored neighbours first is then merging the lowest rank first. Texts are split into pre-tokens, each is encoded by
-itself (a pre-token that is an entry is that entry), and ids are decoded by the inverse mapping.
+itself, and ids are decoded by the inverse mapping. A pre-token that is an entry is that entry, as the ranks demand, and
+needs no model: on running prose most occurrences are such. All others go through the model, each different one once while
+it stays in a task's cache (``CACHE`` of them; a long text is looked up in parts, so memory is bounded).
 
 The vocabulary is read once on the driver (a fixed file of about 1 MB) and sent with the function. Defined results: a
 null text counts as empty, an empty text has no ids; ids may be any integers of the file; characters outside the basic
-plane and lone control characters are bytes like all others.
+plane and lone control characters are bytes like all others; repeated rows are coded alike, each for itself; an empty table
+gives no rows; null ids stay null; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -12,12 +12,14 @@ may have any name.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import documents, running_totals, written
+from cartolith.llm.shared import documents, running_totals, settled, written
 
 SHARDS = 40
 OVERHEAD = 16
@@ -57,6 +59,7 @@ def byte_cuts(placed: DataFrame, total: int, shards: int, slack: float) -> list[
     return cuts
 
 
+@settled
 def shard(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """Shard and slot of every row. rows: columns doc_id, digest, size (long) and any others, cheap to read again.
 
@@ -65,14 +68,25 @@ def shard(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFr
     placed = written(running_totals(rows, ["digest", "doc_id"], "size"), "sharding-placed")
     total = placed.agg(F.sum("size")).first()[0] or 0
     cuts = byte_cuts(placed, total, shards, slack)
-    number = sum(((F.col("before") >= c).cast("int") for c in cuts), F.lit(0))
-    dealt = placed.withColumn("shard", number.cast("int"))
+    dealt = numbered(placed, cuts)
     first = dealt.groupBy("shard").agg(F.min("position").alias("first"))  # one row a shard
     return dealt.join(F.broadcast(first), "shard").select(
         *rows.columns, "shard", (F.col("position") - F.col("first")).alias("slot")
     )
 
 
+def numbered(placed: DataFrame, cuts: list[int]) -> DataFrame:
+    """Adds shard, the number of cuts at or below a row's offset, by binary search over the different cuts."""
+    edges = sorted(set(cuts))
+    if not edges:
+        return placed.withColumn("shard", F.lit(0))
+    splits = [-math.inf, *map(float, edges), math.inf]
+    at = Bucketizer(splits=splits, inputCol="at_", outputCol="edge_").transform(placed.withColumn("at_", F.col("before").cast("double")))
+    # a row larger than a shard can hold several cuts: as many shards stay empty
+    below = F.array(F.lit(0), *(F.lit(bisect_right(cuts, e)) for e in edges))
+    return at.withColumn("shard", F.get(below, F.col("edge_").cast("int"))).drop("at_", "edge_")
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     text = F.coalesce("text", F.lit(""))
