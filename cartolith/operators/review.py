@@ -119,11 +119,27 @@ def role_scores(agents: DataFrame, role: str) -> DataFrame:
     ).withColumn("role", F.lit(role))
 
 
+THRESHOLDS = tuple((50 + 5 * i) / 100 for i in range(11))
+
+
 def sweep(agents: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Scores at the thresholds 0.50, 0.55, ... 1.00 over decided tiles."""
-    steps = agents.sparkSession.range(11).select(((F.col("id") * 5 + 50) / 100).alias("threshold"))
-    every = agents.filter("human is not null").join(F.broadcast(steps), how="cross")  # eleven rows a tile
-    return agent_scores(routed(every, F.col("threshold")), (*group, "threshold"))
+    """Scores at the thresholds 0.50, 0.55, ... 1.00 over decided tiles.
+
+    Tiles are counted once by the number of thresholds that their lower confidence reaches: twelve rows a group at most, which
+    are then summed up for each threshold.
+    """
+    steps = F.array(*(F.lit(t) for t in THRESHOLDS))
+    base = routed(agents.filter("human is not null"), 0.0)
+    base = base.withColumn("reached", F.size(F.filter(steps, lambda t: F.least("a_confidence", "b_confidence") >= t)))
+    counts = agent_scores(base, (*group, "reached")).drop("coverage", "selective_error")
+    counts = counts.select("*", F.posexplode(steps).alias("step", "threshold"))
+    sums = ("automatic", "resolved", "wrong", "false_confirms", "false_relabels")
+    sure = F.col("reached") > F.col("step")
+    out = counts.groupBy(*group, "threshold").agg(F.sum("scored").alias("scored"), *(F.sum(F.when(sure, F.col(c)).otherwise(0)).alias(c) for c in sums))
+    return out.select(
+        *group, "threshold", "scored", "automatic", F.round(F.col("automatic") / F.col("scored"), 3).alias("coverage"), "resolved", "wrong",
+        "false_confirms", "false_relabels", F.round(F.try_divide("wrong", "resolved"), 3).alias("selective_error"),
+    )
 
 
 def chosen_threshold(swept: DataFrame, target_error: float = 0.05) -> DataFrame:
@@ -134,9 +150,9 @@ def chosen_threshold(swept: DataFrame, target_error: float = 0.05) -> DataFrame:
 
 def calibrate(agents: DataFrame, target_error: float = 0.05, group: tuple[str, ...] = ()) -> DataFrame:
     """Threshold chosen on the calibration half, scores of the held-out half at it."""
-    chosen = chosen_threshold(sweep(agents.filter("half = 'calibration'")), target_error)
-    held = agents.filter("half = 'heldout' and human is not null").join(F.broadcast(chosen), how="cross")
-    return agent_scores(routed(held, F.col("threshold")), (*group, "threshold"))
+    chosen = chosen_threshold(sweep(agents.filter("half = 'calibration'")), target_error).first()["threshold"]
+    held = routed(agents.filter("half = 'heldout' and human is not null"), chosen)
+    return agent_scores(held.withColumn("threshold", F.lit(chosen)), (*group, "threshold"))
 
 
 def disputes(agents: DataFrame, threshold: float) -> DataFrame:

@@ -211,11 +211,12 @@ def stretched(tiles: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     return tiles.mapInPandas(run, tiles.schema)
 
 
-def best_scenes(tiles: DataFrame, scenes: DataFrame, start: str, end: str, platform: str | None = None, cell: float = 5.0) -> DataFrame:
+def best_scenes(tiles: DataFrame, scenes: DataFrame, start: str, end: str, platform: str | None = None, cell: float = 2.0) -> DataFrame:
     """asset_id, item_id, cloud, below_limit: the least cloudy scene over a tile in a window of dates; missing cloud is 100.
 
     tiles: asset_id, minx .. maxy; scenes: item_id, taken, cloud_cover, platform, minx .. maxy, scene_rank. Both meet in the
-    cells of a grid that their boxes touch; a scene is kept in the first cell it shares with a tile.
+    cells of a grid that their boxes touch. ``cell`` is the side of a cell in degrees, best near that of a scene; a smaller one
+    means fewer scenes a tile and more copies of each scene.
     """
     found = scenes.filter((F.col("taken") >= start) & (F.col("taken") < end))
     if platform:
