@@ -269,6 +269,23 @@ def windows(end: str, count: int, days: int, spark) -> DataFrame:
     return spark.range(count).select("id", F.date_sub(F.lit(end).cast("date"), ((k + 1) * days).cast("int")).alias("start"), F.date_sub(F.lit(end).cast("date"), (k * days).cast("int")).alias("stop"))
 
 
+#: First and last day of the seasons of a year (fixed values).
+SEASONS = (("01-01", "03-31"), ("04-01", "06-30"), ("07-01", "09-30"), ("10-01", "12-31"))
+
+
+def seasons(years: DataFrame, count: int) -> DataFrame:
+    """year, season, start, stop, place: the seasons of ``count`` years up to each last one, in the order of a stack.
+
+    Years ascend, and inside a year the seasons descend, as in a list built from the newest year back and reversed.
+    """
+    year = years.select(F.explode(F.sequence(F.col("last") - (count - 1), F.col("last"))).alias("year")).distinct()
+    spans = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SEASONS))
+    rows = year.select("year", F.posexplode(spans).alias("season", "d"))
+    day = lambda c: F.concat(F.col("year").cast("string"), F.lit("-"), F.col(f"d.{c}"))
+    place = F.row_number().over(Window.orderBy("year", F.desc("season"))) - 1  # four rows a year
+    return rows.select("year", "season", day("a").alias("start"), day("b").alias("stop"), place.alias("place"))
+
+
 def stacked(frames: DataFrame, count: int, packed: bool = False) -> DataFrame:
     """One row for each asset with count frames in order; missing ones are null, or at the end if packed. frames: asset_id, window, frame."""
     listed = frames.groupBy("asset_id").agg(F.map_from_entries(F.collect_list(F.struct("window", "frame"))).alias("m"))

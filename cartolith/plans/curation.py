@@ -103,10 +103,13 @@ def b25_max_kv(spark, sf_dir):
     return elements(spark, sf_dir).select("osm_type", "osm_id", tags.max_kv(F.col("tags")["voltage"]).alias("max_kv"))
 
 
-@query("""SELECT osm_id, 'OSM tags: ' || concat_ws(', ', 'power=' || t_power, 'substation=' || t_substation, 'voltage=' || voltage, 'plant:source=' || t_source,
+HINTS = """SELECT osm_id, 'OSM tags: ' || concat_ws(', ', 'power=' || t_power, 'substation=' || t_substation, 'voltage=' || voltage, 'plant:source=' || t_source,
   'railway=' || t_railway, 'aeroway=' || t_aeroway, 'man_made=' || t_man_made, 'content=' || t_content, 'harbour=' || t_harbour, 'building=' || t_building)
   || CASE WHEN kv > 0 THEN ' (max ' || CAST(CAST(kv AS BIGINT) AS VARCHAR) || ' kV)' ELSE '' END AS hint
-  FROM (SELECT *, greatest(CAST(split_part(voltage, ';', 1) AS BIGINT), CAST(split_part(voltage, ';', 2) AS BIGINT)) / 1000 AS kv FROM elements_fx) e""")
+  FROM (SELECT *, greatest(CAST(split_part(voltage, ';', 1) AS BIGINT), CAST(split_part(voltage, ';', 2) AS BIGINT)) / 1000 AS kv FROM elements_fx) e"""
+
+
+@query(HINTS)
 def b27_tag_hints(spark, sf_dir):
     return elements(spark, sf_dir).select("osm_id", tags.hint_text(F.col("tags")).alias("hint"))
 

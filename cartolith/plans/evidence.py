@@ -124,11 +124,10 @@ def g18_grid_line_evidence(spark, sf_dir):
     return e.select("asset_id", "corroborated", F.col("text").startswith("Caution").alias("caution"), F.col("text").contains("end here").alias("ends"))
 
 
-@query(f"SELECT asset_id, point_id, round(d / 1000, 1) AS km FROM ({near_sql(5000)}) z WHERE n = 1")
+@query(f"SELECT asset_id, asset_type, 'map' AS source, 'Schematic map (map): ' || detail || ' about ' || printf('%.1f', round(d / 1000, 1)) || ' km away' AS text, false AS corroborated, false AS auto_ok FROM ({near_sql(5000)}) z WHERE n = 1")
 def c8_schematic(spark, sf_dir):
-    """The nearest schematic entry within 5 km."""
-    near = evidence.nearest(tiles(spark, sf_dir), points(spark, sf_dir), 5000, 1, "point_id")
-    return near.select("asset_id", F.col("r_point_id").alias("point_id"), F.round(F.col("distance_m") / 1000, 1).alias("km"))
+    """The nearest schematic entry within 5 km, as a pointer that never confirms."""
+    return evidence.schematic_evidence(tiles(spark, sf_dir), points(spark, sf_dir), "map")
 
 
 @query("""SELECT node, list_sort(list(DISTINCT kv)) AS kvs FROM (SELECT sub_1 AS node, kv FROM lines_fx UNION ALL SELECT sub_2, kv FROM lines_fx) n WHERE kv IS NOT NULL GROUP BY node""")

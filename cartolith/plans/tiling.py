@@ -112,12 +112,16 @@ def g7_bands(spark, sf_dir):
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: least(10e0, greatest(-30e0, CASE WHEN x > 0 THEN 10 * log10(CAST(x AS DOUBLE)) ELSE -30e0 END)))), 4) AS sar,
-  round(list_sum(list_transform(embedding, lambda x: least(350e0, greatest(200e0, CAST(x AS DOUBLE) * 0.00341802e0 + 149e0)))), 4) AS thermal FROM embeddings""")
+  round(list_sum(list_transform(embedding, lambda x: least(350e0, greatest(200e0, CAST(x AS DOUBLE) * 0.00341802e0 + 149e0)))), 4) AS thermal,
+  list_sum(list_transform(embedding, lambda x: floor(least(255e0, greatest(0e0, CAST(x AS DOUBLE) * 255e0))))) AS optical,
+  list_sum(list_transform(embedding, lambda x: floor(least(255e0, greatest(0e0, CAST(x AS DOUBLE) * 32768e0 * (1 / 1e4) * 255e0))))) AS counts FROM embeddings""")
 def g4_normalise(spark, sf_dir):
     """Sums of scaled pixels."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("d", F.col("embedding").cast("array<double>"))
     total = lambda kind: F.round(F.aggregate(tiles.normalised(F.col("d"), kind), F.lit(0.0), lambda a, x: a + x), 4)
-    return e.select("vec_id", total("sar").alias("sar"), total("thermal").alias("thermal"))
+    plain = lambda c: F.aggregate(tiles.normalised(c, "optical").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    counts = F.transform("d", lambda x: x * 32768.0)  # over 1: reflectance in ten thousandths
+    return e.select("vec_id", total("sar").alias("sar"), total("thermal").alias("thermal"), plain(F.col("d")).alias("optical"), plain(counts).alias("counts"))
 
 
 @query("""SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0""")
@@ -241,6 +245,14 @@ def d3_d4_manifest_rollup(spark, sf_dir):
     return r.select(*(F.round(c, 6).alias(c) if c[:4] in ("min_", "max_") else c for c in r.columns))
 
 
+@query("""SELECT year, season, start, stop, row_number() OVER (ORDER BY year, season DESC) - 1 AS place FROM (SELECT DISTINCT CAST(year(ts) AS INT) - y AS year FROM events, (VALUES (0), (1)) v(y)) e,
+  (VALUES (0, '01-01', '03-31'), (1, '04-01', '06-30'), (2, '07-01', '09-30'), (3, '10-01', '12-31')) s(season, a, b), LATERAL (SELECT year || '-' || a AS start, year || '-' || b AS stop) d""")
+def e25_seasons(spark, sf_dir):
+    """Seasons of the years of the events and of the year before each, the newest year last."""
+    years = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.year("ts").alias("last")).distinct()
+    return tiles.seasons(years, 2)
+
+
 @query("""SELECT asset_id, list(frame ORDER BY w) AS frames, max_by(frame, w) AS last_frame FROM (SELECT site AS asset_id, CAST(pos % 4 AS INT) AS w, asset_id AS frame FROM assets_fx) f GROUP BY asset_id""")
 def g11_e25_stacks(spark, sf_dir):
     """Four frames of each site in order."""
