@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -39,8 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths written inside each call of a ``settled`` function that is running, innermost last.
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths written inside each call of a ``settled`` function that is running in this thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -48,8 +55,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,11 +65,11 @@ def settled(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(run)
     def wrapper(*args, **kwargs) -> DataFrame:
-        _scopes.append([])
+        _scopes.open.append([])
         try:
             out = run(*args, **kwargs)
         finally:
-            paths = _scopes.pop()
+            paths = _scopes.open.pop()
         out = written(out, run.__name__)
         remove(out.sparkSession, paths)
         return out

@@ -236,3 +236,28 @@ def test_pixels(spark):
     assert min(flat["a"]) == 0 and max(flat["a"]) == 1 and flat["b"] == pytest.approx([7 / 255] * 16)
     spans = tiles.windows("2026-01-31", 3, 10, spark).orderBy("id").collect()
     assert str(spans[-1].stop) == "2026-01-31" and str(spans[0].start) == "2026-01-01"
+
+
+def test_settled_functions_leave_their_result_only(spark, tmp_path):
+    from cartolith import session
+
+    old = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+
+    @session.settled
+    def inner():
+        return session.written(spark.range(5), "inner-part").withColumn("x", F.lit(1))
+
+    @session.settled
+    def outer():
+        a = session.written(spark.range(5), "outer-part")
+        return a.join(inner(), "id")
+
+    try:
+        out = outer()
+        left = os.listdir(f"{tmp_path}/shared")
+        assert len(left) == 1 and left[0].startswith("outer-") and out.count() == 5
+        session.written(spark.range(1), "kept")
+        assert len(os.listdir(f"{tmp_path}/shared")) == 2
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
