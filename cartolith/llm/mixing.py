@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import documents, free_names, running_totals, settled, small, word_count, written
+from cartolith.llm.shared import documents, free_names, is_small, running_totals, settled, small, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -42,7 +42,10 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sizes = written(sizes.withColumn("last", F.col("source").isNull()), "mixing-sources")
-    ranked = running_totals(sizes, ["last", "source"], "source_size")
+    if is_small(sizes):  # a window over a row for each source; else without a task that sees all
+        ranked = sizes.withColumn("position", F.row_number().over(Window.orderBy("last", "source")) - 1)
+    else:
+        ranked = running_totals(sizes, ["last", "source"], "source_size")
     pick = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("position") % len(weights) + 1).cast("int"))
     ranked = written(
         ranked.select("source", "source_size", pick.alias("weight"), (F.col("source_size") * epochs).alias("cap")),
