@@ -26,6 +26,10 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: The folder of each local application that has none set.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -35,8 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # the setting itself can't be changed in a running application
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = _own_folders[application]
     return folder.rstrip("/")
 
 

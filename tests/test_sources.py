@@ -238,11 +238,10 @@ def test_pixels(spark):
     assert str(spans[-1].stop) == "2026-01-31" and str(spans[0].start) == "2026-01-01"
 
 
-def test_settled_functions_leave_their_result_only(spark, tmp_path):
+def test_settled_functions_leave_their_result_only(spark, tmp_path, monkeypatch):
     from cartolith import session
 
-    old = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
 
     @session.settled
     def inner():
@@ -253,11 +252,24 @@ def test_settled_functions_leave_their_result_only(spark, tmp_path):
         a = session.written(spark.range(5), "outer-part")
         return a.join(inner(), "id")
 
-    try:
-        out = outer()
-        left = os.listdir(f"{tmp_path}/shared")
-        assert len(left) == 1 and left[0].startswith("outer-") and out.count() == 5
-        session.written(spark.range(1), "kept")
-        assert len(os.listdir(f"{tmp_path}/shared")) == 2
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+    out = outer()
+    left = os.listdir(f"{tmp_path}/shared")
+    assert len(left) == 1 and left[0].startswith("outer-") and out.count() == 5
+    session.written(spark.range(1), "kept")
+    assert len(os.listdir(f"{tmp_path}/shared")) == 2
+
+
+def test_a_folder_of_its_own_only_on_a_local_master():
+    from types import SimpleNamespace
+
+    from cartolith import session
+
+    def fake(master, folder=None):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a1", getConf=lambda: conf))
+
+    assert session.shared_folder(fake("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    local = session.shared_folder(fake("local[2]"))
+    assert local.startswith("file://") and session.shared_folder(fake("local[2]")) == local
+    with pytest.raises(ValueError):
+        session.shared_folder(fake("yarn"))
