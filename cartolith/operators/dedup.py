@@ -47,19 +47,22 @@ def survivors(assets: DataFrame) -> DataFrame:
     assets: written table with radius_m.
     """
     columns = ["asset_type", "radius_m", "lat", "lon", "asset_id", "pos"]
-    open_ = written(in_fine_cells(assets.select(*columns)), "dedup-open")
+    open_ = in_fine_cells(assets.select(*columns))
     kept = []
     while True:
         first = open_.groupBy("asset_type", "fine_y", "fine_x").agg(F.min(F.struct("pos", "asset_id", "lat", "lon", "radius_m")).alias("h"))
-        heads = written(first.select("asset_type", *(f"h.{c}" for c in columns[1:])), "dedup-heads")
+        heads = first.select("asset_type", *(f"h.{c}" for c in columns[1:]))
         near = radius_join(heads, open_.select(*columns), F.col("radius_m"), ("asset_type",), DEDUP_R)
-        waits = near.filter(F.struct("r_pos", "r_asset_id") < F.struct("pos", "asset_id")).select("asset_id").distinct()
-        free = written(heads.join(waits, "asset_id", "left_anti"), "dedup-kept")
+        earlier = F.struct("r_pos", "r_asset_id") < F.struct("pos", "asset_id")
+        # a first row and all that it could close, itself too: some times as many rows as are open, however crowded they are
+        near = written(near.select("asset_id", F.col("r_asset_id").alias("closes"), earlier.alias("earlier")), "dedup-near")
+        free = near.groupBy("asset_id").agg(F.bool_or("earlier").alias("waits")).filter("not waits").select("asset_id")
+        free = written(free, "dedup-kept")
         kept.append(free)
-        closed = radius_join(free, open_.select(*columns), F.col("radius_m"), ("asset_type",), DEDUP_R).select(F.col("r_asset_id").alias("asset_id"))
-        open_ = written(open_.join(closed.distinct(), "asset_id", "left_anti"), "dedup-open")
+        closed = near.join(free, "asset_id", "left_semi").select(F.col("closes").alias("asset_id")).distinct()
+        open_ = written(open_.join(closed, "asset_id", "left_anti"), "dedup-open")
         if open_.isEmpty():
-            return reduce(DataFrame.union, kept)
+            return assets.select(*columns).join(reduce(DataFrame.union, kept), "asset_id", "left_semi")
 
 
 @settled

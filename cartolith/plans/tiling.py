@@ -30,7 +30,9 @@ def _large(spark, sf_dir):
     times = F.when(F.col("vec_id") % 7 == 0, 2).otherwise(5)
     old = F.transform("image.data", lambda x, i: F.when((F.col("vec_id") % 11 == 0) & (i < 8), 0.0).otherwise(x))
     side = times * 8
-    data = F.transform(F.sequence(F.lit(0), side * side - 1), lambda i: F.get(old, (F.floor(i / side / times) * 8 + F.floor(i % side / times)).cast("int")))
+    at = lambda i: (F.floor(i / side / times) * 8 + F.floor(i % side / times)).cast("int")
+    # the old pixels as the one element of an array, so that they are made once and not for each new pixel
+    data = F.transform(F.array(old), lambda q: F.transform(F.sequence(F.lit(0), side * side - 1), lambda i: F.get(q, at(i))))[0]
     image = F.when(F.col("image").isNotNull(), F.struct(F.lit(1).alias("c"), side.alias("h"), side.alias("w"), data.alias("data")))
     return t.withColumn("modalities", F.array(F.when(F.col("vec_id") % 3 == 0, "sentinel1").otherwise("naip"))).withColumn("image", image)
 
