@@ -179,6 +179,16 @@ def test_registers(spark):
     assert [[(e.lat, e.lon) for e in r.ends] for r in registers.lines_from_paths(paths, 100, None, ("B",)).collect()] == [[(1.0, 0.0), (5.0, 4.0)]]
 
 
+def test_first_registers(spark):
+    rail = spark.createDataFrame([("Union", "NY", "US", 1.0, 2.0), (None, "NY", "US", 1.0, 2.0), ("", "", "", 1.0, 2.0)], "PASSNGRSTN string, STATE string, COUNTRY string, lat double, lon double")
+    assert [tuple(r)[:4] for r in registers.rail_nodes(rail).collect()] == [("Union", 1.0, 2.0, "passenger station node, NY US")]
+    stops = spark.createDataFrame([("RLY", "active", "A", 1.0, 2.0, "910A"), ("RLY", "inactive", "B", 1.0, 2.0, "910B"), ("BCT", "active", "C", 1.0, 2.0, "1"), ("RLY", None, "D", 1.0, None, "2")], "StopType string, Status string, CommonName string, Latitude double, Longitude double, ATCOCode string")
+    assert [(r.name, r.detail) for r in registers.access_nodes(stops).collect()] == [("A", "national rail station 910A")]
+    sites = spark.createDataFrame([("P", "ACSTN", 1.0, 2.0), ("Q", "TEE", 1.0, 2.0)], "name string, type string, lat double, lon double")
+    assert [(r.name, r.detail, r.implies) for r in registers.grid_sites(sites).collect()] == [("P", "site ACSTN", TX)]
+    assert [r.implies for r in registers.zone_substations(sites).collect()] == [DX, DX]
+
+
 def test_registers_that_copy_the_map_do_not_confirm_it(spark):
     rows = [("Alpha RAILWAY STATION", "Operational", "OSM", "VIC"), ("Beta  RAILWAY STATION", "Abandoned", "state survey", None), ("Gamma", None, None, "NSW")]
     df = spark.createDataFrame([(*r, 1.0, 2.0) for r in rows], "name string, operationalstatus string, feature_source string, state string, lat double, lon double")
