@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL twins."""
 
 from cartolith.llm.bpe import op8_sentencepiece_byte_bpe
+from cartolith.llm.conversation_repair import op11_interval_parsing_repair
 from cartolith.llm.fingerprints import op2_prefix_hash_fingerprints
 from cartolith.llm.language import op6_bloom_language
 from cartolith.llm.mixing import op5_fair_queue_mix
@@ -24,6 +25,7 @@ QUERIES = {
         op8_sentencepiece_byte_bpe,
         op9_byte_shards,
         op10_dart_minhash_classes,
+        op11_interval_parsing_repair,
     )
 }
 
