@@ -10,6 +10,7 @@ from cartolith.llm.quality_classifier import op4_factorisation_machine_quality
 from cartolith.llm.quality_rules import op7_risk_controlled_rules
 from cartolith.llm.secret_scan import op1_secret_ownership
 from cartolith.llm.sharding import op9_byte_shards
+from cartolith.llm.source_divergence import OP13_SQL, op13_source_divergence
 from cartolith.llm.toxicity import op3_crf_toxicity
 
 QUERIES = {
@@ -26,11 +27,13 @@ QUERIES = {
         op9_byte_shards,
         op10_dart_minhash_classes,
         op11_interval_parsing_repair,
+        op13_source_divergence,
     )
 }
 
-#: Only the mix is within SQL: the others hash with state, train models or need crc32 and sha256 of ids and offsets.
+#: The mix and the audit of sources are within SQL: the others hash with state, train models or need crc32 and sha256 of ids and offsets.
 ORACLE_SQL: dict[str, str] = {
+    "op13_source_divergence": OP13_SQL,
     "op5_fair_queue_mix": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR))) AS k FROM documents),
