@@ -3,6 +3,7 @@
 from cartolith.llm.bpe import op8_sentencepiece_byte_bpe
 from cartolith.llm.conversation_repair import op11_interval_parsing_repair
 from cartolith.llm.fingerprints import op2_prefix_hash_fingerprints
+from cartolith.llm.html_content import op12_tree_model_content
 from cartolith.llm.language import op6_bloom_language
 from cartolith.llm.mixing import op5_fair_queue_mix
 from cartolith.llm.near_dedup import op10_dart_minhash_classes
@@ -27,6 +28,7 @@ QUERIES = {
         op9_byte_shards,
         op10_dart_minhash_classes,
         op11_interval_parsing_repair,
+        op12_tree_model_content,
         op13_source_divergence,
     )
 }
