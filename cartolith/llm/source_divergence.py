@@ -3,7 +3,7 @@
 CountVectorizer, with minDF and the largest vocabSize, turns documents into exact sparse vectors. Terms carry their language
 (``lang`` NUL ``term``), so that one vectorizer holds a vocabulary for each language, minDF being counted inside it. A
 vectorizer keeps its vocabulary on the driver and broadcasts it; terms are therefore split by hash into slices of about
-SLICE kept terms, counted beforehand on one term in SAMPLED, and each slice gets a vectorizer: its size is bounded however
+SLICE kept terms, counted beforehand on one term in SAMPLED (the terms are written once, all passes read them), and each slice gets a vectorizer: its size is bounded however
 large the corpus, and no term is lost. The vectors' entries are summed up by group where they are, before they are moved
 (as Summarizer does, but sparsely: a group's dense vector could be of any length).
 
@@ -20,7 +20,7 @@ rows; only text, lang and source are read, so other columns may have any name.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,9 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import documents, settled, small, written
+from cartolith.llm import kernel as K
+from cartolith.llm.shared import documents, mapped, settled, small, written
 
-#: Fixed value: a term is a run of letters and other characters beyond ASCII.
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LEAST_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
@@ -42,12 +41,38 @@ SLICE, SAMPLED = 500_000, 64
 BLOCK, TILE = 2048, 64
 
 
+#: Whatever isn't part of a term.
+BETWEEN = np.zeros(256, bool)
+BETWEEN[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+
+
+def tagged_terms(t: K.Texts, tags: list[bytes]) -> pa.ListArray:
+    """The lower-cased terms of each document, each after its document's tag."""
+    starts, ends, counts = t.runs(BETWEEN)
+    tag_of = np.repeat(np.fromiter(map(len, tags), np.int64, len(tags)), counts)
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(tag_of + lengths)])
+    out = np.zeros(offsets[-1], np.uint8)
+    out[np.arange(lengths.sum()) + np.repeat(np.cumsum(tag_of), lengths)] = K.LOWER[t.data[~BETWEEN[t.data]]]
+    doc = t.doc_of(counts)
+    for tag in set(tags):
+        own = offsets[:-1][np.fromiter((x == tag for x in tags), bool, len(tags))[doc]]
+        out[own[:, None] + np.arange(len(tag))] = np.frombuffer(tag, np.uint8)
+    terms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), terms)
+
+
 def worded(docs: DataFrame) -> DataFrame:
     """lang, source, terms (lang NUL term) of each document."""
-    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    tag = F.concat(F.coalesce("lang", F.lit("")), F.lit("\x00"))
-    terms = F.transform(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)), lambda t: F.concat(tag, t))
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), terms.alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, t in K.blocks(batch):
+                tags = [x.encode() + b"\x00" for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tagged_terms(t, tags)], ["lang", "source", "terms"])
+
+    held = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    return mapped(held, run, "lang string, source string, terms array<string>")
 
 
 def slices_for(words: DataFrame, least_docs: int, slice_terms: int) -> int:
@@ -70,7 +95,7 @@ def fitted(words: DataFrame, least_docs: int) -> CountVectorizerModel | None:
 
 def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE) -> DataFrame:
     """lang, source, term_id, term, count: occurrences of each kept term in each group that has it. Written tables."""
-    spark, words = docs.sparkSession, worded(docs)
+    spark, words = docs.sparkSession, written(worded(docs), "divergence-terms")
     n, out = slices_for(words, least_docs, slice_terms), None
     for i in range(n):
         some = words if n == 1 else words.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i))
