@@ -129,6 +129,44 @@ def test_a_crowd_keeps_few_and_needs_few_rounds(spark):
             assert distance(by[r.asset_id], by[r.deduplicated_by]) == pytest.approx(min(distance(by[r.asset_id], by[k]) for k in kept))
 
 
+def rounds_of(monkeypatch):
+    levels, real = [], dedup.widest_level
+    monkeypatch.setattr(dedup, "widest_level", lambda *a: levels.append(real(*a)) or levels[-1])
+    return levels
+
+
+def test_a_chain_takes_a_round_for_each_block_not_for_each_row(spark, monkeypatch):
+    # 175 m apart in order, the class's radius is 200 m: each row waits for the one before
+    rows = [(f"c{i:04d}", "energy.transmission.substation", 10.0, i * 175 / 111_320 / math.cos(math.radians(10)), i) for i in range(2000)]
+    levels = rounds_of(monkeypatch)
+    out = dedup.deduplicate(assets(spark, rows))
+    assert len(levels) == 1
+    assert {r.asset_id for r in out.collect() if r.kept} == {r[0] for r in rows[::2]}
+    # small blocks: rounds follow crossings of blocks
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 500)
+    levels.clear()
+    out = dedup.deduplicate(assets(spark, rows))
+    assert len(levels) < 10 and min(levels) >= 0
+    assert {r.asset_id for r in out.collect() if r.kept} == {r[0] for r in rows[::2]}
+
+
+@pytest.mark.parametrize("block_rows", [12, 6])
+def test_small_blocks_equal_the_walk(spark, monkeypatch, block_rows):
+    rng = random.Random(block_rows)
+    kinds = ("transport.train_station", "energy.transmission.substation")
+    spots = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(6)] + [(0.0, 179.999), (89.99, 0.0)]
+    rows = []
+    for i in range(400):
+        lat, lon = rng.choice(spots)
+        lon = (lon + rng.uniform(-0.02, 0.02) + 180) % 360 - 180
+        rows.append((f"a{i}", rng.choice(kinds), max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), lon, rng.randrange(200)))
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block_rows)
+    levels = rounds_of(monkeypatch)
+    out = dedup.deduplicate(assets(spark, rows)).collect()
+    assert {r.asset_id for r in out if r.kept} == greedy(rows) and len(out) == len(rows)
+    assert len(levels) > 1 and (block_rows > 6 or -1 in levels)
+
+
 def test_no_window_sees_a_whole_class(spark):
     rows = [(f"t{i}", "only", "r", "train", i) for i in range(900)]
     df = spark.createDataFrame(rows, "asset_id string, asset_type string, region string, split string, pos long").repartition(5)
