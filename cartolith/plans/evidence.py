@@ -156,6 +156,31 @@ def c7_lines_passing(spark, sf_dir):
     return evidence.passing_lines(tiles(spark, sf_dir), l.select("line_id", "kv", F.array(p, q).alias("ends")))
 
 
+#: Vertices of a path of each line: (path, how far along, lat, lon) as SQL; a fourth of the lines have a second path.
+_BENDS = (
+    (0, 0, "lat1 - up", "lon1 - rt"), (0, 1, "lat1 - up / 2", "lon1 + rt + 3e-3"), (0, 2, "lat1 + (line_id % 3) * 2e-3", "lon1 - 4e-3"), (0, 3, "lat1 + up", "lon1 + rt"),
+    (1, 0, "lat1 + 2e-2", "lon1 - 2e-2"), (1, 1, "lat1 + 2e-2", "lon1 + 1e-4"), (1, 2, "lat1 - 2e-2", "lon1 + 5e-4"),
+)
+_BENT = "(SELECT *, (line_id % 7 + 1) * 1e-2 AS up, (line_id % 5) * 1e-2 AS rt FROM lines_fx)"
+
+
+@query(f"""WITH pt AS ({" UNION ALL ".join(f"SELECT line_id, {p} AS path, {i} AS i, {y} AS lat, {x} AS lon FROM {_BENT} l WHERE {p} = 0 OR line_id % 4 = 0" for p, i, y, x in _BENDS)}),
+  seg AS (SELECT a.line_id, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM pt a JOIN pt b ON a.line_id = b.line_id AND a.path = b.path AND b.i = a.i + 1),
+  t AS (SELECT asset_id, line_id, (lon1 - a.lon) * cos(radians(a.lat)) * 111320e0 AS u1, (lat1 - a.lat) * 111320e0 AS v1, (lon2 - lon1) * cos(radians(a.lat)) * 111320e0 AS du, (lat2 - lat1) * 111320e0 AS dv
+    FROM assets_fx a JOIN seg l ON abs(l.lat1 - a.lat) < 2e-1 AND abs(l.lon1 - a.lon) < 2e-1),
+  c AS (SELECT asset_id, line_id, CASE WHEN abs(du) < 1e-9 THEN abs(u1) <= 300 ELSE true END AND CASE WHEN abs(dv) < 1e-9 THEN abs(v1) <= 300 ELSE true END AS inside,
+    greatest(0, CASE WHEN abs(du) < 1e-9 THEN 0 ELSE least((-300 - u1) / du, (300 - u1) / du) END, CASE WHEN abs(dv) < 1e-9 THEN 0 ELSE least((-300 - v1) / dv, (300 - v1) / dv) END) AS low,
+    least(1, CASE WHEN abs(du) < 1e-9 THEN 1 ELSE greatest((-300 - u1) / du, (300 - u1) / du) END, CASE WHEN abs(dv) < 1e-9 THEN 1 ELSE greatest((-300 - v1) / dv, (300 - v1) / dv) END) AS high FROM t),
+  e AS (SELECT a.asset_id, p.line_id FROM assets_fx a JOIN pt p ON abs(p.lat - a.lat) < 1e-1 AND abs(p.lon - a.lon) < 1e-1 WHERE (path, i) IN ((0, 0), (0, 3), (1, 0), (1, 2)) AND {haversine('a', 'p', EVIDENCE_R)} <= 400)
+  SELECT DISTINCT asset_id, line_id FROM c WHERE inside AND low <= high AND NOT EXISTS (SELECT 1 FROM e WHERE e.asset_id = c.asset_id AND e.line_id = c.line_id)""")
+def c7_bent_lines_passing(spark, sf_dir):
+    """Lines of several vertices, some of two paths, that cross a tile and end elsewhere."""
+    l = view(spark, sf_dir, "lines_fx").withColumn("up", (F.col("line_id") % 7 + 1) * 1e-2).withColumn("rt", (F.col("line_id") % 5) * 1e-2)
+    path = lambda k: F.array(*(F.struct(F.expr(y).alias("lat"), F.expr(x).alias("lon")) for p, _, y, x in _BENDS if p == k))
+    paths = F.when(F.col("line_id") % 4 == 0, F.array(path(0), path(1))).otherwise(F.array(path(0)))
+    return evidence.passing_lines(tiles(spark, sf_dir), l.select("line_id", "kv", paths.alias("paths")))
+
+
 def landed(spark, sf_dir):
     """The suppliers as rows of a landed register: key, title, lat, lon, kind (0 to 6), place, all as text but the key."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
