@@ -90,3 +90,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder, at once; the target must not exist."""
+    jvm = spark.sparkContext._jvm
+    at, to = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(to) or not system.rename(at, to):
+        raise OSError(f"can't move {source} to {target}")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import os
+import time
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.session import move
+from cartolith.sources.arrays import load_arrays as load_arrays
+from cartolith.sources.arrays import save_arrays as save_arrays
+
 TAGS = "map<string,string>"
 SPLIT_COLUMNS = {
     "asset_id": "string", "region": "string", "sector": "string", "asset_type": "string", "lat": "double", "lon": "double",
@@ -86,16 +85,29 @@ def load_targets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split("cell", "/")[0].alias("region"), F.split("cell", "/")[1].alias("sector"), "v.*")
 
 
+DECISION = "asset_id string, reviewer string, decision string, label string, note string, at timestamp"
+#: Appended logs sort after all files that reviewers' names begin.
+APPENDED = "decisions_~"
+
+
 def load_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Decision logs decisions_*.jsonl with the order of their lines: file name, then place in the file."""
-    text = spark.read.text(f"{folder}/decisions_*.jsonl", wholetext=True).withColumn("file", F.input_file_name())
-    lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter("trim(value) <> ''")
-    entry = "asset_id string, reviewer string, decision string, label string, note string, at timestamp"
-    return lines.select("file", "line", F.from_json("value", entry).alias("e")).select("e.*", "file", "line")
+    """Decision logs decisions_*.jsonl with the order of their lines: file, then line.
+
+    A large log is read by many tasks, a range of bytes each: line is the range's first byte and the row in it, which sorts as
+    the lines do.
+    """
+    meta, row = F.col("_metadata"), F.monotonically_increasing_id()
+    text = spark.read.text(f"{folder}/decisions_*.jsonl")
+    line = F.struct(meta["file_block_start"].alias("byte"), row.alias("row"))
+    lines = text.select(meta["file_path"].alias("file"), line.alias("line"), "value").filter("trim(value) <> ''")
+    return lines.select("file", "line", F.from_json("value", DECISION).alias("e")).select("e.*", "file", "line")
 
 
 def append_decisions(df: DataFrame, folder: str) -> None:
-    df.select("asset_id", "reviewer", "decision", "label", "note", "at").write.mode("append").json(folder)
+    """Appends rows, in their order, to the logs that load_decisions reads: a folder that appears once it is whole."""
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.select("asset_id", "reviewer", "decision", "label", "note", "at").write.json(f"{folder}/_{name}")
+    move(df.sparkSession, f"{folder}/_{name}", f"{folder}/{APPENDED}{name}.jsonl")
 
 
 def load_results(spark: SparkSession, pattern: str) -> DataFrame:
@@ -118,36 +130,6 @@ def save_results(conditions: DataFrame, path: str) -> None:
     conditions.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*conditions.columns)).alias("conditions"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def load_arrays(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, shape, data of .npy files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in batch.content]
-            yield pd.DataFrame({"path": batch.path, "shape": [list(a.shape) for a in arrays], "data": [a.astype("float32").ravel().tolist() for a in arrays]})
-
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, shape array<int>, data array<float>")
-
-
-def save_arrays(df: DataFrame, folder: str) -> None:
-    """Arrays (shape, data) as .npy files, one a row, named by a hash of their path. The folder is one that executors can write to.
-
-    A file is written under another name and renamed, so that a task that runs again leaves no broken one.
-    """
-    os.makedirs(folder, exist_ok=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, shape, data in zip(batch.path, batch["shape"], batch.data, strict=True):
-                name = f"{folder}/{hashlib.md5(path.encode()).hexdigest()}"
-                with open(f"{name}.{uuid.uuid4().hex}.part", "wb") as f:
-                    np.save(f, np.asarray(data, "float32").reshape([int(n) for n in shape]), allow_pickle=False)
-                os.replace(f.name, f"{name}.npy")
-            yield batch[["path"]]
-
-    df.select("path", "shape", "data").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
-
-
 def tolerant_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of documents with a byte order mark or trailing text; features without coordinates go."""
     text = spark.read.text(path, wholetext=True)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.names import DX, TX
 from cartolith.functions import tags
-from cartolith.operators import evidence, queue, reconcile, sampling, tiles
-from cartolith.sources import registers, tables
+from cartolith.operators import evidence, queue, reconcile, review, sampling, tiles
+from cartolith.sources import arrays, cells, registers, tables
 from cartolith.streaming import decisions
 
 
@@ -66,6 +66,88 @@ def test_decision_logs_in_batch_and_stream(spark, tmp_path):
     assert [r.decision for r in spark.table("latest").collect()] == ["relabel"]
 
 
+def test_appended_decisions_come_last_and_large_logs_are_split(spark, tmp_path):
+    folder = f"{tmp_path}/log"
+    os.makedirs(folder)
+    line = lambda i, d: json.dumps({"asset_id": f"a{i % 50}", "reviewer": "zoé", "decision": d, "label": str(i), "note": "x" * (i % 90), "at": "2026-01-01T00:00:00"})
+    with open(f"{folder}/decisions_zoé.jsonl", "w") as f:
+        f.write("\n\n".join(line(i, "accept") for i in range(3000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        log = tables.load_decisions(spark, folder)
+        assert log.rdd.getNumPartitions() > 5
+        rows = log.orderBy("file", "line").collect()
+        assert [int(r.label) for r in rows] == list(range(3000))
+        assert {int(r.label) for r in review.latest(log).collect()} == set(range(2950, 3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    os.makedirs(f"{folder}/_00-killed")  # what a killed append leaves isn't read
+    with open(f"{folder}/_00-killed/part-0.json", "w") as f:
+        f.write(line(1, "unsure") + "\n")
+    more = spark.range(100, numPartitions=3).select(
+        F.format_string("a%d", F.col("id") % 3).alias("asset_id"), F.lit("zoé").alias("reviewer"), F.lit("relabel").alias("decision"), F.col("id").cast("string").alias("label"),
+        F.lit("").alias("note"), F.lit("2025-01-01").alias("at"),
+    )
+    tables.append_decisions(more.filter("id < 99"), folder)
+    tables.append_decisions(more.filter("id = 99"), folder)
+    last = {r.asset_id: r for r in review.latest(tables.load_decisions(spark, folder)).collect()}
+    assert (last["a0"].label, last["a1"].label, last["a2"].label, last["a3"].decision) == ("99", "97", "98", "accept") and len(last) == 50
+
+
+def test_cells_are_replaced_and_marked(spark, tmp_path):
+    path, cell = f"{tmp_path}/cells", ["region", "sector"]
+    grid = spark.createDataFrame([(r, s) for r in ("asia", "europe") for s in ("energy", "water")] + [("none", "water")], "region string, sector string")
+
+    def work(open_):
+        asked.append(sorted(tuple(r) for r in open_.collect()))
+        rows = open_.filter("region <> 'none'").crossJoin(spark.range(times, numPartitions=1).withColumnRenamed("id", "k"))
+        return rows.withColumn("ok", F.col("k") % 2 == 0)
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{path}/data") for f in names if f.startswith("part")}
+
+    asked, times = [], 5
+    counts = {"n_ok": F.count(F.when(F.col("ok"), 1))}
+    cells.run_cells(grid, path, cell, work, counts)
+    marks = {(r.region, r.sector): (r.n, r.n_ok) for r in cells.markers(spark, path, cell).collect()}
+    assert marks == {(r, s): (5, 3) for r in ("asia", "europe") for s in ("energy", "water")} | {("none", "water"): (0, 0)}
+    cells.run_cells(grid, path, cell, work, counts)
+    assert len(asked) == 1 and cells.pending(grid, path, cell).isEmpty() and cells.load(spark, path, cell).count() == 20
+    # a run is killed between data and marker: its cell is done again, no other cell's files are touched
+    before, one = files(), grid.filter("region = 'asia' and sector = 'water'")
+    times = 2
+    cells.begin(one, path, cells.new_run())
+    cells.save(work(one), path, cell)
+    asked.clear()
+    assert cells.load(spark, path, cell).count() == 15
+    times = 3
+    cells.run_cells(grid, path, cell, work, counts)
+    assert asked == [[("asia", "water")]] and cells.load(spark, path, cell).count() == 18
+    after = files()
+    same = {f: t for f, t in before.items() if "region=asia/sector=water" not in f}
+    assert len(same) >= 3 and all(after.get(f) == t for f, t in same.items())
+    # data that was lost after its marker is found
+    assert cells.damaged(spark, path, cell).isEmpty()
+    for f in after:
+        if "region=europe/sector=water" in f:
+            os.remove(f)
+    assert [tuple(r) for r in cells.damaged(spark, path, cell).collect()] == [("europe", "water", 5, 0)]
+
+
+def test_arrays_of_a_killed_task_leave_nothing(spark, tmp_path):
+    good = spark.createDataFrame([(f"p{i}", [2, 2], [float(i)] * 4) for i in range(20)], "path string, shape array<int>, data array<double>").repartition(4)
+    bad = good.withColumn("shape", F.when(F.col("path") == "p7", F.array(F.lit(3), F.lit(5))).otherwise(F.col("shape")))
+    folder = f"file://{tmp_path}/arrays"
+    with pytest.raises(Exception):  # a shape that doesn't fit ends its task
+        tables.save_arrays(bad, folder)
+    assert [f for _, _, names in os.walk(f"{tmp_path}/arrays") for f in names if f.endswith(".npy")] == []
+    for _ in range(2):
+        tables.save_arrays(good, folder)
+    assert sorted(os.listdir(f"{tmp_path}/arrays")) == sorted(arrays.file_name(f"p{i}") for i in range(20))
+    back = tables.load_arrays(spark, f"{folder}/*.npy").collect()
+    assert sorted(r.data[3] for r in back) == [float(i) for i in range(20)] and all(list(r["shape"]) == [2, 2] for r in back)
+
+
 def test_status_stream_resumes_and_takes_late_lines(spark, tmp_path):
     def put(name, lines):
         os.makedirs(f"{tmp_path}/log", exist_ok=True)
@@ -86,6 +168,34 @@ def test_status_stream_resumes_and_takes_late_lines(spark, tmp_path):
     assert run()["a"][0] == "disputed"
 
 
+def test_status_table_grows_with_assets_not_batches(spark, tmp_path):
+    path = f"{tmp_path}/status"
+
+    def put(number, words):
+        rows = [(a, w, "", ["r"]) for a, w in words.items()]
+        decisions.merge_status(spark.createDataFrame(rows, decisions.STATUS), number, path, buckets=4)
+
+    def now():
+        return {r.asset_id: r.status for r in decisions.current_status(spark, path).collect()}
+
+    def rows_on_disk():
+        return spark.read.schema(decisions.STATUS).parquet(f"{path}/batch=*/bucket=*").count()
+
+    assert now() == {}
+    put(0, {f"a{i}": "done" for i in range(40)})
+    for number in range(1, 8):
+        put(number, {"a1": f"w{number}", f"b{number}": "unsure"})
+    want = {f"a{i}": "done" for i in range(40)} | {f"b{n}": "unsure" for n in range(1, 8)} | {"a1": "w7"}
+    assert now() == want and rows_on_disk() <= 2 * len(want)
+    # a batch is run again, after it had been written in whole and after it had been cut off
+    put(7, {"a1": "again", "b7": "unsure"})
+    assert now() == want | {"a1": "again"}
+    os.remove(f"{path}/batch=7/_SUCCESS")
+    assert now() == {k: v for k, v in (want | {"a1": "w6"}).items() if k != "b7"}
+    put(7, {"a1": "w7", "b7": "unsure"})
+    assert now() == want and rows_on_disk() <= 2 * len(want)
+
+
 def test_pending_tiles_of_a_stream_are_not_done_twice(spark, tmp_path):
     os.makedirs(f"{tmp_path}/in")
     (tmp_path / "in" / "a.json").write_text('{"asset_id": "a"}\n{"asset_id": "b"}\n')
@@ -116,7 +226,7 @@ def test_writers_and_batches(spark, tmp_path):
     entry = spark.createDataFrame([("a", "r", "accept", "x", "", "2026-01-01")], "asset_id string, reviewer string, decision string, label string, note string, at string")
     for _ in range(2):
         tables.append_decisions(entry, f"{tmp_path}/decisions")
-    assert spark.read.json(f"{tmp_path}/decisions").count() == 2
+    assert tables.load_decisions(spark, f"{tmp_path}/decisions").count() == 2
     tables.save_results(spark.createDataFrame([("m", 0.5), ("n", 0.25)], "model string, f1 double"), f"{tmp_path}/results")
     assert json.loads(spark.read.text(f"{tmp_path}/results").first().value)["n"] == 2
 
