@@ -1,7 +1,7 @@
 """Image tiles: pixel scaling, quality checks, triage, scene choice, manifests.
 
-A tile's pixels are a struct c, h, w, data (row-major floats). Array work runs in mapInPandas, one tile at a time inside a
-batch; every verdict is SQL over the numbers that come out.
+A tile's pixels are a struct c, h, w, data (row-major floats). Array work runs in mapInArrow, on stacks of a
+batch's tiles of one shape; every verdict is SQL over the numbers that come out.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,70 +44,103 @@ RULES = (
 SIGNALS = ("mean_brightness", "std_brightness", "rg_ratio", "rb_ratio", "texture", "valid_ratio", "center_brightness", "center_vs_full")
 
 
-def pixels(image) -> np.ndarray | None:
-    if image is None or pd.isna(image["c"]):  # a null struct arrives as nulls in its fields
-        return None
-    return np.asarray(image["data"], float).reshape(int(image["c"]), int(image["h"]), int(image["w"]))
+#: Pixels of a stack at most, one tile at least.
+STACK = 1 << 21
 
 
-def optical(img: np.ndarray, modalities) -> np.ndarray:
-    """The optical bands in front; the whole tile if there are none or too few."""
-    n = sum(MODALITIES[m][0] for m in modalities if m in MODALITIES and MODALITIES[m][1] and m != "naip")
-    return img[:n] if 0 < n <= len(img) else img
+def stacks(images: pa.StructArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a batch that share a shape, and their pixels (row, band, y, x), straight from the list's values."""
+    fields = dict(zip((f.name for f in images.type), images.flatten(), strict=True))  # a null struct has null fields
+    has = fields["c"].is_valid().to_numpy(zero_copy_only=False) & fields["data"].is_valid().to_numpy(zero_copy_only=False)
+    shapes = np.stack([pc.fill_null(fields[k], 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in "chw"], 1)
+    for shape in np.unique(shapes[has], axis=0):
+        rows = np.flatnonzero(has & (shapes == shape).all(1))
+        step = max(1, STACK // max(1, int(shape.prod())))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            values = fields["data"].take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+            yield some, values.astype(float, copy=False).reshape(len(some), *shape)
 
 
-def checks(img: np.ndarray, modalities, margin: int = 5) -> dict:
-    """Numbers behind the quality checks of one tile."""
-    eye = optical(img, modalities)
-    _, h, w = img.shape
-    empty = (img == 0).all(0)
-    some = eye[eye != 0]
-    if min(h, w) < 2 * margin:
-        edge = 1.0
-    else:
-        edge = max(empty[:margin].mean(), empty[-margin:].mean(), empty[:, :margin].mean(), empty[:, -margin:].mean())
-    return {"valid_ratio": float((eye != 0).any(0).mean()), "edge_zero": float(edge), "side": min(h, w), "mean_value": float(some.mean()) if some.size else 0.0}
+def restacked(images: pa.StructArray, made: list[tuple[np.ndarray, np.ndarray]]) -> pa.StructArray:
+    """New images from stacks, in the rows' order; rows in none are null."""
+    kind, order = images.type, np.full(len(images), -1)
+    data, sizes, at = [], [], 0
+    for rows, stack in made:
+        n, size = len(rows), int(np.prod(stack.shape[1:]))
+        order[rows] = at + np.arange(n)
+        at += n
+        data.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(stack.reshape(-1))).cast(kind.field("data").type))
+        sizes.append(np.tile(stack.shape[1:], (n, 1)))
+    if not made:
+        return pa.nulls(len(images), kind)
+    index, sizes = pa.array(np.where(order < 0, 0, order), mask=order < 0), np.concatenate(sizes)
+    columns = {"data": pa.concat_arrays(data).take(index)} | {k: pa.array(sizes[:, i]).cast(kind.field(k).type).take(index) for i, k in enumerate("chw")}
+    return pa.StructArray.from_arrays([columns[f.name] for f in kind], fields=list(kind), mask=pa.array(order < 0))
 
 
-def signals(img: np.ndarray) -> dict:
-    """Brightness, ratios, texture and centre of one tile with three bands or more; fewer are repeated."""
-    r, g, b = (img[min(i, len(img) - 1)].astype(float) for i in range(3))
-    h, w = r.shape
-    cut = min(h, w) // 4
-    centre = img[:, h // 2 - cut : h // 2 + cut, w // 2 - cut : w // 2 + cut]
-    middle = float(centre.mean()) if centre.size else 0.0
-    mean = float(img.mean())
-    return {
-        "mean_brightness": mean,
-        "std_brightness": float(img.std()),
-        "rg_ratio": float((r / np.where(g > 0, g, 1)).mean()),
-        "rb_ratio": float((r / np.where(b > 0, b, 1)).mean()),
-        "texture": float(np.abs(np.diff(r, axis=1)).mean() + np.abs(np.diff(r, axis=0)).mean()),
-        "valid_ratio": float((img > 0).any(0).mean()),
-        "center_brightness": middle,
-        "center_vs_full": middle / max(mean, 1),
-    }
+def optical_bands(modalities) -> int:
+    """Bands of the optical modalities, which lie in front."""
+    return sum(MODALITIES[m][0] for m in modalities if m in MODALITIES and MODALITIES[m][1] and m != "naip")
 
 
-_MEASURED = "valid_ratio double, edge_zero double, side int, mean_value double"
+def checks(stack: np.ndarray, bands: np.ndarray, margin: int = 5) -> np.ndarray:
+    """Numbers behind the quality checks of a stack's tiles: valid_ratio, edge_zero, side, mean_value.
+
+    bands: optical bands of each tile; the whole tile counts if there are none or too few.
+    """
+    n, c, h, w = stack.shape
+    out, empty = np.zeros((n, 4)), (stack == 0).all(1)
+    strips = [empty[:, :margin], empty[:, -margin:], empty[:, :, :margin], empty[:, :, -margin:]]
+    out[:, 1] = 1.0 if min(h, w) < 2 * margin else np.max([x.mean((1, 2)) for x in strips], 0)
+    out[:, 2] = min(h, w)
+    front = np.where((bands > 0) & (bands <= c), bands, c)
+    for k in np.unique(front):
+        own = front == k
+        eye = stack[own, :k]
+        some = (eye != 0).sum((1, 2, 3))
+        out[own, 0] = (eye != 0).any(1).mean((1, 2))
+        out[own, 3] = eye.sum((1, 2, 3)) / np.maximum(some, 1)
+    return out
+
+
+def signals(stack: np.ndarray) -> np.ndarray:
+    """SIGNALS of a stack's tiles with three bands or more; fewer are repeated."""
+    n, c, h, w = stack.shape
+    r, g, b = (stack[:, min(i, c - 1)] for i in range(3))
+    cut, mean = min(h, w) // 4, stack.mean((1, 2, 3))
+    centre = stack[:, :, h // 2 - cut : h // 2 + cut, w // 2 - cut : w // 2 + cut]
+    middle = centre.mean((1, 2, 3)) if centre.size else np.zeros(n)
+    over = lambda x: (r / np.where(x > 0, x, 1)).mean((1, 2))
+    texture = np.abs(np.diff(r, axis=2)).mean((1, 2)) + np.abs(np.diff(r, axis=1)).mean((1, 2))
+    valid = (stack > 0).any(1).mean((1, 2))
+    return np.stack([mean, stack.std((1, 2, 3)), over(g), over(b), texture, valid, middle, middle / np.maximum(mean, 1)], 1)
+
+
+_QC = (("valid_ratio", "double"), ("edge_zero", "double"), ("side", "int"), ("mean_value", "double"))
 
 
 def measured(tiles: DataFrame) -> DataFrame:
     """asset_id, asset_type, modality, has_image, qc (numbers of the checks), signals. tiles: asset_id, asset_type, modalities, image."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                img = pixels(r.image)
-                names = list(r.modalities) if r.modalities is not None else []
-                qc = checks(img, names) if img is not None else None
-                rows.append((r.asset_id, r.asset_type, names[0] if names else "sentinel2_rgb", img is not None, qc, signals(img) if img is not None else None))
-            yield pd.DataFrame(rows, columns=["asset_id", "asset_type", "modality", "has_image", "qc", "signals"])
-
-    schema = f"asset_id string, asset_type string, modality string, has_image boolean, qc struct<{_MEASURED.replace(' ', ':').replace(',:', ',')}>, "
+            n, names = batch.num_rows, [x or [] for x in batch.column("modalities").to_pylist()]
+            bands = np.fromiter(map(optical_bands, names), np.int64, n)
+            has, qc, found = np.zeros(n, bool), np.zeros((n, len(_QC))), np.zeros((n, len(SIGNALS)))
+            for rows, stack in stacks(batch.column("image")):
+                has[rows], qc[rows], found[rows] = True, checks(stack, bands[rows]), signals(stack)
+            none = pa.array(~has)
+            kinds = {"double": pa.float64(), "int": pa.int32()}
+            qc = pa.StructArray.from_arrays([pa.array(qc[:, i]).cast(kinds[k]) for i, (_, k) in enumerate(_QC)], [name for name, _ in _QC], mask=none)
+            found = pa.StructArray.from_arrays([pa.array(x) for x in found.T], list(SIGNALS), mask=none)
+            modality = pa.array([x[0] if x else "sentinel2_rgb" for x in names], pa.string())
+            columns = [batch.column("asset_id"), batch.column("asset_type"), modality, pa.array(has), qc, found]
+            yield pa.RecordBatch.from_arrays(columns, ["asset_id", "asset_type", "modality", "has_image", "qc", "signals"])
+
+    schema = f"asset_id string, asset_type string, modality string, has_image boolean, qc struct<{','.join(f'{k}:{t}' for k, t in _QC)}>, "
     schema += f"signals struct<{','.join(f'{s}:double' for s in SIGNALS)}>"
-    return tiles.select("asset_id", "asset_type", "modalities", "image").mapInPandas(run, schema)
+    return tiles.select("asset_id", "asset_type", "modalities", "image").mapInArrow(run, schema)
 
 
 def qc_verdict(measured_: DataFrame, least_valid: float = 0.80, most_edge: float = 0.90, least_side: int = 20) -> DataFrame:
@@ -166,49 +200,45 @@ def with_bands(tiles: DataFrame, bands: list[int | None]) -> DataFrame:
     return tiles.filter(F.col("image.c") > max(b for b in bands if b is not None)).withColumn("image", image)
 
 
+def _with_images(tiles: DataFrame, change) -> DataFrame:
+    """Tiles whose images are changed a stack at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = batch.column("image")
+            new = restacked(images, [(rows, change(stack)) for rows, stack in stacks(images)])
+            at = batch.schema.get_field_index("image")
+            yield batch.set_column(at, batch.schema.field(at), new)
+
+    return tiles.mapInArrow(run, tiles.schema)
+
+
 def resampled(tiles: DataFrame, side: int, bilinear: bool = False) -> DataFrame:
     """Every band of image at side x side, nearest or bilinear."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for image in batch.image:
-                img = pixels(image)
-                if img is None:
-                    out.append(None)
-                    continue
-                c, h, w = img.shape
-                if bilinear:
-                    y, x = (np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1) for n in (h, w))
-                    y0, x0 = y.astype(int), x.astype(int)
-                    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-                    fy, fx = (y - y0)[:, None], (x - x0)[None]
-                    new = (img[:, y0][:, :, x0] * (1 - fy) + img[:, y1][:, :, x0] * fy) * (1 - fx)
-                    new += (img[:, y0][:, :, x1] * (1 - fy) + img[:, y1][:, :, x1] * fy) * fx
-                else:
-                    new = img[:, np.arange(side) * h // side][:, :, np.arange(side) * w // side]
-                out.append({"c": c, "h": side, "w": side, "data": new.ravel().tolist()})
-            yield batch.assign(image=out)
-
-    return tiles.mapInPandas(run, tiles.schema)
+    def change(stack: np.ndarray) -> np.ndarray:
+        h, w = stack.shape[2:]
+        if not bilinear:
+            return stack[:, :, np.arange(side) * h // side][:, :, :, np.arange(side) * w // side]
+        y, x = (np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1) for n in (h, w))
+        y0, x0 = y.astype(int), x.astype(int)
+        y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+        fy, fx = (y - y0)[:, None], x - x0
+        left = stack[:, :, y0][:, :, :, x0] * (1 - fy) + stack[:, :, y1][:, :, :, x0] * fy
+        right = stack[:, :, y0][:, :, :, x1] * (1 - fy) + stack[:, :, y1][:, :, :, x1] * fy
+        return left * (1 - fx) + right * fx
+
+    return _with_images(tiles, change)
 
 
 def stretched(tiles: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     """Pixels between two percentiles stretched to 0-1; a flat tile is divided by 255."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for image in batch.image:
-                img = pixels(image)
-                if img is not None:
-                    a, b = np.percentile(img, [low, high])
-                    img = np.clip((img - a) / (b - a), 0, 1) if b > a else img / 255
-                    image = dict(image, data=img.ravel().tolist())
-                out.append(image)
-            yield batch.assign(image=out)
-
-    return tiles.mapInPandas(run, tiles.schema)
+    def change(stack: np.ndarray) -> np.ndarray:
+        a, b = (x[:, None, None, None] for x in np.percentile(stack, [low, high], axis=(1, 2, 3)))
+        return np.where(b > a, np.clip((stack - a) / np.where(b > a, b - a, 1), 0, 1), stack / 255)
+
+    return _with_images(tiles, change)
 
 
 def best_scenes(tiles: DataFrame, scenes: DataFrame, start: str, end: str, platform: str | None = None, cell: float = 2.0) -> DataFrame:
