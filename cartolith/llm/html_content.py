@@ -536,9 +536,13 @@ def fit(corpus: list[str], laid_out: int = LAID_OUT, rounds: int = 120, step: fl
 
 def trained(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> np.ndarray:
     """Weights learned from a bounded sample of the pages (html), chosen by a hash of the whole page."""
-    rows = pages.select("html").filter(F.length("html").between(1, chars))
-    rows = rows.select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(sample)
-    return fit([r["html"] for r in rows.select("html").collect()])
+    rows = pages.select("html").filter(F.length("html").between(1, chars)).select(F.xxhash64("html").alias("h"), "html")
+    least = [r["h"] for r in rows.select("h").orderBy("h").limit(sample).collect()]
+    if not least:
+        return fit([])
+    # equal pages have equal hashes and are one, combined before they are moved
+    chosen = rows.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    return fit([r["html"] for r in chosen.collect()])
 
 
 def marginals(pages: list[Page], weights: np.ndarray) -> list[np.ndarray]:
