@@ -1,7 +1,7 @@
 """Stratified samples and splits.
 
-Draws order rows by a digest of seed and id, so they don't depend on partitions. Rows of a class are numbered over many
-range partitions (ranking.numbered): classes are few, and no task sees all rows of one.
+Draws order rows by a digest of seed and id, so they don't depend on partitions. Rows are selected by counts of digests
+(ranking.pieces), not numbered: classes are few, and no task sees all rows of one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.operators.ranking import draw_key, numbered
+from cartolith.operators.ranking import draw_key, numbered, pieces
 
 SPLITS = ("train", "val", "test")
 FRACTIONS = (0.70, 0.15, 0.15)
@@ -27,11 +27,14 @@ def proportional_sample(df: DataFrame, cell: list[str], target: int | Column, th
     """
     threshold = target if threshold is None else threshold
     target, threshold = (F.lit(x) if isinstance(x, int) else x for x in (target, threshold))
-    counts = df.groupBy(*cell, cls).agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*cell)))
-    both = numbered(df, [*cell, cls], [draw_key(seed, cls, key), F.col(key)], "__rank").join(counts, [*cell, cls])
-    take = F.least(F.bround(F.col("__c") / F.col("__n") * target, 0), F.col("__c"))
-    return both.filter((F.col("__n") <= threshold) | (F.col("__rank") <= take)).select(*df.columns)
+
+    def limits(sizes: DataFrame) -> DataFrame:
+        n = F.sum("size").over(Window.partitionBy(*cell))  # a row a class
+        share = F.least(F.bround(F.col("size") / n * target, 0), F.col("size"))
+        return sizes.withColumn("limits", F.array(F.when(n <= threshold, F.col("size")).otherwise(share).cast("long")))
+
+    drawn = pieces(df, [*cell, cls], draw_key(seed, cls, key), key, limits, "__piece")
+    return drawn.filter("__piece = 0").select(*df.columns)
 
 
 def sample_summary(df: DataFrame, cell: list[str], target: int, threshold: int | None = None, cls: str = "asset_type") -> DataFrame:
@@ -59,16 +62,20 @@ def sample_summary(df: DataFrame, cell: list[str], target: int, threshold: int |
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """Of the train rows of each class the rounded fraction, one at least; other rows stay."""
-    out = numbered(df, ["split", cls], [draw_key(seed, cls, key), F.col(key)], "__rank", "__n")
-    keep = (F.col("split") != "train") | (F.col("__rank") <= F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(fraction), 0)))
-    return out.filter(keep).drop("__rank", "__n")
+    kept = F.greatest(F.lit(1), F.bround(F.col("size") * F.lit(fraction), 0)).cast("long")
+    limits = lambda sizes: sizes.withColumn("limits", F.array(F.when(F.col("split") == "train", kept).otherwise(F.col("size"))))
+    return pieces(df, ["split", cls], draw_key(seed, cls, key), key, limits, "__piece").filter("__piece = 0").drop("__piece")
 
 
 def class_sample(df: DataFrame, share: float = 0.10, least: int = 20, most: int = 100, seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """min(n, most, max(least, ceil(share n))) rows of each class in a fixed order of draw."""
-    n = F.col("class_size")
-    size = F.least(n, F.lit(most), F.greatest(F.lit(least), F.ceil(n * F.lit(share))))
-    return numbered(df, [cls], [draw_key(seed, cls, key), F.col(key)], "draw", "class_size").filter(F.col("draw") <= size)
+    n = F.col("size")
+    size = F.least(n, F.lit(most), F.greatest(F.lit(least), F.ceil(n * F.lit(share)))).cast("long")
+    drawn = pieces(df, [cls], draw_key(seed, cls, key), key, lambda sizes: sizes.withColumn("limits", F.array(size)), "__piece")
+    # the sample, ``most`` rows a class, is put in order; what is left out doesn't change ranks
+    drawn = numbered(drawn.filter("__piece = 0").drop("__piece"), [cls], [draw_key(seed, cls, key), F.col(key)], "draw")
+    sizes = df.groupBy(F.col(cls).alias("__cls")).agg(F.count(F.lit(1)).alias("class_size"))
+    return drawn.join(sizes, F.col(cls).eqNullSafe(F.col("__cls"))).drop("__cls")
 
 
 def persisted_sample(stored: DataFrame, fresh: DataFrame, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
@@ -87,8 +94,9 @@ def audit_holdout(candidates: DataFrame, held: DataFrame, decided: DataFrame, sh
     marks = marks.withColumn("__free", ~F.col("__held") & ~F.col("__done"))
     want = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(share), 0)) - F.sum(F.col("__held").cast("int"))
     wanted = marks.groupBy("source").agg(want.alias("__want"))  # a row a source
-    out = numbered(marks, ["source", "__free"], [draw_key(seed, "source", "asset_id"), F.col("asset_id")], "__rank").join(wanted, "source")
-    return out.withColumn("audit", F.col("__held") | (F.col("__free") & (F.col("__rank") <= F.col("__want")))).select(*candidates.columns, "audit")
+    limits = lambda sizes: sizes.join(wanted, "source").withColumn("limits", F.array(F.when(F.col("__free"), F.col("__want")).otherwise(0).cast("long")))
+    out = pieces(marks, ["source", "__free"], draw_key(seed, "source", "asset_id"), "asset_id", limits, "__piece")
+    return out.withColumn("audit", F.col("__held") | (F.col("__free") & (F.col("__piece") == 0))).select(*candidates.columns, "audit")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "asset_id") -> DataFrame:
@@ -97,14 +105,18 @@ def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "asset_id")
 
 def random_split(df: DataFrame, cell: list[str], seed: int = 42, cls: str = "asset_type", key: str = "asset_id") -> DataFrame:
     """Train, val and test by class within a cell: the floors of their fractions, the rest to test."""
-    out = numbered(df, [*cell, cls], [draw_key(seed, cls, key), F.col(key)], "__rank", "__n")
-    return out.withColumn("split", by_rank(F.col("__rank"), F.col("__n"), FRACTIONS)).drop("__rank", "__n")
+    out = pieces(df, [*cell, cls], draw_key(seed, cls, key), key, lambda sizes: sizes.withColumn("limits", split_limits(F.col("size"), FRACTIONS)), "__piece")
+    return out.withColumn("split", split_of(F.col("__piece"))).drop("__piece")
 
 
-def by_rank(rank: Column, n: Column, fractions: tuple) -> Column:
-    """Split of the rank-th of n rows."""
+def split_limits(n: Column, fractions: tuple) -> Column:
+    """The last ranks of train and val among n rows: the floors of their fractions."""
     train, val = F.floor(n * F.lit(fractions[0])), F.floor(n * F.lit(fractions[1]))
-    return F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")
+    return F.array(train.cast("long"), (train + val).cast("long"))
+
+
+def split_of(piece: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(s) for s in SPLITS)), piece + 1)
 
 
 def block_split(tiles: DataFrame, stratum: str = "region", fractions=FRACTIONS, seed: int = 42) -> DataFrame:
@@ -138,8 +150,9 @@ def block_split(tiles: DataFrame, stratum: str = "region", fractions=FRACTIONS,
 
 def class_fallback(split: DataFrame, classes: list[str], fractions=FRACTIONS, seed: int = 42) -> DataFrame:
     """Rows of rare classes are split at random instead, and marked."""
-    rare = numbered(split.filter(F.col("asset_type").isin(classes)), ["asset_type"], [draw_key(seed, "asset_type", "asset_id"), F.col("asset_id")], "__rank", "__n")
-    rare = rare.withColumn("split", by_rank(F.col("__rank"), F.col("__n"), fractions)).drop("__rank", "__n")
+    limits = lambda sizes: sizes.withColumn("limits", split_limits(F.col("size"), fractions))
+    rare = pieces(split.filter(F.col("asset_type").isin(classes)), ["asset_type"], draw_key(seed, "asset_type", "asset_id"), "asset_id", limits, "__piece")
+    rare = rare.withColumn("split", split_of(F.col("__piece"))).drop("__piece")
     rare = rare.withColumn("split_protocol", F.lit("class_fallback"))
     return split.filter(~F.col("asset_type").isin(classes)).unionByName(rare)
 

@@ -1,5 +1,6 @@
 """Every query against its SQL twin, and the properties that matter."""
 
+import hashlib
 import math
 import os
 import random
@@ -178,11 +179,40 @@ def test_no_window_sees_a_whole_class(spark):
     ):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         ranks = [line for line in plan.splitlines() if "row_number()" in line]
-        assert ranks and all("part__" in line for line in ranks)
+        # of a range partition, or of a bin of digests
+        assert ranks and all("part__" in line or "bin__" in line for line in ranks)
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, k long")
     assert sorted((str(r.g), r.k, r["rank"]) for r in ranking.numbered(nulls, ["g"], ["k"]).collect()) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]
 
 
+@pytest.mark.parametrize("bin_rows", [100_000, 3])
+def test_pieces_equal_ranks(spark, monkeypatch, bin_rows):
+    monkeypatch.setattr(ranking, "BIN_ROWS", bin_rows)
+    rng = random.Random(bin_rows)
+    rows = [(i % 400, rng.choice(["a", "a", "b", None]), i) for i in range(500)]  # ties in the drawn key
+    names = "key long, g string, draw__ long"
+    df = spark.createDataFrame(rows, names).repartition(3)
+    wanted = {"a": [0, 100, 100], "b": [-5, 7, 999], None: [1, 2, 3]}
+    table = spark.createDataFrame([(g, v) for g, v in wanted.items()], "g string, limits array<bigint>")
+    limits = lambda sizes: sizes.join(table.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).select("g", "limits")
+    got = ranking.pieces(df, ["g"], ranking.draw_key(1, "key"), "draw__", limits).collect()
+    digest = lambda k: hashlib.md5(f"1|{k}".encode()).hexdigest()
+    want = {}
+    for g in wanted:
+        ordered = sorted((digest(k), i, k) for k, h, i in rows if h == g)
+        for rank, (_, i, _) in enumerate(ordered, 1):
+            want[i] = sum(rank > x for x in wanted[g])
+    assert {r.draw__: r.piece for r in got} == want and len(got) == 500
+
+
+def test_numbers_leave_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "x", i * 7, "y", "z", "w") for i in range(20)], "k long, part__ string, inside__ long, before__ string, group0__ string, __i string")
+    out = ranking.numbered(df, ["part__"], ["k"], "rank").collect()
+    assert all((r["rank"], r.part__, r.inside__, r.before__, r.group0__) == (r.k + 1, "x", r.k * 7, "y", "z") for r in out)
+    out = ranking.dense_order(df, ["k"]).collect()
+    assert all((r.order, r.part__, r.inside__, r["__i"]) == (r.k, "x", r.k * 7, "w") for r in out)
+
+
 def test_chain_keeps_both_ends(spark):
     rows = [("a", "energy.transmission.substation", 0.0, 0.0, 0), ("b", "energy.transmission.substation", 0.0, 0.0015, 1), ("c", "energy.transmission.substation", 0.0, 0.003, 2)]
     out = {r.asset_id: r for r in dedup.deduplicate(assets(spark, rows)).collect()}
