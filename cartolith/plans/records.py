@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartolith import ontology
 from cartolith.fixtures import view
 from cartolith.functions import tags
-from cartolith.operators import metrics, queue, review, sampling, tiles
+from cartolith.operators import gate, metrics, queue, review, sampling, tiles
 from cartolith.plans.curation import CLASSIFIED, HINTS, elements
 from cartolith.plans.queries import query
 from cartolith.plans.splits import _RANDOM
@@ -247,6 +247,52 @@ def j6_tolerances(spark, sf_dir):
     return off(f1, "f1", 5e-4).union(off(time, "time", 1e-9))
 
 
+_CONDITIONS = [*gate.conditions(), ("Other", "LP", "1.0x")]
+_LISTED = ", ".join(f"({i}, '{m}', '{p}', '{s}')" for i, (m, p, s) in enumerate(_CONDITIONS))
+_SECTORS = list(gate.SECTOR_ROWS)
+
+
+@query(f"""WITH l(i, model, protocol, scale) AS (VALUES {_LISTED}),
+  c AS (SELECT i, model, protocol, scale, CASE i WHEN 7 THEN 12 ELSE 13 END AS entries, avg(p_retailprice) / 1e4 AS mean, stddev_pop(p_retailprice) / 1e4 AS std, avg(p_size) / 1e2 AS f1, stddev_pop(p_size) / 1e2 AS f1_std
+    FROM l JOIN part ON p_partkey % 31 = i WHERE i <> 11 GROUP BY i, model, protocol, scale),
+  f AS (SELECT 'condition' AS scope, model, protocol, scale, 'entries' AS metric, 'n' AS field, CAST(entries AS DOUBLE) AS found, i FROM c
+    UNION ALL SELECT 'condition', model, protocol, scale, 'rows.' || CASE p_size % 4 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SECTORS))} END, 'n', CAST(count(*) AS DOUBLE), i FROM l JOIN part ON p_partkey % 31 = i WHERE i <> 11 GROUP BY ALL
+    UNION ALL SELECT 'condition', model, protocol, scale, 'accuracy', 'mean', mean, i FROM c UNION ALL SELECT 'condition', model, protocol, scale, 'accuracy', 'std', std, i FROM c
+    UNION ALL SELECT 'condition', model, protocol, scale, 'macro_f1', 'mean', f1, i FROM c UNION ALL SELECT 'condition', model, protocol, scale, 'macro_f1', 'std', f1_std, i FROM c
+    UNION ALL SELECT 'meta', '', '', '', 'test_n_per_seed', 'n', CAST(count(*) AS DOUBLE), -1 FROM part UNION ALL SELECT 'meta', '', '', '', 'conditions', 'n', CAST(count(*) AS DOUBLE), -1 FROM c),
+  e AS (SELECT 'condition' AS scope, model, protocol, scale, 'entries' AS metric, 'n' AS field, 13e0 AS expected, 5e-1 AS tolerance FROM l WHERE i < 30
+    UNION ALL SELECT 'condition', '{gate.LOOKED_INTO[0]}', '{gate.LOOKED_INTO[1]}', '{gate.LOOKED_INTO[2]}', 'rows.' || s, 'n', n, 5e-1 FROM (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in gate.SECTOR_ROWS.items())}) t(s, n)
+    UNION ALL SELECT 'meta', '', '', '', m, 'n', n, 5e-1 FROM (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in {**gate.CONSTANTS, "conditions": 30}.items())}) t(m, n)
+    UNION ALL SELECT scope, model, protocol, scale, metric, field, CASE WHEN i % 10 <> 3 THEN found + CASE metric WHEN 'accuracy' THEN (i % 3) * 4e-4 ELSE CASE WHEN i % 5 = 0 THEN 1e-6 ELSE 0 END END END,
+      CASE metric WHEN 'accuracy' THEN 5e-4 ELSE 1e-9 END FROM f WHERE field IN ('mean', 'std') AND i < 30),
+  j AS (SELECT coalesce(e.scope, f.scope) AS scope, coalesce(e.model, f.model) AS model, coalesce(e.protocol, f.protocol) AS protocol, coalesce(e.scale, f.scale) AS scale, coalesce(e.metric, f.metric) AS metric, coalesce(e.field, f.field) AS field,
+    found, expected, tolerance, e.scope IS NOT NULL AS ruled FROM f FULL JOIN e ON e.scope = f.scope AND e.model = f.model AND e.protocol = f.protocol AND e.scale = f.scale AND e.metric = f.metric AND e.field = f.field),
+  v AS (SELECT *, CASE WHEN NOT ruled THEN CASE WHEN metric = 'entries' THEN 'unlisted' ELSE 'ok' END WHEN expected IS NULL THEN CASE WHEN found IS NULL THEN 'ok' ELSE 'unexpected' END
+    WHEN found IS NULL THEN 'missing' WHEN abs(found - expected) < tolerance THEN 'ok' ELSE 'off' END AS verdict FROM j)
+  SELECT scope, model, protocol, scale, metric, field, round(found, 6) AS found, round(expected, 6) AS expected, verdict FROM v WHERE verdict <> 'ok'""")
+def j6_results_gate(spark, sf_dir):
+    """Constraints that a results document breaks: thirty conditions of thirteen entries, constants, values and absent ones.
+
+    The document is made from the parts: a condition is missing, one has twelve entries, one isn't listed, values are off.
+    """
+    listed = F.broadcast(spark.createDataFrame([(i, *c) for i, c in enumerate(_CONDITIONS)], "i int, model string, protocol string, scale string"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 31).cast("int").alias("i"), F.col("p_retailprice").cast("double").alias("price"), "p_size")
+    rows = parts.filter("i <> 11").join(listed, "i")
+    sector = F.element_at(F.array(*(F.lit(x) for x in _SECTORS)), (F.col("p_size") % 4 + 1).cast("int"))
+    sectors = rows.groupBy("i", sector.alias("sector")).agg(F.count("*").alias("n")).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("sector", "n"))).alias("sector_rows"))
+    value = lambda c, by: F.struct((F.avg(c) / by).alias("mean"), (F.stddev_pop(c) / by).alias("std"))
+    found = rows.groupBy("i", "model", "protocol", "scale").agg(F.create_map(F.lit("accuracy"), value("price", 1e4), F.lit("macro_f1"), value("p_size", 1e2)).alias("values"))
+    found = found.join(sectors, "i").withColumn("entries", F.when(F.col("i") == 7, 12).otherwise(13))
+    meta = parts.agg(F.count("*").alias("value")).select(F.lit("test_n_per_seed").alias("name"), "value")
+    measured = gate.measures(found, meta)
+    wanted = measured.filter("field in ('mean', 'std')").join(listed, ["model", "protocol", "scale"]).filter("i < 30")
+    shift = F.when(F.col("metric") == "accuracy", F.col("i") % 3 * 4e-4).otherwise(F.when(F.col("i") % 5 == 0, 1e-6).otherwise(0.0))
+    wanted = wanted.withColumn("expected", F.when(F.col("i") % 10 != 3, F.col("value") + shift)).withColumn("tolerance", F.when(F.col("metric") == "accuracy", 5e-4).otherwise(1e-9))
+    rules = gate.constraints(spark, wanted.select("model", "protocol", "scale", "metric", "field", "expected", "tolerance"))
+    out = gate.judged(measured, rules).filter("verdict <> 'ok'")
+    return out.withColumn("found", F.round("found", 6)).withColumn("expected", F.round("expected", 6))
+
+
 @query("SELECT count(*) AS n FROM attempts_fx WHERE NOT passed AND asset_id % 50 = 0")
 def j7_antijoin_sanity(spark, sf_dir):
     """Failed assets that are among the kept ones after all: those whose kept row came late."""
