@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartolith.session import move
 from cartolith.sources.arrays import load_arrays as load_arrays
 from cartolith.sources.arrays import save_arrays as save_arrays
+from cartolith.sources.geojson import tolerant_geojson as tolerant_geojson
 
 TAGS = "map<string,string>"
 SPLIT_COLUMNS = {
@@ -130,15 +131,6 @@ def save_results(conditions: DataFrame, path: str) -> None:
     conditions.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*conditions.columns)).alias("conditions"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def tolerant_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of documents with a byte order mark or trailing text; features without coordinates go."""
-    text = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"(?s)\}[^}]*$", "}")
-    feature = "struct<properties map<string,string>, geometry struct<type string, coordinates string>>"
-    found = text.select(F.explode(F.from_json(body, f"features array<{feature}>")["features"]).alias("f"))
-    return found.filter("f.geometry.coordinates is not null").select("f.properties", F.col("f.geometry.type").alias("kind"), F.from_json("f.geometry.coordinates", "array<double>").alias("point"))
-
-
 def load_batches(spark: SparkSession, folder: str, record: str) -> DataFrame:
     """decisions.json of every batch_* folder in the order of the batches."""
     raw = spark.read.schema(record).json(f"{folder}/batch_*/decisions.json", multiLine=True)

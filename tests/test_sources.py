@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -278,6 +279,41 @@ def test_arrays_and_geojson(spark, tmp_path):
     assert [(r.properties["n"], r.kind, r.point) for r in rows] == [("a", "Point", [1.0, 2.0])]
 
 
+@pytest.mark.parametrize("split", [None, 700])
+def test_geojson_of_any_size_and_spacing(spark, tmp_path, split):
+    rng = random.Random(3)
+    dull = lambda: "".join(rng.choice('ab{}[]"\\ ,:é') for _ in range(rng.randrange(30)))
+    shapes = [
+        ("Point", [1.5, 2.5]), ("LineString", [[0, 1], [2, 3], [4, 5.25]]), ("MultiLineString", [[[0, 1], [2, 3]], [[4, 5], [6, 7], [8, 9]]]),
+        ("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 0]], [[0.1, 0.1], [0.2, 0.1], [0.1, 0.1]]]), ("MultiPolygon", [[[[0, 0], [1, 0], [0, 0]]], [[[5, 5], [6, 5], [5, 5]]]]),
+    ]
+    want = {}
+    for name in ("one", "two"):
+        made = []
+        for i in range(60):
+            kind, coordinates = shapes[i % 5]
+            properties = {"n": f"{name}{i}", "text": dull(), dull() + "k": dull(), "deep": {"a": {"b": 1}}}
+            feature = {"properties": properties, "geometry": {"type": kind, "coordinates": coordinates}, "type": "Feature"} if i % 7 else {"type": "Feature", "geometry": None, "properties": properties}
+            made.append(feature)
+            if i % 7:
+                want[f"{name}{i}"] = (kind, properties["text"])
+        body = {"type": "FeatureCollection", "name": dull(), "crs": {"type": "name", "properties": {"name": "x{"}}, "features": made, "after": {"b": [1]}}
+        text = json.dumps(body, indent=2 if name == "one" else None, ensure_ascii=False)
+        (tmp_path / f"{name}.json").write_text("\ufeff" + text + ' and {"more": {"words": {}}} }', encoding="utf-8")
+    (tmp_path / "none.json").write_text('{"features": []}')
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = tables.tolerant_geojson(spark, f"{tmp_path}/*.json").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.properties["n"]: (r.kind, r.properties["text"]) for r in rows} == want and len(rows) == len(want)
+    by = {r.kind: r for r in rows}
+    assert by["Point"].point == [1.5, 2.5] and [(p.lat, p.lon) for p in by["LineString"].paths[0]] == [(1.0, 0.0), (3.0, 2.0), (5.25, 4.0)]
+    assert [len(p) for p in by["MultiLineString"].paths] == [2, 3] and [x.role for x in by["Polygon"].rings] == ["outer", "inner"]
+    assert [(x.role, len(x.pts)) for x in by["MultiPolygon"].rings] == [("outer", 3), ("outer", 3)] and by["Point"].paths is None and by["Point"].rings is None
+
+
 def test_registers(spark):
     air = spark.createDataFrame([("A", "PU", "X", "AAA", "O", 1.0, 2.0), ("H", "PR", "Y", "BBB", "O", 1.0, 2.0)], "SITE_TYPE_CODE string, FACILITY_USE_CODE string, ARPT_NAME string, ARPT_ID string, ARPT_STATUS string, lat double, lon double")
     assert [tuple(r) for r in registers.aviation(air).collect()] == [("X", 1.0, 2.0, "FAA AAA, public, O", None, False)]
