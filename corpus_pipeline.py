@@ -1,7 +1,7 @@
 """A training-data pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage returns to the shared folder
-and reads it back as the next stage's input. All stages but the last return the columns they got, whatever others there
+and reads it back as the next stage's input, and keeps the last stage's result only. All stages but the last return the columns they got, whatever others there
 are and whatever their names. Empty tables give empty tables. Defined results of each stage for nulls, long and repeated
 texts and ties are in its docstring and in its operator's module.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartolith.llm import bpe, mixing, near_dedup, quality_classifier, secret_scan
-from cartolith.llm.shared import documents, written
+from cartolith.llm.shared import documents, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +69,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@settled
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. The result is a table of its own; all that was written on the way is removed."""
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{i}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage)(spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
