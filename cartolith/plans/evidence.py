@@ -85,6 +85,12 @@ def d16_line_summary(spark, sf_dir):
     return s.withColumn("kvs", F.array_join(F.sort_array(F.array_distinct(F.filter(F.split("kvs", "/"), lambda x: x != "")), asc=False), "/"))
 
 
+@query(f"""SELECT asset_id, array_to_string(list_transform(list_reverse_sort(list(DISTINCT CAST(kv AS INT)) FILTER (kv IS NOT NULL)), lambda x: CAST(x AS VARCHAR)), '/') AS kvs FROM ({_ENDS}) e GROUP BY asset_id HAVING count(kv) > 0""")
+def d16_line_voltages(spark, sf_dir):
+    """Whole kV of the lines that end at each tile, the highest first."""
+    return evidence.line_summary(tiles(spark, sf_dir), lines(spark, sf_dir)).filter("kvs <> ''").select("asset_id", "kvs")
+
+
 # lines that run north and south of where the view's begin: some end at tiles, some pass
 _NORTH = "(SELECT *, lat1 - (line_id % 3) * 1e-2 AS la, lat1 + (line_id % 3) * 1e-2 AS lb FROM lines_fx)"
 _MEET = f"""SELECT a.asset_id, l.*, least({haversine('a', 'p', EVIDENCE_R)}, {haversine('a', 'q', EVIDENCE_R)}) <= 250 AS here,
@@ -117,6 +123,17 @@ def d16_traced_lines(spark, sf_dir):
     return evidence.traced_line_evidence(tiles(spark, sf_dir).withColumn("name", F.lit("")), north, "lines").drop("name_match")
 
 
+@query(f"""SELECT a.asset_id, count(m.line_id) AS lines_end, coalesce(bool_or(CASE a.pos % 3 WHEN 0 THEN m.line_id IS NOT NULL WHEN 1 THEN regexp_matches(sub_2, '(^| )widget( |$)') ELSE false END), false) AS name_match
+  FROM assets_fx a LEFT JOIN (SELECT * FROM ({_MEET}) x WHERE here) m ON m.asset_id = a.asset_id GROUP BY a.asset_id""")
+def d16_named_lines(spark, sf_dir):
+    """Tiles whose name shares a word with a real name of a line that ends there."""
+    up = (F.col("line_id") % 3) * 1e-2
+    end = lambda y: F.struct((F.col("lat1") + y).alias("lat"), F.col("lon1").alias("lon"))
+    north = view(spark, sf_dir, "lines_fx").withColumn("ends", F.array(end(-up), end(up)))
+    name = F.when(F.col("pos") % 3 == 0, "West Substation 7").when(F.col("pos") % 3 == 1, "Widget switchyard").otherwise("Riverside 110 kV")
+    return evidence.traced_line_evidence(tiles(spark, sf_dir).withColumn("name", name), north, "lines").select("asset_id", "lines_end", "name_match")
+
+
 @query(f"""WITH e AS (SELECT asset_id, count(*) AS n, bool_or(kv >= 110) AS strong FROM ({_ENDS}) e GROUP BY asset_id)
   SELECT a.asset_id, coalesce(strong, false) AND a.asset_type = '{TX}' AS corroborated, coalesce(strong, false) AND a.asset_type <> '{TX}' AS caution, coalesce(n, 0) > 0 AS ends FROM assets_fx a LEFT JOIN e ON e.asset_id = a.asset_id""")
 def g18_grid_line_evidence(spark, sf_dir):
