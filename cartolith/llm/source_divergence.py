@@ -1,11 +1,13 @@
 """Audit of how the sources of a language differ (operator 13).
 
-CountVectorizer, with minDF and the largest vocabSize, turns documents into exact sparse vectors. Terms carry their language
-(``lang`` NUL ``term``), so that one vectorizer holds a vocabulary for each language, minDF being counted inside it. A
-vectorizer keeps its vocabulary on the driver and broadcasts it; terms are therefore split by hash into slices of about
-SLICE kept terms, counted beforehand on one term in SAMPLED (the terms are written once, all passes read them), and each slice gets a vectorizer: its size is bounded however
-large the corpus, and no term is lost. The vectors' entries are summed up by group where they are, before they are moved
-(as Summarizer does, but sparsely: a group's dense vector could be of any length).
+CountVectorizer, with minDF and the largest vocabSize, finds the vocabulary, from each document's different terms. Terms carry
+their language (``lang`` NUL ``term``), so that one vectorizer holds a vocabulary for each language, minDF being counted
+inside it. A vectorizer keeps its vocabulary on the driver; terms are therefore split by hash into slices of about SLICE kept
+terms, counted beforehand on one term in SAMPLED, and each slice gets a vectorizer: its size is bounded however large the
+corpus, and no term is lost. A document's exact sparse vector is its terms' places in the vocabulary and their counts; the
+places are found by 64-bit hashes (the model's own transform looks up each occurrence as a string, which took two fifths of
+the time of the whole). The vectors are summed up by group where they are, before anything is moved (as Summarizer does, but
+sparsely: a group's dense vector could be of any length).
 
 Pairs are evaluated sparsely. With p0 the value of a term that a group lacks, the sum over all terms of f(p, q) is that of
 f(p, q0) over the terms of one, of f(p0, q) over those of the other, f(p0, q0) for the rest, and a correction over the
@@ -20,10 +22,13 @@ rows; only text, lang and source are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,43 +51,140 @@ BETWEEN = np.zeros(256, bool)
 BETWEEN[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
-def tagged_terms(t: K.Texts, tags: list[bytes]) -> pa.ListArray:
-    """The lower-cased terms of each document, each after its document's tag."""
+def term_hashes(t: K.Texts, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of lower-cased terms, each salted with its language."""
+    return K.mix(t.hashes(starts, ends, lower=True) + salts * K.U(0x9E3779B97F4A7C15))
+
+
+#: Tagged terms that are hashed at a time.
+TERMS = 1 << 15
+
+
+def salt(lang: bytes) -> int:
+    return zlib.crc32(lang)
+
+
+def tagged_hashes(tagged: pa.StringArray, tags: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The hashes of terms that follow a language and NUL, ``tags`` bytes together. salts: of each term's language."""
+    out = [np.zeros(0, K.U)]
+    for at in range(0, len(tagged), TERMS):
+        t = K.texts(tagged.slice(at, TERMS))
+        out.append(term_hashes(t, t.offsets[:-1] + tags[at : at + TERMS], t.offsets[1:], salts[at : at + TERMS]))
+    return np.concatenate(out)
+
+
+def salted(langs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each language's tag, and its salt."""
+    return np.fromiter((len(x) + 1 for x in langs), np.int64, len(langs)), np.fromiter(map(salt, langs), np.int64, len(langs)).astype(K.U)
+
+
+def bags(t: K.Texts, langs: list[bytes]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
+    """Each document's different terms (lower-cased, after language and NUL), how often it has each, and their hashes."""
     starts, ends, counts = t.runs(BETWEEN)
-    tag_of = np.repeat(np.fromiter(map(len, tags), np.int64, len(tags)), counts)
-    lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(tag_of + lengths)])
-    out = np.zeros(offsets[-1], np.uint8)
-    out[np.arange(lengths.sum()) + np.repeat(np.cumsum(tag_of), lengths)] = K.LOWER[t.data[~BETWEEN[t.data]]]
     doc = t.doc_of(counts)
+    sizes, salts = salted(langs)
+    hashes = term_hashes(t, starts, ends, salts[doc])
+    # a document's number in the key keeps documents apart; the hash itself is kept beside it
+    key = K.mix(hashes) + doc.astype(K.U) * K.U(0xD6E8FEB86659FD93)
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = np.diff(key[order]) != 0
+    at = np.flatnonzero(new)
+    first, many = order[at], np.diff(np.append(at, len(key)))
+    order = np.argsort(first)
+    first, many = first[order], many[order]
+    chosen = np.zeros(len(starts), bool)
+    chosen[first] = True
+    lengths, own = (ends - starts)[first], doc[first]
+    tags = [x + b"\x00" for x in langs]
+    tag_of = sizes[own]
+    offsets = np.concatenate([[0], np.cumsum(tag_of + lengths)])
+    out, free = np.zeros(offsets[-1], np.uint8), np.ones(offsets[-1], bool)
     for tag in set(tags):
-        own = offsets[:-1][np.fromiter((x == tag for x in tags), bool, len(tags))[doc]]
-        out[own[:, None] + np.arange(len(tag))] = np.frombuffer(tag, np.uint8)
-    terms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), terms)
+        at = offsets[:-1][np.fromiter((x == tag for x in tags), bool, len(tags))[own]]
+        for i, byte in enumerate(tag):
+            out[at + i], free[at + i] = byte, False
+    out[free] = K.LOWER[t.data[~BETWEEN[t.data]][np.repeat(chosen, ends - starts)]]
+    terms = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    where = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=t.n))]), pa.int32())
+    return pa.ListArray.from_arrays(where, terms), pa.ListArray.from_arrays(where, pa.array(many.astype(np.int32))), hashes[first]
 
 
 def worded(docs: DataFrame) -> DataFrame:
-    """lang, source, terms (lang NUL term) of each document."""
+    """lang, source, and of each document's different terms: terms (lang NUL term), counts; sampled: some of their hashes."""
+    one_in = SAMPLED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in K.blocks(batch):
-                tags = [x.encode() + b"\x00" for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tagged_terms(t, tags)], ["lang", "source", "terms"])
+                terms, counts, hashes = bags(t, [x.encode() for x in part.column(0).to_pylist()])
+                some = hashes % K.U(one_in) == 0
+                ends = np.concatenate([[0], np.cumsum(some)])[terms.offsets.to_numpy()]
+                sampled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[some].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts, sampled], ["lang", "source", "terms", "counts", "sampled"])
 
     held = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    return mapped(held, run, "lang string, source string, terms array<string>")
+    return mapped(held, run, "lang string, source string, terms array<string>, counts array<int>, sampled array<bigint>")
 
 
 def slices_for(words: DataFrame, least_docs: int, slice_terms: int) -> int:
     """How many slices hold some slice_terms kept terms each."""
-    each = words.select(F.monotonically_increasing_id().alias("doc"), F.explode("terms").alias("term"))
-    each = each.filter(F.pmod(F.xxhash64("term", F.lit("sample")), F.lit(SAMPLED)) == 0).distinct()
-    kept = each.groupBy("term").count().filter(F.col("count") >= least_docs).count()
+    kept = words.select(F.explode("sampled").alias("term")).groupBy("term").count().filter(F.col("count") >= least_docs).count()
     return max(1, -(-kept * SAMPLED // slice_terms))
 
 
+#: Documents whose vectors are made at a time.
+DOCS = 512
+
+
+def added(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sums of their values."""
+    if not len(key):
+        return key, value
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.add.reduceat(value[order], new)
+
+
+def group_sums(words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """group, index, count: the sums of the groups' document vectors over a vocabulary, partly summed in each batch.
+
+    words: group, lang, terms, counts. A document's vector is the places of its terms in the vocabulary and their counts.
+    """
+    hashes = tagged_hashes(pa.array(vocabulary, pa.string()), *salted([x.rpartition("\x00")[0].encode() for x in vocabulary]))
+    order = np.argsort(hashes)
+    table = hashes[order]
+    if (table[1:] == table[:-1]).any():
+        raise ValueError("two terms of the vocabulary have one hash")
+    held = words.sparkSession.sparkContext.broadcast((table, order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, order = held.value
+        order = order.astype(np.int32)
+        for batch in batches:
+            groups, number = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, batch.num_rows, DOCS):  # some documents at a time, so that little memory is taken
+                some = batch.slice(at, DOCS)
+                lists = some.column(2)
+                each = pc.list_value_length(lists).to_numpy()
+                sizes, salts = salted([x.encode() for x in some.column(1).to_pylist()])
+                found = tagged_hashes(lists.flatten(), np.repeat(sizes, each), np.repeat(salts, each))
+                place = np.minimum(np.searchsorted(table, found), len(table) - 1)
+                kept = table[place] == found
+                key = np.repeat(number[at : at + DOCS].astype(np.int64) * len(table), each)[kept] + order[place[kept]]
+                found = added(key, some.column(3).flatten().to_numpy().astype(np.int64)[kept])
+                keys.append(found[0])
+                sums.append(found[1])
+            key, total = added(np.concatenate(keys), np.concatenate(sums))
+            columns = [pa.array(groups[key // len(table)]), pa.array((key % len(table)).astype(np.int32)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "index", "count"])
+
+    sums = mapped(words.select("group", "lang", "terms", "counts"), run, "group bigint, index int, count bigint")
+    return sums.groupBy("group", "index").agg(F.sum("count").alias("count"))
+
+
 def fitted(words: DataFrame, least_docs: int) -> CountVectorizerModel | None:
     """A vectorizer of the terms in least_docs documents or more; none if there is no such term."""
     try:
@@ -93,26 +195,30 @@ def fitted(words: DataFrame, least_docs: int) -> CountVectorizerModel | None:
         raise
 
 
-def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE) -> DataFrame:
-    """lang, source, term_id, term, count: occurrences of each kept term in each group that has it. Written tables."""
+def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of each kept term in each group that has it (lang, source, term_id, count), and the terms (term_id, term)."""
     spark, words = docs.sparkSession, written(worded(docs), "divergence-terms")
-    n, out = slices_for(words, least_docs, slice_terms), None
+    # groups by number: entries then have keys of a fixed width
+    groups = words.select("lang", "source").distinct()
+    groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "divergence-group-numbers")
+    n, counts, terms = slices_for(words, least_docs, slice_terms), [], []
+    words = words.drop("sampled").join(small(groups), ["lang", "source"]).select("group", "lang", "terms", "counts")
     for i in range(n):
-        some = words if n == 1 else words.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i))
-        model = fitted(some, least_docs)
+        own = F.col("terms") if n == 1 else F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i)
+        model = fitted(words.select(own.alias("terms")), least_docs)
         if model is None:
             continue
-        tagged = model.vocabulary
-        tagged = spark.createDataFrame(pa.table({"index": pa.array(range(len(tagged)), pa.int32()), "tagged": pa.array(tagged, pa.string())}))
-        vector = F.unwrap_udt("vector")
-        entry = F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("count")))
-        entries = model.transform(some).select("lang", "source", entry.alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum("e.count").cast("long").alias("count"))
-        number = F.lit(i).cast("long") * F.lit(2**31) + F.col("index")
-        named = sums.join(tagged, "index").select("lang", "source", number.alias("term_id"), F.substring_index("tagged", "\x00", -1).alias("term"), "count")
-        named = written(named, "divergence-counts")
-        out = named if out is None else out.unionByName(named)
-    return spark.createDataFrame([], "lang string, source string, term_id bigint, term string, count bigint") if out is None else out
+        vocabulary = model.vocabulary
+        numbers = pa.array(np.arange(len(vocabulary)) + i * 2**31)
+        named = spark.createDataFrame(pa.table({"term_id": numbers, "term": pa.array([x.rpartition("\x00")[2] for x in vocabulary], pa.string())}))
+        sums = group_sums(words, vocabulary).join(small(groups), "group")
+        sums = sums.select("lang", "source", (F.lit(i).cast("long") * F.lit(2**31) + F.col("index")).alias("term_id"), "count")
+        counts.append(written(sums, "divergence-counts"))
+        terms.append(written(named, "divergence-vocabulary"))
+    if not counts:
+        none = lambda c: spark.createDataFrame([], c)
+        return none("lang string, source string, term_id bigint, count bigint"), none("term_id bigint, term string")
+    return reduce(DataFrame.union, counts), reduce(DataFrame.union, terms)
 
 
 def div(a: Column, b: Column) -> Column:
@@ -121,9 +227,10 @@ def div(a: Column, b: Column) -> Column:
 
 
 def smoothed(count: Column, total: Column, terms: Column) -> Column:
-    """p = 1 + floor(UNIT * (count + 2) / (total + 2 * terms)); decimals, so that no count is too large."""
-    above = (count + 2).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1) + div(above, F.greatest(total + 2 * terms, F.lit(1)).cast("decimal(20,0)"))
+    """p = 1 + floor(UNIT * (count + 2) / (total + 2 * terms)); in decimals where a long can't hold the product."""
+    below = F.greatest(total + 2 * terms, F.lit(1))
+    exact = div((count + 2).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)"), below.cast("decimal(20,0)"))
+    return F.lit(1) + F.when(count < 9_000_000_000, div((F.least(count, F.lit(9_000_000_000)) + 2) * UNIT, below)).otherwise(exact)
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -198,24 +305,25 @@ def pairs(groups: DataFrame, entries: DataFrame) -> DataFrame:
 @settled
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, slice_terms: int = SLICE) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank. docs: text, lang, source."""
-    counts = group_counts(docs, least_docs, slice_terms)
-    counts = counts.withColumn("count", F.col("count").cast("long"))
-    by_term = counts.groupBy("lang", "term_id").agg(F.sum("count").alias("in_lang"))
-    langs = by_term.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("in_lang").alias("lang_total"))
+    counts, vocabulary = group_counts(docs, least_docs, slice_terms)
+    by_term = written(counts.groupBy("lang", "term_id").agg(F.sum("count").alias("in_lang")), "divergence-by-term")
+    langs = written(by_term.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("in_lang").alias("lang_total")), "divergence-langs")
     found = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("terms"))
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    groups = groups.join(found, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0)
+    groups = groups.join(found, ["lang", "source"], "left").join(small(langs), "lang", "left").fillna(0)
     mine = Window.partitionBy("lang")
     groups = groups.withColumn("source_no", (F.row_number().over(mine.orderBy("source")) - 1).cast("long")).withColumn("sources", F.count(F.lit(1)).over(mine))
     groups = written(groups.withColumn("p0", smoothed(F.lit(0), F.col("total"), F.col("kept"))), "divergence-groups")
     sides = groups.select("lang", "source", "source_no", "total", "kept")
-    entries = counts.join(small(sides), ["lang", "source"]).select(
-        "lang", "source", "source_no", "term_id", "term", "count", smoothed(F.col("count"), F.col("total"), F.col("kept")).alias("p")
-    )
+    p = smoothed(F.col("count"), F.col("total"), F.col("kept"))
+    entries = counts.join(small(sides), ["lang", "source"]).select("lang", "source", "source_no", "term_id", "count", p.alias("p"))
     entries = written(entries, "divergence-entries")
     q = by_term.join(small(langs), "lang").select("lang", "term_id", smoothed(F.col("in_lang"), F.col("lang_total"), F.col("kept")).alias("q"))
-    over = entries.join(q, ["lang", "term_id"]).filter("p > q")
-    over = over.select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    over = entries.join(q, ["lang", "term_id"]).filter("p > q").select("lang", "source", "term_id", apart(F.col("p"), F.col("q")).alias("value"))
+    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    # by value first, ties and all, so that terms are looked up for few rows
+    over = over.withColumn("rank", F.rank().over(by_value)).filter(F.col("rank") <= top).drop("rank")
+    over = over.join(vocabulary, "term_id").select("lang", "source", F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = over.withColumn("rank", rank).filter(F.col("rank") <= top)
     ranked = pairs(groups, entries).withColumn("rank", rank)
