@@ -63,16 +63,18 @@ def byte_cuts(placed: DataFrame, total: int, shards: int, slack: float) -> list[
 def shard(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """Shard and slot of every row. rows: columns doc_id, digest, size (long) and any others, cheap to read again.
 
-    Adds shard (int) and slot (long, gapless from 0 inside a shard).
+    Adds shard (int) and slot (long, gapless from 0 inside a shard). The other columns go along as one, so their names clash
+    with none of those used here.
     """
-    placed = written(running_totals(rows, ["digest", "doc_id"], "size"), "sharding-placed")
+    others = [c for c in rows.columns if c not in ("doc_id", "digest", "size")]
+    own = ["doc_id", "digest", "size", *([F.struct(*others).alias("others")] if others else [])]
+    placed = written(running_totals(rows.select(*own), ["digest", "doc_id"], "size"), "sharding-placed")
     total = placed.agg(F.sum("size")).first()[0] or 0
     cuts = byte_cuts(placed, total, shards, slack)
     dealt = numbered(placed, cuts)
     first = dealt.groupBy("shard").agg(F.min("position").alias("first"))  # one row a shard
-    return dealt.join(F.broadcast(first), "shard").select(
-        *rows.columns, "shard", (F.col("position") - F.col("first")).alias("slot")
-    )
+    back = [F.col("others")[c].alias(c) if c in others else c for c in rows.columns]
+    return dealt.join(F.broadcast(first), "shard").select(*back, "shard", (F.col("position") - F.col("first")).alias("slot"))
 
 
 def numbered(placed: DataFrame, cuts: list[int]) -> DataFrame:

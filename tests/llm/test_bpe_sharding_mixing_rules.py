@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartolith.llm import kernel as K
 from cartolith.llm import queries as Q
+from cartolith.llm import sharding
 from cartolith.llm.quality_rules import upper_bound
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,3 +183,14 @@ def test_shingles_match_sets():
     per = np.split(found, np.cumsum(counts)[:-1])
     assert per[0].tolist() == per[1].tolist()
     assert per[0][1] == per[2][0] and per[0][0] == per[7][0] and per[3][0] != per[4][0]
+
+
+def test_shards_leave_clashing_columns(spark):
+    names = ["__part", "before", "at_", "edge_", "position", "first", "others", "__g0"]
+    rows = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string").cast("binary")).alias("digest"), (F.col("id") % 50 + 16).alias("size"),
+        *(F.concat(F.lit(n), F.col("id")).alias(n) for n in names),
+    )
+    out = sharding.shard(rows, 7).collect()
+    assert len(out) == 300 and all(r[n] == f"{n}{r.doc_id}" for r in out for n in names)
+    assert sorted({r.shard for r in out}) == list(range(7))
