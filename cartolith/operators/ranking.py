@@ -107,7 +107,7 @@ def pieces(df: DataFrame, group: list[str], draw: Column, tie: str, limits: Call
         return written(own.agg(F.count(F.lit(1)).alias("n")), "draw-bins")
 
     digits, bins = 2, counted(2)
-    fullest = bins.agg(F.max("n")).first()[0] or 0
+    groups, fullest = bins.agg(F.count_distinct(F.struct(*keys) if keys else F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     if fullest > BIN_ROWS:
         digits += math.ceil(math.log(fullest / BIN_ROWS, 16))
         bins = counted(digits)
@@ -124,9 +124,7 @@ def pieces(df: DataFrame, group: list[str], draw: Column, tie: str, limits: Call
     ends = wanted.join(found.select(*keys, F.col("i").alias("i_"), "c"), [*same, F.col("i") == F.col("i_")], "left")
     cut = F.when(F.col("limit") <= 0, none).otherwise(F.coalesce("c", all_))
     table = ends.groupBy(*(f"{k}_" for k in keys)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", cut.alias("c")))), lambda x: x["c"]).alias(cuts))
-    table = written(table, "draw-cuts")
-    if table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        table = F.broadcast(table)
+    table = F.broadcast(table) if groups <= BROADCAST_GROUPS else written(table, "draw-cuts")
     placed = rows.withColumn(bin_, F.substring(digest, 1, digits)).join(table, [F.col(c).eqNullSafe(F.col(f"{k}_")) for c, k in zip(group, keys)] or F.lit(True))
     edge = F.exists(cuts, lambda c: c["bin"] == F.col(bin_))
     beyond = lambda k: F.size(F.filter(cuts, lambda c: (F.col(bin_) > c["bin"]) | ((F.col(bin_) == c["bin"]) & (k > c["rest"])))).alias(name)
