@@ -4,10 +4,12 @@ CountVectorizer, with minDF and the largest vocabSize, finds the vocabulary, fro
 their language (``lang`` NUL ``term``), so that one vectorizer holds a vocabulary for each language, minDF being counted
 inside it. A vectorizer keeps its vocabulary on the driver; terms are therefore split by hash into slices of about SLICE kept
 terms, counted beforehand on one term in SAMPLED, and each slice gets a vectorizer: its size is bounded however large the
-corpus, and no term is lost. A document's exact sparse vector is its terms' places in the vocabulary and their counts; the
-places are found by 64-bit hashes (the model's own transform looks up each occurrence as a string, which took two fifths of
-the time of the whole). The vectors are summed up by group where they are, before anything is moved (as Summarizer does, but
-sparsely: a group's dense vector could be of any length).
+corpus, and no term is lost. Once a task has met a term in minDF documents, the term is in the vocabulary whatever follows, so
+its later documents there need not show it to the vectorizer (which took two fifths of the time of the whole).
+
+A document's exact sparse vector is its terms' places in the vocabulary and their counts. Only their sums by group are needed,
+so each task adds up every occurrence by group and 64-bit hash of the term in the pass that finds the terms (as Summarizer
+does, but sparsely: a group's dense vector could be of any length); once the vocabulary is known, hashes become places.
 
 Pairs are evaluated sparsely. With p0 the value of a term that a group lacks, the sum over all terms of f(p, q) is that of
 f(p, q0) over the terms of one, of f(p0, q) over those of the other, f(p0, q0) for the rest, and a correction over the
@@ -42,6 +44,11 @@ TOP = 10
 UNIT = 1_000_000_000
 #: Kept terms of a slice of the vocabulary, about; one term in SAMPLED is counted to tell how many slices that takes.
 SLICE, SAMPLED = 500_000, 64
+#: Slots for terms that a task has met; sums of groups that a task holds: new ones before they are added up, all before they are passed on.
+SLOTS, PENDING, SUMS = 1 << 20, 1 << 19, 1 << 20
+#: Terms of a group's row.
+PIECE = 2048
+WORDED = ["lang", "source", "terms", "sampled", "hashes", "counts"]
 #: Terms of a block and sources of a tile.
 BLOCK, TILE = 2048, 64
 
@@ -50,6 +57,9 @@ BLOCK, TILE = 2048, 64
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
+#: Keeps equal hashes of different documents or groups apart, as a factor of their numbers.
+APART = K.U(0xD6E8FEB86659FD93)
+
 
 def term_hashes(t: K.Texts, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """64-bit hashes of lower-cased terms, each salted with its language."""
@@ -78,14 +88,13 @@ def salted(langs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((len(x) + 1 for x in langs), np.int64, len(langs)), np.fromiter(map(salt, langs), np.int64, len(langs)).astype(K.U)
 
 
-def bags(t: K.Texts, langs: list[bytes]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
-    """Each document's different terms (lower-cased, after language and NUL), how often it has each, and their hashes."""
+def bags(t: K.Texts, langs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's different terms, by document: the document, start and end of the first occurrence, occurrences, hash."""
     starts, ends, counts = t.runs(BETWEEN)
     doc = t.doc_of(counts)
-    sizes, salts = salted(langs)
-    hashes = term_hashes(t, starts, ends, salts[doc])
+    hashes = term_hashes(t, starts, ends, salted(langs)[1][doc])
     # a document's number in the key keeps documents apart; the hash itself is kept beside it
-    key = K.mix(hashes) + doc.astype(K.U) * K.U(0xD6E8FEB86659FD93)
+    key = K.mix(hashes) + doc.astype(K.U) * APART
     order = np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = np.diff(key[order]) != 0
@@ -93,38 +102,111 @@ def bags(t: K.Texts, langs: list[bytes]) -> tuple[pa.ListArray, pa.ListArray, np
     first, many = order[at], np.diff(np.append(at, len(key)))
     order = np.argsort(first)
     first, many = first[order], many[order]
-    chosen = np.zeros(len(starts), bool)
-    chosen[first] = True
-    lengths, own = (ends - starts)[first], doc[first]
-    tags = [x + b"\x00" for x in langs]
-    tag_of = sizes[own]
-    offsets = np.concatenate([[0], np.cumsum(tag_of + lengths)])
+    return doc[first], starts[first], ends[first], many, hashes[first]
+
+
+def tagged(t: K.Texts, langs: list[bytes], doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """The lower-cased terms at these places, in order, each after its document's language and NUL."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(salted(langs)[0][doc] + lengths)])
     out, free = np.zeros(offsets[-1], np.uint8), np.ones(offsets[-1], bool)
+    tags = [x + b"\x00" for x in langs]
     for tag in set(tags):
-        at = offsets[:-1][np.fromiter((x == tag for x in tags), bool, len(tags))[own]]
+        at = offsets[:-1][np.fromiter((x == tag for x in tags), bool, len(tags))[doc]]
         for i, byte in enumerate(tag):
             out[at + i], free[at + i] = byte, False
-    out[free] = K.LOWER[t.data[~BETWEEN[t.data]][np.repeat(chosen, ends - starts)]]
-    terms = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-    where = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=t.n))]), pa.int32())
-    return pa.ListArray.from_arrays(where, terms), pa.ListArray.from_arrays(where, pa.array(many.astype(np.int32))), hashes[first]
+    turns = np.zeros(len(t.data) + 1, np.int8)
+    turns[starts] += 1
+    turns[ends] -= 1
+    out[free] = K.LOWER[t.data[np.cumsum(turns[:-1], dtype=np.int8).view(bool)]]
+    return pa.Array.from_buffers(pa.string(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def bounds(doc: np.ndarray, docs: int) -> pa.Array:
+    """Offsets of the documents' lists."""
+    return pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))]), pa.int32())
+
 
+class Met:
+    """In how many of a task's documents each term was met. A slot belongs to the first term that takes it; others have none."""
 
-def worded(docs: DataFrame) -> DataFrame:
-    """lang, source, and of each document's different terms: terms (lang NUL term), counts; sampled: some of their hashes."""
-    one_in = SAMPLED
+    def __init__(self, slots: int):
+        self.owner, self.docs = np.zeros(slots, K.U), np.zeros(slots, np.int32)
+
+    def open(self, hashes: np.ndarray, least_docs: int) -> np.ndarray:
+        """Which terms earlier calls met in fewer than least_docs documents, or have no slot. hashes: documents' different terms."""
+        slot = (hashes % K.U(len(self.owner))).astype(np.int64)
+        free = self.owner[slot] == 0
+        self.owner[slot[free]] = hashes[free]
+        own = (self.owner[slot] == hashes) & (hashes != 0)
+        out = ~own | (self.docs[slot] < least_docs)
+        np.add.at(self.docs, slot[own], 1)
+        return out
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, hash and sum of the counts for each different group and hash of the parts."""
+    group, hashes, count = (np.concatenate(x) for x in zip(*parts))
+    key = hashes + group.astype(K.U) * APART
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    first = order[new]
+    return group[first], hashes[first], np.add.reduceat(count[order], new) if len(key) else count
+
+
+def pieces(groups: list[tuple[str, str]], most: int, group: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``worded`` for the sums of groups, ``most`` terms each at most."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else np.zeros(1, np.int64)
+    begin = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b, most) for a, b in zip(edges[:-1], edges[1:]))])
+    where = pa.array(np.append(begin, len(group)), pa.int32())
+    names = [groups[i] for i in group[begin]]
+    lists = [pa.ListArray.from_arrays(where, pa.array(x[order].view(np.int64))) for x in (hashes, count)]
+    lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+    none = [pa.nulls(len(begin), pa.list_(x)) for x in (pa.string(), pa.int64())]
+    return pa.RecordBatch.from_arrays([lang, source, *none, *lists], WORDED)
+
+
+def worded(docs: DataFrame, least_docs: int) -> DataFrame:
+    """Rows of documents and of groups, from one pass over the texts.
+
+    A document's row has its terms (lang NUL term) that are open, and sampled, some of their hashes; a group's row has lang,
+    source, and hashes and counts of terms in some of its documents. A term is open until it was met in least_docs documents
+    of its task: either all of a task's documents with the term have it in their rows, or least_docs of them or more do. So
+    over all rows it reaches least_docs exactly if it does over all documents. The groups' rows have every occurrence.
+    """
+    one_in, slots, most_pending, most_sums, piece, names = SAMPLED, SLOTS, PENDING, SUMS, PIECE, WORDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, number, sums, pending = Met(slots), {}, [], 0
         for batch in batches:
             for part, t in K.blocks(batch):
-                terms, counts, hashes = bags(t, [x.encode() for x in part.column(0).to_pylist()])
-                some = hashes % K.U(one_in) == 0
-                ends = np.concatenate([[0], np.cumsum(some)])[terms.offsets.to_numpy()]
-                sampled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[some].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts, sampled], ["lang", "source", "terms", "counts", "sampled"])
+                langs = part.column(0).to_pylist()
+                keys = list(zip(langs, part.column(1).to_pylist()))
+                of_doc = np.fromiter((number.setdefault(x, len(number)) for x in keys), np.int32, len(keys))
+                langs = [x.encode() for x in langs]
+                doc, starts, ends, many, hashes = bags(t, langs)
+                opened = met.open(hashes, least_docs)
+                sampled = opened & (hashes % K.U(one_in) == 0)
+                terms = pa.ListArray.from_arrays(bounds(doc[opened], t.n), tagged(t, langs, doc[opened], starts[opened], ends[opened]))
+                some = pa.ListArray.from_arrays(bounds(doc[sampled], t.n), pa.array(hashes[sampled].view(np.int64)))
+                none = [pa.nulls(t.n, x) for x in (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*none[:2], terms, some, *none[2:]], names)
+                sums.append((of_doc[doc], hashes, many))
+                pending += len(doc)
+                if pending > most_pending:
+                    sums, pending = [summed(sums)], 0
+                    if len(sums[0][0]) > most_sums:
+                        yield pieces(list(number), piece, *sums[0])
+                        sums, number = [], {}
+        if sums:
+            yield pieces(list(number), piece, *summed(sums))
 
     held = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    return mapped(held, run, "lang string, source string, terms array<string>, counts array<int>, sampled array<bigint>")
+    kinds = ("string", "string", "array<string>", "array<bigint>", "array<bigint>", "array<bigint>")
+    return mapped(held, run, ", ".join(f"{name} {kind}" for name, kind in zip(WORDED, kinds)))
 
 
 def slices_for(words: DataFrame, least_docs: int, slice_terms: int) -> int:
@@ -133,10 +215,6 @@ def slices_for(words: DataFrame, least_docs: int, slice_terms: int) -> int:
     return max(1, -(-kept * SAMPLED // slice_terms))
 
 
-#: Documents whose vectors are made at a time.
-DOCS = 512
-
-
 def added(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys and the sums of their values."""
     if not len(key):
@@ -147,42 +225,32 @@ def added(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.add.reduceat(value[order], new)
 
 
-def group_sums(words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """group, index, count: the sums of the groups' document vectors over a vocabulary, partly summed in each batch.
+def group_sums(sums: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """group, index, count: the sums of the groups' document vectors over a vocabulary.
 
-    words: group, lang, terms, counts. A document's vector is the places of its terms in the vocabulary and their counts.
+    sums: group, hashes, counts. A term's index is its place in the vocabulary.
     """
     hashes = tagged_hashes(pa.array(vocabulary, pa.string()), *salted([x.rpartition("\x00")[0].encode() for x in vocabulary]))
     order = np.argsort(hashes)
     table = hashes[order]
     if (table[1:] == table[:-1]).any():
         raise ValueError("two terms of the vocabulary have one hash")
-    held = words.sparkSession.sparkContext.broadcast((table, order))
+    held = sums.sparkSession.sparkContext.broadcast((table, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, order = held.value
-        order = order.astype(np.int32)
         for batch in batches:
             groups, number = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for at in range(0, batch.num_rows, DOCS):  # some documents at a time, so that little memory is taken
-                some = batch.slice(at, DOCS)
-                lists = some.column(2)
-                each = pc.list_value_length(lists).to_numpy()
-                sizes, salts = salted([x.encode() for x in some.column(1).to_pylist()])
-                found = tagged_hashes(lists.flatten(), np.repeat(sizes, each), np.repeat(salts, each))
-                place = np.minimum(np.searchsorted(table, found), len(table) - 1)
-                kept = table[place] == found
-                key = np.repeat(number[at : at + DOCS].astype(np.int64) * len(table), each)[kept] + order[place[kept]]
-                found = added(key, some.column(3).flatten().to_numpy().astype(np.int64)[kept])
-                keys.append(found[0])
-                sums.append(found[1])
-            key, total = added(np.concatenate(keys), np.concatenate(sums))
+            found = batch.column(1).flatten().to_numpy().view(K.U)
+            place = np.minimum(np.searchsorted(table, found), len(table) - 1)
+            kept = table[place] == found
+            key = np.repeat(number * len(table), pc.list_value_length(batch.column(1)).to_numpy())[kept] + order[place[kept]]
+            key, total = added(key, batch.column(2).flatten().to_numpy()[kept])
             columns = [pa.array(groups[key // len(table)]), pa.array((key % len(table)).astype(np.int32)), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, ["group", "index", "count"])
 
-    sums = mapped(words.select("group", "lang", "terms", "counts"), run, "group bigint, index int, count bigint")
-    return sums.groupBy("group", "index").agg(F.sum("count").alias("count"))
+    found = mapped(sums.select("group", "hashes", "counts"), run, "group bigint, index int, count bigint")
+    return found.groupBy("group", "index").agg(F.sum("count").alias("count"))
 
 
 def fitted(words: DataFrame, least_docs: int) -> CountVectorizerModel | None:
@@ -197,12 +265,13 @@ def fitted(words: DataFrame, least_docs: int) -> CountVectorizerModel | None:
 
 def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """Occurrences of each kept term in each group that has it (lang, source, term_id, count), and the terms (term_id, term)."""
-    spark, words = docs.sparkSession, written(worded(docs), "divergence-terms")
+    spark, words = docs.sparkSession, written(worded(docs, least_docs), "divergence-terms")
+    own_sums, words = words.filter("hashes IS NOT NULL"), words.filter("terms IS NOT NULL")
     # groups by number: entries then have keys of a fixed width
-    groups = words.select("lang", "source").distinct()
+    groups = own_sums.select("lang", "source").distinct()
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "divergence-group-numbers")
     n, counts, terms = slices_for(words, least_docs, slice_terms), [], []
-    words = words.drop("sampled").join(small(groups), ["lang", "source"]).select("group", "lang", "terms", "counts")
+    own_sums = own_sums.join(small(groups), ["lang", "source"]).select("group", "hashes", "counts")
     for i in range(n):
         own = F.col("terms") if n == 1 else F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i)
         model = fitted(words.select(own.alias("terms")), least_docs)
@@ -211,7 +280,7 @@ def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int
         vocabulary = model.vocabulary
         numbers = pa.array(np.arange(len(vocabulary)) + i * 2**31)
         named = spark.createDataFrame(pa.table({"term_id": numbers, "term": pa.array([x.rpartition("\x00")[2] for x in vocabulary], pa.string())}))
-        sums = group_sums(words, vocabulary).join(small(groups), "group")
+        sums = group_sums(own_sums, vocabulary).join(small(groups), "group")
         sums = sums.select("lang", "source", (F.lit(i).cast("long") * F.lit(2**31) + F.col("index")).alias("term_id"), "count")
         counts.append(written(sums, "divergence-counts"))
         terms.append(written(named, "divergence-vocabulary"))

@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from cartolith.llm import source_divergence as D
 from tests.llm.conftest import save
@@ -66,3 +69,37 @@ def test_op13_bounds_vocabularies(spark, tmp_path, monkeypatch):
     assert sum(sizes) == counts.select("lang", "term_id").distinct().count() == terms.select("term_id").distinct().count()
 
 
+
+
+def test_op13_vectorizer_sees_what_decides(spark, tmp_path, monkeypatch):
+    """A term that a task has met often enough isn't shown to the vectorizer again; terms near the limit come out right."""
+    rng = random.Random(3)
+    docs = [[i, " ".join(rng.sample(WORDS, 6)), rng.choice(["en", "fr", None]), f"s{i % 3}"] for i in range(4000)]
+    for n in range(7, 14):  # each in n documents of one language, in two sources, all over the table
+        for i in rng.sample([d[0] for d in docs if d[2] == "en"], n):
+            docs[i][1] += f" edge{'x' * n} edge{'x' * n}"
+    folder = save(tmp_path, [tuple(d) for d in docs])
+    shown = []
+    real = D.fitted
+    monkeypatch.setattr(D, "fitted", lambda w, n: shown.append(w.select(F.sum(F.size("terms"))).first()[0]) or real(w, n))
+    got = sorted(tuple(r) for r in D.divergence(spark.read.parquet(f"{folder}/documents.parquet").coalesce(1)).collect())
+    assert shown[0] < 4000 * 6 / 4
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet')")
+    assert got == sorted(con.execute(D.OP13_SQL).fetchall())
+    # too few slots, sums passed on often, in short pieces, many tasks
+    for name, value in (("SLOTS", 2), ("PENDING", 500), ("SUMS", 40), ("PIECE", 3)):
+        monkeypatch.setattr(D, name, value)
+    assert sorted(tuple(r) for r in D.divergence(spark.read.parquet(f"{folder}/documents.parquet").repartition(7)).collect()) == got
+
+
+def test_op13_open_terms_reach_the_limit_exactly():
+    rng = np.random.default_rng(5)
+    for slots in (1, 8, 1 << 10):
+        met, docs, shown = D.Met(slots), Counter(), Counter()
+        for _ in range(40):
+            hashes = np.concatenate([np.unique(rng.zipf(1.3, 30) % 200) for _ in range(3)]).astype(np.uint64)
+            docs.update(hashes.tolist())
+            shown.update(hashes[met.open(hashes, 10)].tolist())
+        assert all(shown[h] == n or 10 <= shown[h] <= n for h, n in docs.items())
+        assert slots < 1 << 10 or max(shown.values()) <= 12 < max(docs.values())  # three documents a call
