@@ -89,7 +89,7 @@ def salted(langs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bags(t: K.Texts, langs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's different terms, by document: the document, start and end of the first occurrence, occurrences, hash."""
+    """Each document's different terms, by document: the document, start and end of one occurrence, occurrences, hash."""
     starts, ends, counts = t.runs(BETWEEN)
     doc = t.doc_of(counts)
     hashes = term_hashes(t, starts, ends, salted(langs)[1][doc])
@@ -99,9 +99,10 @@ def bags(t: K.Texts, langs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     new = np.ones(len(key), bool)
     new[1:] = np.diff(key[order]) != 0
     at = np.flatnonzero(new)
-    first, many = order[at], np.diff(np.append(at, len(key)))
-    order = np.argsort(first)
-    first, many = first[order], many[order]
+    times = np.zeros(len(key), np.int64)
+    times[order[at]] = np.diff(np.append(at, len(key)))
+    first = np.flatnonzero(times)
+    many = times[first]
     return doc[first], starts[first], ends[first], many, hashes[first]
 
 
@@ -128,7 +129,7 @@ def bounds(doc: np.ndarray, docs: int) -> pa.Array:
 
 
 class Met:
-    """In how many of a task's documents each term was met. A slot belongs to the first term that takes it; others have none."""
+    """In how many of a task's documents each term was met, while it is open. A slot belongs to the first term that takes it; others have none."""
 
     def __init__(self, slots: int):
         self.owner, self.docs = np.zeros(slots, K.U), np.zeros(slots, np.int32)
@@ -140,7 +141,7 @@ class Met:
         self.owner[slot[free]] = hashes[free]
         own = (self.owner[slot] == hashes) & (hashes != 0)
         out = ~own | (self.docs[slot] < least_docs)
-        np.add.at(self.docs, slot[own], 1)
+        np.add.at(self.docs, slot[own & out], 1)
         return out
 
 
