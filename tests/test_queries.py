@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cartolith import ontology, plans
 from cartolith.functions import geo, names, tags
-from cartolith.operators import dedup, footprint, metrics, ranking, review, sampling
+from cartolith.operators import dedup, evidence, footprint, metrics, ranking, review, sampling
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -234,7 +234,7 @@ def test_spatial_joins_are_equi_joins(spark, sf):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["c7_bent_lines_passing"])
+@pytest.mark.parametrize("name", ["c7_bent_lines_passing", "c7_lines_passing"])
 def test_lines_and_tiles_are_not_broadcast(spark, sf, name):
     """Only the nations and regions of the tiles' view are, of however few bytes the files of lines and tiles seem."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -242,6 +242,16 @@ def test_lines_and_tiles_are_not_broadcast(spark, sf, name):
     assert all("n_nationkey" in x or "r_regionkey" in x for x in joins) and "SortMergeJoin" in plan
 
 
+def test_an_end_counts_for_its_own_line_only(spark):
+    """Line 2 ends at the tile that line 1 passes; line 3 has two rows, of which one ends there."""
+    tiles = spark.createDataFrame([("a", 10.0, 20.0), ("b", 10.1, 20.0), ("c", 10.2, 20.0)], "asset_id string, lat double, lon double")
+    at = lambda lat: {"lat": lat, "lon": 20.0}
+    rows = [(1, [at(10.0), at(10.2)]), (2, [at(10.0), at(10.1)]), (3, [at(9.9), at(10.3)]), (3, [at(10.1), at(10.15)]), (4, [at(9.9), at(10.3)])]
+    lines = spark.createDataFrame([(i, 110.0, e) for i, e in rows], "line_id long, kv double, ends array<struct<lat double, lon double>>")
+    got = {(r.asset_id, r.line_id) for r in evidence.passing_lines(tiles, lines).collect()}
+    assert got == {("b", 1), ("a", 3), ("c", 3), ("a", 4), ("b", 4), ("c", 4)}
+
+
 def test_registry_is_sound(spark):
     table = ontology.registry(spark)
     assert ontology.violations(table).isEmpty()
