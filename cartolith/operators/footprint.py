@@ -70,7 +70,11 @@ def long_side(p: np.ndarray) -> float:
     return best[1]
 
 
-def measure(rings: list[tuple[str, np.ndarray]], half: float = TILE_M / 2) -> dict | None:
+#: Decimals of the published numbers.
+DIGITS = {"area_m2": 1, "extent_m": 1, "tile_share": 5}
+
+
+def exact(rings: list[tuple[str, np.ndarray]], half: float = TILE_M / 2) -> dict | None:
     """Area, share of the tile, whether it goes beyond, long side. Inner rings are subtracted; None without area."""
     outer = [p for role, p in rings if role != "inner" and len(p) >= 3]
     inner = [p for role, p in rings if role == "inner" and len(p) >= 3]
@@ -79,18 +83,26 @@ def measure(rings: list[tuple[str, np.ndarray]], half: float = TILE_M / 2) -> di
         return None
     inside = sum(abs(area(clip(p, half))) for p in outer) - sum(abs(area(clip(p, half))) for p in inner)
     return {
-        "area_m2": round(total, 1),
-        "extent_m": round(long_side(np.concatenate(outer)), 1),
-        "tile_share": round(inside / (2 * half) ** 2, 5),
+        "area_m2": total,
+        "extent_m": long_side(np.concatenate(outer)),
+        "tile_share": inside / (2 * half) ** 2,
         "exceeds_tile": bool(total - inside > 1),
     }
 
 
-def footprints(assets: DataFrame) -> DataFrame:
+def measure(rings: list[tuple[str, np.ndarray]], half: float = TILE_M / 2) -> dict | None:
+    """The exact numbers, rounded as they are published."""
+    found = exact(rings, half)
+    return found and found | {k: round(found[k], n) for k, n in DIGITS.items()}
+
+
+def footprints(assets: DataFrame, rounded: bool = True) -> DataFrame:
     """status and metrics of each asset. assets: asset_id, asset_type, osm_type, lat, lon, rings (null: element is gone).
 
-    rings: array of struct(role, pts array of struct(lat, lon)). Nodes are points; an open way has no area.
+    rings: array of struct(role, pts array of struct(lat, lon)). Nodes are points; an open way has no area. rounded: metrics
+    as they are published; who rounds them once more needs those that aren't.
     """
+    metrics = measure if rounded else exact
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,7 +120,7 @@ def footprints(assets: DataFrame) -> DataFrame:
                         pts = [(p["lon"], p["lat"]) for p in ring["pts"]]
                         if len(pts) >= 4 and pts[0] == pts[-1]:
                             rings.append((ring["role"], np.array([((x - r.lon) * kx, (y - r.lat) * 111_320) for x, y in pts[:-1]])))
-                    found = measure(rings)
+                    found = metrics(rings)
                     status = "polygon" if found else "no_area"
                 rows.append({"asset_id": r.asset_id, "asset_type": r.asset_type, "status": status, **(found or dict.fromkeys(("area_m2", "extent_m", "tile_share", "exceeds_tile")))})
             yield pd.DataFrame(rows, columns=["asset_id", "asset_type", "status", "area_m2", "extent_m", "tile_share", "exceeds_tile"])

@@ -263,7 +263,7 @@ def g11_e25_stacks(spark, sf_dir):
     return out.withColumn("frames", F.filter("frames", lambda x: x.isNotNull()))
 
 
-def _found(spark, sf_dir):
+def _found(spark, sf_dir, rounded=True):
     """Rectangles around assets as closed rings."""
     from cartolith.operators import footprint
 
@@ -273,7 +273,7 @@ def _found(spark, sf_dir):
     ring = F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1), corner(-1, -1))
     rings = F.when(F.col("pos") % 50 != 1, F.array(F.struct(F.lit("outer").alias("role"), ring.alias("pts"))))
     kind = F.split("asset_id", "_")[1]
-    return footprint.footprints(a.select("asset_id", "asset_type", kind.alias("osm_type"), "lat", "lon", rings.alias("rings")))
+    return footprint.footprints(a.select("asset_id", "asset_type", kind.alias("osm_type"), "lat", "lon", rings.alias("rings")), rounded)
 
 
 _RECT = """SELECT asset_id, asset_type, CASE WHEN pos % 3 = 0 THEN 'point' WHEN pos % 50 = 1 THEN 'missing_now' ELSE 'polygon' END AS status,
@@ -284,7 +284,7 @@ _RECT = """SELECT asset_id, asset_type, CASE WHEN pos % 3 = 0 THEN 'point' WHEN
   CASE WHEN status = 'polygon' THEN round(least(w, 600) * least(h, 600) / 360000 * 100 + 1e-3, 0) END AS share, CASE WHEN status = 'polygon' THEN w * h - least(w, 600) * least(h, 600) > 1 END AS exceeds_tile FROM ({_RECT}) r""")
 def g3_footprints(spark, sf_dir):
     """Area (1000 m2), extent (10 m) and share of the tile (percent) of rectangular footprints."""
-    f = _found(spark, sf_dir)
+    f = _found(spark, sf_dir, rounded=False)
     return f.select("asset_id", "status", F.round(F.col("area_m2") / 1000, 0).alias("area"), F.floor((F.col("extent_m") + 5e-2) / 10).cast("double").alias("extent"), F.round(F.col("tile_share") * 100 + 1e-3, 0).alias("share"), "exceeds_tile")
 
 

@@ -343,6 +343,23 @@ def test_footprints_by_hand():
     assert footprint.measure([("outer", square[:2])]) is None
 
 
+def test_footprints_are_rounded_once(spark, sf, tmp_path):
+    """Customers whose area or share comes near a half: rounded to a decimal first, it would be rounded to the other side."""
+    duckdb = pytest.importorskip("duckdb")
+    keys = [1555, 2257, 2725, 6014]
+    spark.createDataFrame([(k, f"Customer#{k}", 0, 0.0) for k in keys], "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "nation", "region"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cursor = con.execute(plans.SQL["g3_footprints"])
+    have = [d[0] for d in cursor.description]
+    want = sorted(cursor.fetchall())
+    assert len(want) == len(keys)
+    assert sorted(tuple(r[c] for c in have) for r in plans.QUERIES["g3_footprints"](spark, str(tmp_path)).collect()) == want
+
+
 def test_dense_order_and_chunks(spark):
     df = spark.range(1003).select(((F.col("id") * 7919) % 1003).alias("k"))
     out = ranking.dense_order(df, ["k"]).collect()
